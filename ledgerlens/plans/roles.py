@@ -126,20 +126,20 @@ class Tables:
 
     @cached_property
     def bulk_docs(self) -> DataFrame:
-        """Line items as documents of bulk jobs (one job per part)."""
+        """Orders as documents of bulk jobs (one job per customer)."""
         states = F.array(*[F.lit(s) for s in (
             "pending", "parsing", "indexed", "completed", "completed", "failed", "skipped")])
-        return self.lineitem.select(
-            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
-            F.col("l_partkey").alias("bulk_job_id"),
-            F.get(states, ((F.col("l_orderkey") + F.col("l_linenumber")) % 7).cast("int")).alias("status"),
-            (F.col("l_linenumber") - 1).alias("retry_count"),
-            F.col("l_quantity").cast("int").alias("parse_time_ms"),
-            F.when(F.col("l_linestatus") == "O", (F.col("l_discount") * 100).cast("int")).alias("index_time_ms"),
-            (F.col("l_tax") * 100).cast("int").alias("generation_time_ms"),
-            F.floor("l_extendedprice").cast("long").alias("token_usage"),
+        key = F.col("o_orderkey")
+        return self.orders.select(
+            key.alias("id"), F.col("o_custkey").alias("bulk_job_id"),
+            F.get(states, (key % 7).cast("int")).alias("status"),
+            (key % 5).cast("int").alias("retry_count"),
+            (key % 50).cast("int").alias("parse_time_ms"),
+            F.when(F.col("o_orderstatus") == "O", (key % 20).cast("int")).alias("index_time_ms"),
+            (key % 90).cast("int").alias("generation_time_ms"),
+            F.floor("o_totalprice").cast("long").alias("token_usage"),
             F.lit(1).cast("long").alias("llamaparse_pages"),
-            F.col("l_shipdate").alias("created_at"),
+            F.col("o_orderdate").alias("created_at"),
         )
 
     @cached_property
@@ -242,13 +242,13 @@ SQL["generations"] = """(
          'gpt-5-mini' AS model, sha256(json_extract_string(props, '$' || '.k')) AS document_hash,
          ts AS created_at FROM events)"""
 SQL["bulk_docs"] = """(
-  SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS bulk_job_id,
-         (['pending', 'parsing', 'indexed', 'completed', 'completed', 'failed', 'skipped'])[CAST((l_orderkey + l_linenumber) % 7 AS INT) + 1] AS status,
-         l_linenumber - 1 AS retry_count, CAST(floor(l_quantity) AS INT) AS parse_time_ms,
-         CASE WHEN l_linestatus = 'O' THEN CAST(trunc(l_discount * 100) AS INT) END AS index_time_ms,
-         CAST(trunc(l_tax * 100) AS INT) AS generation_time_ms,
-         CAST(floor(l_extendedprice) AS BIGINT) AS token_usage, CAST(1 AS BIGINT) AS llamaparse_pages,
-         l_shipdate AS created_at FROM lineitem)"""
+  SELECT o_orderkey AS id, o_custkey AS bulk_job_id,
+         (['pending', 'parsing', 'indexed', 'completed', 'completed', 'failed', 'skipped'])[CAST(o_orderkey % 7 AS INT) + 1] AS status,
+         CAST(o_orderkey % 5 AS INT) AS retry_count, CAST(o_orderkey % 50 AS INT) AS parse_time_ms,
+         CASE WHEN o_orderstatus = 'O' THEN CAST(o_orderkey % 20 AS INT) END AS index_time_ms,
+         CAST(o_orderkey % 90 AS INT) AS generation_time_ms,
+         CAST(floor(o_totalprice) AS BIGINT) AS token_usage, CAST(1 AS BIGINT) AS llamaparse_pages,
+         o_orderdate AS created_at FROM orders)"""
 SQL["bulk_jobs"] = """(
   SELECT p_partkey AS id, p_brand AS org_id,
          (['pending', 'processing', 'completed', 'failed'])[CAST(p_partkey % 4 AS INT) + 1] AS status,
