@@ -268,4 +268,4 @@ SQL["answer_queries"] = """(
 
 def half_up(expr: str, places: int) -> str:
     """Oracle text rounding the printed value half up, as Spark's ``round`` does."""
-    return f"CAST(round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38,18)), {places}) AS DOUBLE)"
+    return f"CAST(round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38,24)), {places}) AS DOUBLE)"
