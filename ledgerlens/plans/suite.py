@@ -24,7 +24,7 @@ TEXTS = {
     "order_limit_offset": "SELECT p_partkey, p_name FROM {part} ORDER BY p_retailprice DESC, p_partkey LIMIT 20 OFFSET 5",
     "scalar_subquery": "SELECT c.c_mktsegment, COUNT(*) AS n FROM {customer} c WHERE c.c_acctbal > (SELECT AVG(d.c_acctbal) FROM {customer} d WHERE d.c_mktsegment = c.c_mktsegment) GROUP BY c.c_mktsegment",
     "cte": "WITH spend AS (SELECT o_custkey, COUNT(*) AS n FROM {orders} GROUP BY o_custkey) SELECT n, COUNT(*) AS customers FROM spend GROUP BY n",
-    "strings": "SELECT p_partkey, UPPER(p_name) AS u, SUBSTR(p_name, 2, 3) AS s, REPLACE(p_brand, '#', '-') AS r, CONCAT(p_type, '/', p_brand) AS c, TRIM(p_name) AS t FROM {part} WHERE p_partkey < 500",
+    "strings": "SELECT UPPER(p_name) AS u, SUBSTR(p_name, 2, 3) AS s, REPLACE(p_brand, '#', '-') AS r, CONCAT(p_type, '/', TRIM(p_name)) AS c, COUNT(*) AS n FROM {part} GROUP BY 1, 2, 3, 4",
     "dates": "SELECT CAST(DATE_TRUNC('month', o_orderdate) AS DATE) AS m, CAST(EXTRACT(YEAR FROM o_orderdate) AS BIGINT) AS y, COUNT(*) AS n FROM {orders} GROUP BY 1, 2",
     "maths": "SELECT s_suppkey, ROUND(s_acctbal, 1) AS r, ABS(s_acctbal) AS a, CAST(FLOOR(s_acctbal) AS BIGINT) AS f FROM {supplier}",
     "conditionals": "SELECT CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS size, COALESCE(NULLIF(p_brand, 'Brand#1'), 'none') AS brand, COUNT(*) AS n FROM {part} GROUP BY 1, 2",
