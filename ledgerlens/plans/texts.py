@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from ledgerlens.functions import constants as K
 from ledgerlens.operators import aggregates as A, joins as J, textjobs as X
@@ -224,9 +224,8 @@ SELECT event_id, event_id % 4 <> 3 AS valid, CASE WHEN event_id % 4 <> 3 THEN ev
        CASE WHEN event_id % 4 <> 3 THEN CAST(floor(value) AS BIGINT) ELSE -1 END AS amount,
        CASE WHEN event_id % 4 <> 3 THEN 2 ELSE 0 END AS tags FROM events""")
 def recover_json(t):
-    from pyspark.sql import types as T
-
-    schema = T._parse_datatype_string("kind string, amount bigint, tags array<string>")
+    schema = (T.StructType().add("kind", T.StringType()).add("amount", T.LongType())
+              .add("tags", T.ArrayType(T.StringType())))
     case = F.col("event_id") % 4
     inner = F.format_string('{"kind": "%s", "amount": %d, "tags": ["a", "b"]}', "event_type", F.floor("value").cast("long"))
     body = (F.when(case == 0, inner).when(case == 1, F.concat(F.lit("Here:\n```json\n"), inner, F.lit("\n```\nDone")))

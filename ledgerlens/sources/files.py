@@ -88,7 +88,10 @@ def sql_over_files(spark: SparkSession, paths: Sequence[str], query: str,
 
 def file_manifest(spark: SparkSession, root: str,
                   extensions: Sequence[str] | None = tuple(K.FOLDER_EXTENSIONS)) -> DataFrame:
-    """Files under ``root`` with size and time, newest first; contents are not read."""
+    """Files under ``root`` with size and time, newest first; contents are not read.
+
+    Spark plans no task for zero-byte files, so those are not listed.
+    """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
         .select("path", "length", "modificationTime")
