@@ -67,9 +67,9 @@ def assign_default_tier(
 
     Nothing is added when the tier is missing or inactive.
     """
-    active = tiers.filter((F.col("tier") == tier) & F.col("is_active")).select("tier")
+    active = tiers.filter((F.col("tier") == tier) & F.col("is_active")).agg(F.count(F.lit(1)))
     fresh = new_subscriptions(unsubscribed(orgs, subs).select("org_id").distinct(), tier, now)
-    fresh = fresh.join(F.broadcast(active), "tier", "left_semi")
+    fresh = fresh.filter(active.scalar() > 0)
     return subs.unionByName(fresh, allowMissingColumns=True)
 
 
