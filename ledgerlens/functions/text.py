@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 SPACE = r"(?U)\s+"
+# fixed values: the characters Python's str.strip removes
+WHITE_SPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def words(text: Column) -> Column:
@@ -36,8 +41,8 @@ def pattern_count(text: Column, pattern: str) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Without white space at either end."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    """Without white space at either end; looks at the ends only."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def title_case(name: Column) -> Column:
@@ -88,3 +93,8 @@ def fenced_body(text: Column) -> Column:
         F.when(F.contains(text, F.lit("```json")), rest_json)
         .when(F.contains(text, F.lit("```")), rest_any).otherwise(text)
     )
+
+
+def is_json_object(text: Column) -> Column:
+    """True for a complete JSON object without anything after it."""
+    return F.coalesce(text.startswith("{") & F.try_parse_json(text).isNotNull(), F.lit(False))

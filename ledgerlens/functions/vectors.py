@@ -13,11 +13,23 @@ def unit_rows(column: pd.Series) -> np.ndarray:
     return rows / np.where(norms == 0, 1.0, norms)
 
 
-def top_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column positions of the ``k`` best scores per row, ties by lowest id."""
-    k = min(k, scores.shape[1])
-    by_id = np.argsort(ids, kind="stable")
-    ordered = scores[:, by_id]
-    picked = np.argsort(-ordered, axis=1, kind="stable")[:, :k]
-    rows = np.repeat(np.arange(scores.shape[0]), k)
-    return rows, by_id[picked].ravel()
+def best_pairs(scores: np.ndarray, ids: np.ndarray, k: int, above: float | None = None) -> pd.DataFrame:
+    """Row number ``q``, ``id`` and ``score`` of the ``k`` best columns of every row.
+
+    Ties go to the lowest id. ``above`` drops scores that are not strictly greater.
+    """
+    if scores.shape[1] > k:
+        floor = np.partition(scores, -k, axis=1)[:, -k][:, None]
+        keep = scores >= floor
+    else:
+        keep = np.ones(scores.shape, dtype=bool)
+    if above is not None:
+        keep &= scores > above
+    rows, cols = np.nonzero(keep)
+    return trim_pairs(pd.DataFrame({"q": rows, "id": ids[cols], "score": scores[rows, cols]}), k)
+
+
+def trim_pairs(pairs: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The ``k`` best pairs of each ``q``."""
+    ordered = pairs.sort_values(["q", "score", "id"], ascending=[True, False, True])
+    return ordered[ordered.groupby("q").cumcount() < k]

@@ -11,6 +11,7 @@ from ledgerlens.functions import constants as K
 from ledgerlens.functions.text import pattern_count
 from ledgerlens.operators.filters import filter_events
 from ledgerlens.operators.ordering import first_n
+from ledgerlens.session import spread
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -461,7 +462,7 @@ def pii_census(df: DataFrame, text: str, keys: Sequence[str] = (),
                types: Sequence[str] = tuple(K.PII_PATTERNS), custom: Mapping[str, str] | None = None) -> DataFrame:
     """Pattern matches per type and key, counted with native expressions."""
     patterns = {t: K.PII_PATTERNS[t] for t in types} | dict(custom or {})
-    counted = df.select(
+    counted = spread(df.select(*keys, text)).select(
         *keys, *[pattern_count(F.col(text), p).alias(f"_{i}") for i, p in enumerate(patterns.values())]
     )
     sums = counted.groupBy(*keys).agg(

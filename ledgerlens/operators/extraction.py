@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ledgerlens.functions import constants as K
-from ledgerlens.functions.text import fenced_body, identifier_text
+from ledgerlens.functions.text import fenced_body, identifier_text, is_json_object
 from ledgerlens.operators.aggregates import count_fields
 from ledgerlens.operators.ordering import number_items
 
@@ -142,14 +142,15 @@ def extract_records(raw: DataFrame, schema: Mapping[str, Any], text: str = "resp
     empty data with ``valid`` false; a value that does not fit its type is null.
     """
     shape = _text_struct(schema)
-    envelope = T.StructType([T.StructField("parameters", shape)])
-    body = fenced_body(F.col(text))
-    rows = raw.withColumn("_body", body)
-    keys = F.json_object_keys("_body")
-    valid = keys.isNotNull() & F.try_parse_json("_body").isNotNull()
-    wrapped = F.array_contains(keys, "parameters")
-    parsed = F.when(wrapped, F.from_json("_body", envelope)["parameters"]).otherwise(F.from_json("_body", shape))
-    rows = rows.withColumn("valid", valid).withColumn("_p", F.when(valid, parsed))
+    # one parse reads the plain and the enveloped form
+    either = T.StructType([*shape.fields, T.StructField("parameters", shape)]) if "parameters" not in shape.names else shape
+    rows = raw.withColumn("_body", fenced_body(F.col(text)))
+    rows = rows.withColumn("valid", is_json_object(F.col("_body"))).withColumn(
+        "_e", F.when(F.col("valid"), F.from_json("_body", either)))
+    plain = F.struct(*[F.col(f"_e.`{n}`").alias(n) for n in shape.names])
+    if either is not shape:
+        plain = F.coalesce("_e.parameters", plain)
+    rows = rows.withColumn("_p", F.when(F.col("valid"), plain))
     fields = []
     for name, definition in schema.get("properties", {}).items():
         value = _typed(F.col(f"_p.`{name}`"), definition)
@@ -163,7 +164,7 @@ def extract_records(raw: DataFrame, schema: Mapping[str, Any], text: str = "resp
     ]).cast("array<string>"))
     rows = rows.withColumn("missing_required", missing)
     counted = rows.withColumn("extracted_fields", count_fields(rows.schema["data"].dataType, F.col("data")))
-    return counted.drop("_body", "_p")
+    return counted.drop("_body", "_e", "_p")
 
 
 def _absent(value: Column, definition: Mapping[str, Any]) -> Column:

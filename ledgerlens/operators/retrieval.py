@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ledgerlens.functions import constants as K
 from ledgerlens.functions import text as X
-from ledgerlens.functions.vectors import top_rows, unit_rows
+from ledgerlens.functions.vectors import best_pairs, trim_pairs, unit_rows
 from ledgerlens.operators.ordering import first_n
+from ledgerlens.session import spread
 
 BLOCK_ROWS = 8_192
 BROADCAST_QUERIES = 4_096
@@ -41,7 +42,7 @@ def chunk_documents(docs: DataFrame, text: str = "text", size: int = K.CHUNK_TOK
     pieces = F.transform(starts, lambda i: F.slice(F.col("_words"), i * step + 1, F.lit(size)))
     rest = [c for c in docs.columns if c != text]
     return (
-        docs.select(*rest, words.alias("_words")).filter(n > 0)
+        spread(docs).select(*rest, words.alias("_words")).filter(n > 0)
         .select(*rest, F.posexplode(pieces).alias("chunk_no", "_piece"))
         .select(*rest, "chunk_no", F.size("_piece").alias("chunk_tokens"), F.array_join("_piece", " ").alias("chunk_text"))
     )
@@ -65,36 +66,96 @@ def terms(text: Column) -> Column:
 
 def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int, *, query_id: str = "query_id",
                  query_text: str = "query_text", chunk_id: str = "chunk_id", chunk_text: str = "chunk_text",
-                 k1: float = 1.2, b: float = 0.75) -> DataFrame:
+                 k1: float = 1.2, b: float = 0.75, broadcast_rows: int = BROADCAST_QUERIES) -> DataFrame:
     """Best chunks per query by exact terms (BM25), ties to the lowest chunk id.
 
-    Only postings of asked terms are kept. A chunk's terms sit in one row, so
-    its term counts and its scores combine before the shuffle; a frequent term
-    meets the asked-terms side in a join that AQE broadcasts when small and
-    splits when skewed.
+    Up to ``broadcast_rows`` queries (counted first) are scored in one map-only
+    pass in which every partition keeps its own best ``k`` per query. More are
+    scored by joining asked terms with postings.
     """
     asked = queries.select(query_id, F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term"))
-    bags = chunks.select(F.col(chunk_id), terms(F.col(chunk_text)).alias("_terms")).withColumn(
-        "_len", F.size("_terms"))
-    stats = bags.agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg"))
-    total, mean = stats.select("n").scalar(), stats.select("avg").scalar()
-    postings = (
-        bags.select(chunk_id, "_len", F.explode("_terms").alias("term"))
-        .join(asked.select("term").distinct(), "term", "left_semi")
-        .groupBy(chunk_id, "_len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    bags = spread(chunks.select(F.col(chunk_id), chunk_text)).select(
+        chunk_id, terms(F.col(chunk_text)).alias("_terms")).withColumn("_len", F.size("_terms"))
+    # one pass for chunk frequency of asked terms and, under the empty term that
+    # every chunk has once, the number of chunks and their total length
+    wanted = asked.select("term").distinct().unionByName(queries.sparkSession.createDataFrame([("",)], "term string"))
+    spread_of = (
+        bags.select("_len", F.explode(F.array_append(F.array_distinct("_terms"), F.lit(""))).alias("term"))
+        .join(wanted, "term", "left_semi")
+        .groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("_len").alias("_words"))
     )
-    spread = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    whole = spread_of.filter(F.col("term") == "").select("df", (F.col("_words") / F.col("df")).alias("avg"))
+    total, mean = whole.select("df").scalar(), whole.select("avg").scalar()
     idf = F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = asked.join(spread, "term").withColumn("idf", idf).drop("df")
-    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("_len") / mean))
-    scored = postings.join(weighted, "term").groupBy(query_id, chunk_id).agg(F.sum(F.col("idf") * gain).alias("score"))
+    weighted = asked.join(spread_of, "term").withColumn("idf", idf).withColumn("avg", mean).drop("df", "_words")
+    if queries.count() <= broadcast_rows and asked.count() <= broadcast_rows * 256:
+        found = _scan_terms(weighted, bags, query_id, chunk_id, k, k1, b)
+    else:
+        postings = (
+            bags.select(chunk_id, "_len", F.explode("_terms").alias("term"))
+            .join(asked.select("term").distinct(), "term", "left_semi")
+            .groupBy(chunk_id, "_len", "term").agg(F.count(F.lit(1)).alias("tf"))
+        )
+        gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("_len") / mean))
+        found = postings.join(weighted, "term").groupBy(query_id, chunk_id).agg(
+            F.sum(F.col("idf") * gain).alias("score"))
     # sums of doubles depend on their order; rounding makes ranks repeatable
-    scored = scored.withColumn("score", F.round("score", 9))
-    return first_n(scored, [query_id], [F.desc("score"), F.col(chunk_id)], k, "rank")
+    found = found.withColumn("score", F.round("score", 9))
+    return first_n(found, [query_id], [F.desc("score"), F.col(chunk_id)], k, "rank")
+
+
+def _scan_terms(weighted: DataFrame, bags: DataFrame, query_id: str, chunk_id: str,
+                k: int, k1: float, b: float) -> DataFrame:
+    """Chunk batches scored against the broadcast asked terms, keeping a running top ``k``."""
+    schema = T.StructType([
+        weighted.schema[query_id], bags.schema[chunk_id], T.StructField("score", T.DoubleType())])
+    table = weighted.toPandas()
+    mean = float(table["avg"].iloc[0]) if len(table) else 1.0
+    ids, number = np.unique(table[query_id].to_numpy(), return_inverse=True)
+    words, term = np.unique(table["term"].to_numpy(dtype=str), return_inverse=True)
+    order = np.argsort(term, kind="stable")
+    starts = np.searchsorted(term[order], np.arange(len(words) + 1))
+    idf = np.zeros(len(words))
+    idf[term] = table["idf"].to_numpy()
+    shared = weighted.sparkSession.sparkContext.broadcast(
+        (ids, {w: i for i, w in enumerate(words)}, number[order], starts, idf))
+
+    def best(batches):
+        query_ids, vocabulary, by_term, edges, weight = shared.value
+        kept = None
+        for pdf in _slices(batches, len(query_ids)):
+            hits = [(row, vocabulary[w]) for row, bag in enumerate(pdf["_terms"]) for w in bag if w in vocabulary]
+            if not hits:
+                continue
+            pairs, counts = np.unique(np.array(hits), axis=0, return_counts=True)
+            rows, cols = pairs[:, 0], pairs[:, 1]
+            length = pdf["_len"].to_numpy()[rows]
+            gain = weight[cols] * counts * (k1 + 1) / (counts + k1 * (1 - b + b * length / mean))
+            scores = np.zeros((len(query_ids), len(pdf)))
+            line_up = np.argsort(cols, kind="stable")
+            rows, cols, gain = rows[line_up], cols[line_up], gain[line_up]
+            cuts = np.flatnonzero(np.r_[True, cols[1:] != cols[:-1], True])
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                asking = by_term[edges[cols[lo]]:edges[cols[lo] + 1]]
+                scores[np.ix_(asking, rows[lo:hi])] += gain[lo:hi]
+            found = best_pairs(np.round(scores, 9), pdf[chunk_id].to_numpy(), k, above=0.0)
+            kept = found if kept is None else trim_pairs(pd.concat([kept, found]), k)
+        if kept is not None:
+            yield pd.DataFrame({query_id: query_ids[kept["q"]], chunk_id: kept["id"].to_numpy(), "score": kept["score"].to_numpy()})
+
+    return bags.mapInPandas(best, schema)
 
 
 # --- vector retrieval -------------------------------------------------------
 
+def _slices(batches, width: int, cells: int = 4_000_000):
+    """Batches cut so that a score table of ``width`` rows stays within ``cells``."""
+    step = max(1, cells // max(1, width))
+    for pdf in batches:
+        for at in range(0, len(pdf), step):
+            yield pdf.iloc[at:at + step]
+
+
 def _pair_schema(queries: DataFrame, vectors: DataFrame, query_id: str, vector_id: str) -> T.StructType:
     return T.StructType([
         T.StructField(query_id, queries.schema[query_id].dataType),
@@ -112,12 +173,11 @@ def _block_best(left: DataFrame, right: DataFrame, keys: Sequence[str], query_id
         if asked.empty or stored.empty:
             return pd.DataFrame(columns=schema.names)
         scores = unit_rows(asked[embedding]) @ unit_rows(stored[embedding]).T
-        rows, cols = top_rows(scores, stored[vector_id].to_numpy(), k)
-        found = pd.DataFrame({
-            query_id: asked[query_id].to_numpy()[rows], vector_id: stored[vector_id].to_numpy()[cols],
-            "similarity": scores[rows, cols],
+        found = best_pairs(scores, stored[vector_id].to_numpy(), k, above)
+        return pd.DataFrame({
+            query_id: asked[query_id].to_numpy()[found["q"]], vector_id: found["id"].to_numpy(),
+            "similarity": found["score"].to_numpy(),
         })
-        return found if above is None else found[found["similarity"] > above]
 
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, schema)
 
@@ -161,16 +221,13 @@ def _scan_best(asked: DataFrame, stored: DataFrame, query_id: str, vector_id: st
     def best(batches):
         ids, matrix = shared.value
         kept = None
-        for pdf in batches:
+        for pdf in _slices(batches, len(ids)):
             if matrix is None or pdf.empty:
                 continue
-            scores = matrix @ unit_rows(pdf[embedding]).T
-            rows, cols = top_rows(scores, pdf[vector_id].to_numpy(), k)
-            found = pd.DataFrame({"q": rows, vector_id: pdf[vector_id].to_numpy()[cols], "similarity": scores[rows, cols]})
-            kept = found if kept is None else pd.concat([kept, found])
-            kept = kept.sort_values(["q", "similarity", vector_id], ascending=[True, False, True]).groupby("q").head(k)
+            found = best_pairs(matrix @ unit_rows(pdf[embedding]).T, pdf[vector_id].to_numpy(), k)
+            kept = found if kept is None else trim_pairs(pd.concat([kept, found]), k)
         if kept is not None:
-            yield pd.DataFrame({query_id: ids[kept["q"]], vector_id: kept[vector_id].to_numpy(), "similarity": kept["similarity"].to_numpy()})
+            yield pd.DataFrame({query_id: ids[kept["q"]], vector_id: kept["id"].to_numpy(), "similarity": kept["score"].to_numpy()})
 
     return stored.mapInPandas(best, schema)
 
@@ -243,10 +300,15 @@ def ivf_topk(queries: DataFrame, index: DataFrame, centres: np.ndarray, k: int,
 
 
 def _blocked(left: DataFrame, right: DataFrame, keys: Sequence[str], query_id: str, vector_id: str,
-             block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides of a keyed match cut into blocks of about ``block_rows`` per key."""
-    n_left = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nl"))
-    n_right = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nr"))
+             block_rows: int, n_left: DataFrame | None = None, n_right: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a keyed match cut into blocks of about ``block_rows`` per key.
+
+    Known row counts per key (``_nl``, ``_nr``) save a pass over that side.
+    """
+    if n_left is None:
+        n_left = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nl"))
+    if n_right is None:
+        n_right = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nr"))
     rows = F.lit(block_rows)
     cut = n_left.join(n_right, list(keys)).select(
         *keys, F.ceil(F.col("_nl") / rows).cast("int").alias("_nq"), F.ceil(F.col("_nr") / rows).cast("int").alias("_nv"))
@@ -269,7 +331,7 @@ def _scope_key() -> Column:
 
 def cache_lookup(queries: DataFrame, cache: DataFrame, threshold: float | None = None, *,
                  query_id: str = "query_id", cache_id: str = "id", embedding: str = "embedding",
-                 ttl_hours: int | None = None, now: Column | None = None, pivots: int = 32,
+                 ttl_hours: int | None = None, now: Column | None = None, pivots: int | None = None,
                  block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Each query with the most similar cached entry of its scope above the threshold.
 
@@ -283,12 +345,15 @@ def cache_lookup(queries: DataFrame, cache: DataFrame, threshold: float | None =
         cache = cache.filter(F.col("created_at") >= now - F.make_interval(hours=F.lit(ttl_hours)))
     asked = queries.select(query_id, embedding, _scope_key().alias("_scope"))
     stored = cache.select(cache_id, embedding, _scope_key().alias("_scope"))
+    if pivots is None:
+        # a cache of a few blocks is compared whole; a larger one is worth pruning
+        pivots = max(1, min(64, stored.count() // block_rows))
     grid = _pivots(cache, cache_id, embedding, pivots)
     if grid is None:
         found = queries.sparkSession.createDataFrame([], _pair_schema(queries, cache, query_id, cache_id))
     else:
         placed = _distances(stored, grid, embedding, nearest=True)
-        cells = placed.groupBy("_scope", "_pivot").agg(F.max("_distance").alias("_radius"))
+        cells = placed.groupBy("_scope", "_pivot").agg(F.max("_distance").alias("_radius"), F.count(F.lit(1)).alias("_nr"))
         reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
         # distances are narrow rows; the embedding follows only to surviving cells
         near = _distances(asked, grid, embedding, nearest=False).select(
@@ -296,7 +361,9 @@ def cache_lookup(queries: DataFrame, cache: DataFrame, threshold: float | None =
         visits = near.join(cells, ["_scope", "_pivot"]).filter(
             F.col("_distance") - F.col("_radius") <= F.lit(reach)).select(query_id, "_scope", "_pivot")
         left = visits.join(asked.drop("_scope"), query_id)
-        left, right = _blocked(left, placed.drop("_distance"), ["_scope", "_pivot"], query_id, cache_id, block_rows)
+        left, right = _blocked(
+            left, placed.drop("_distance"), ["_scope", "_pivot"], query_id, cache_id, block_rows,
+            visits.groupBy("_scope", "_pivot").agg(F.count(F.lit(1)).alias("_nl")), cells.drop("_radius"))
         found = _block_best(left, right, ["_scope", "_pivot", "_qb", "_vb"], query_id, cache_id, embedding, 1, threshold)
     best = found.groupBy(query_id).agg(
         F.max_by(cache_id, F.struct(F.col("similarity"), -F.col(cache_id))).alias("cache_id") if _numeric(cache, cache_id)

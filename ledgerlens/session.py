@@ -59,3 +59,16 @@ def is_small(df, max_bytes: int) -> bool:
     """True when Catalyst's own size estimate of ``df`` is within ``max_bytes``."""
     plan = df._jdf.queryExecution().optimizedPlan()
     return int(plan.stats().sizeInBytes().toString()) <= max_bytes
+
+
+def spread(df):
+    """Use all cores for heavy per-row work on a scan of few splits.
+
+    A large table has more splits than cores and is returned unchanged; only a
+    plain scan with fewer is repartitioned.
+    """
+    execution = df._jdf.queryExecution()
+    if "Exchange" in execution.executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if execution.toRdd().getNumPartitions() * 2 <= cores else df
