@@ -14,7 +14,7 @@ WHITE_SPACE = (
 
 def words(text: Column) -> Column:
     """White-space separated words; none for blank or null text."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
 def word_count(text: Column) -> Column:

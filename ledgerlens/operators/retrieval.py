@@ -61,7 +61,7 @@ def filter_chunks(chunks: DataFrame, file_name: str | None = None, folder_name:
 
 def terms(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int, *, query_id: str = "query_id",
@@ -84,13 +84,13 @@ def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int, *, query_id: str
         .join(wanted, "term", "left_semi")
         .groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("_len").alias("_words"))
     )
-    whole = spread_of.filter(F.col("term") == "").select("df", (F.col("_words") / F.col("df")).alias("avg"))
-    total, mean = whole.select("df").scalar(), whole.select("avg").scalar()
-    idf = F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = asked.join(spread_of, "term").withColumn("idf", idf).withColumn("avg", mean).drop("df", "_words")
     if queries.count() <= broadcast_rows and asked.count() <= broadcast_rows * 256:
-        found = _scan_terms(weighted, bags, query_id, chunk_id, k, k1, b)
+        found = _scan_terms(asked, spread_of, bags, query_id, chunk_id, k, k1, b)
     else:
+        whole = spread_of.filter(F.col("term") == "").select("df", (F.col("_words") / F.col("df")).alias("avg"))
+        total, mean = whole.select("df").scalar(), whole.select("avg").scalar()
+        idf = F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        weighted = asked.join(spread_of, "term").withColumn("idf", idf).drop("df", "_words")
         postings = (
             bags.select(chunk_id, "_len", F.explode("_terms").alias("term"))
             .join(asked.select("term").distinct(), "term", "left_semi")
@@ -104,31 +104,36 @@ def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int, *, query_id: str
     return first_n(found, [query_id], [F.desc("score"), F.col(chunk_id)], k, "rank")
 
 
-def _scan_terms(weighted: DataFrame, bags: DataFrame, query_id: str, chunk_id: str,
+def _scan_terms(asked: DataFrame, spread_of: DataFrame, bags: DataFrame, query_id: str, chunk_id: str,
                 k: int, k1: float, b: float) -> DataFrame:
     """Chunk batches scored against the broadcast asked terms, keeping a running top ``k``."""
     schema = T.StructType([
-        weighted.schema[query_id], bags.schema[chunk_id], T.StructField("score", T.DoubleType())])
-    table = weighted.toPandas()
-    mean = float(table["avg"].iloc[0]) if len(table) else 1.0
+        asked.schema[query_id], bags.schema[chunk_id], T.StructField("score", T.DoubleType())])
+    counts = spread_of.toPandas()
+    whole = counts[counts["term"] == ""]
+    total = int(whole["df"].iloc[0]) if len(whole) else 0
+    mean = float(whole["_words"].iloc[0]) / total if total else 1.0
+    table = asked.toPandas().merge(counts[counts["term"] != ""], on="term")
     ids, number = np.unique(table[query_id].to_numpy(), return_inverse=True)
     words, term = np.unique(table["term"].to_numpy(dtype=str), return_inverse=True)
     order = np.argsort(term, kind="stable")
     starts = np.searchsorted(term[order], np.arange(len(words) + 1))
-    idf = np.zeros(len(words))
-    idf[term] = table["idf"].to_numpy()
-    shared = weighted.sparkSession.sparkContext.broadcast(
+    found_in = np.zeros(len(words))
+    found_in[term] = table["df"].to_numpy()
+    idf = np.log(1 + (total - found_in + 0.5) / (found_in + 0.5))
+    shared = asked.sparkSession.sparkContext.broadcast(
         (ids, {w: i for i, w in enumerate(words)}, number[order], starts, idf))
 
     def best(batches):
         query_ids, vocabulary, by_term, edges, weight = shared.value
         kept = None
         for pdf in _slices(batches, len(query_ids)):
-            hits = [(row, vocabulary[w]) for row, bag in enumerate(pdf["_terms"]) for w in bag if w in vocabulary]
+            size = len(vocabulary)
+            hits = [row * size + vocabulary[w] for row, bag in enumerate(pdf["_terms"]) for w in bag if w in vocabulary]
             if not hits:
                 continue
-            pairs, counts = np.unique(np.array(hits), axis=0, return_counts=True)
-            rows, cols = pairs[:, 0], pairs[:, 1]
+            pairs, counts = np.unique(np.array(hits, dtype=np.int64), return_counts=True)
+            rows, cols = np.divmod(pairs, size)
             length = pdf["_len"].to_numpy()[rows]
             gain = weight[cols] * counts * (k1 + 1) / (counts + k1 * (1 - b + b * length / mean))
             scores = np.zeros((len(query_ids), len(pdf)))

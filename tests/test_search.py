@@ -81,3 +81,12 @@ def test_empty_cache_misses(spark):
     _, some = clustered(spark, 3, 4, 1, True)
     out = R.cache_lookup(some.withColumnRenamed("id", "query_id"), some.limit(0))
     assert [r.hit for r in out.collect()] == [False] * 3
+
+
+def test_keyword_forms_agree(spark, tables):
+    asked = tables.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    chunks = tables.documents.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"))
+    a = R.keyword_topk(asked, chunks, 5)
+    b = R.keyword_topk(asked, chunks, 5, broadcast_rows=0)
+    cols = ["query_id", "chunk_id", "rank"]
+    assert a.select(cols).exceptAll(b.select(cols)).count() == 0 and a.count() == b.count() > 0
