@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-SPACE = r"(?U)\s+"
-# fixed values: the characters Python's str.strip removes
+# fixed values: the characters Python's str.split and str.strip treat as space
 WHITE_SPACE = (
     " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
+# the same set as a pattern: Unicode white space and the four separators
+SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
 def words(text: Column) -> Column:
@@ -18,12 +19,9 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """Word count without building filtered arrays: split pieces minus empty ends."""
-    value = F.coalesce(text, F.lit(""))
-    pieces = F.size(F.split(value, SPACE))
-    lead = F.when(value.rlike(r"(?U)^(\s|$)"), 1).otherwise(0)
-    trail = F.when(value.rlike(r"(?U)\s\z"), 1).otherwise(0)
-    return F.greatest(F.lit(0), pieces - lead - trail)
+    """Number of white-space separated words."""
+    body = strip(F.coalesce(text, F.lit("")))
+    return F.when(body == "", 0).otherwise(F.size(F.split(body, SPACE)))
 
 
 def token_estimate(text: Column) -> Column:
