@@ -167,7 +167,8 @@ def usage_summary(subs_view: DataFrame, tokens: DataFrame, now: Column) -> tuple
     """Period usage of every organisation on one row, and its feature breakdown.
 
     The breakdown counts the token rows of each organisation's own period, both
-    ends included.
+    ends included. Periods start and end at midnight, so tokens are first summed
+    per organisation, feature and day, with rows of exactly midnight apart.
     """
     gib = F.lit(float(1024 ** 3))
     row = subs_view
@@ -185,11 +186,14 @@ def usage_summary(subs_view: DataFrame, tokens: DataFrame, now: Column) -> tuple
         .withColumn("storage_limit_gb", F.col("storage_limit_bytes") / gib)
         .withColumn("tier_display_name", F.initcap("tier_name"))
     )
-    periods = subs_view.select("org_id", "current_period_start", "current_period_end")
-    inside = (
-        tokens.join(periods, "org_id")
-        .filter(F.col("created_at").between(F.col("current_period_start"), F.col("current_period_end")))
-    )
+    day = F.to_date("created_at")
+    daily = tokens.groupBy(
+        "org_id", "feature", day.alias("_day"), (F.col("created_at") == day.cast("timestamp_ntz")).alias("_midnight")
+    ).agg(F.sum("total_tokens").alias("total_tokens"), F.sum("total_cost_usd").alias("total_cost_usd"))
+    periods = subs_view.select(
+        "org_id", F.to_date("current_period_start").alias("_from"), F.to_date("current_period_end").alias("_to"))
+    until = (F.col("_day") < F.col("_to")) | ((F.col("_day") == F.col("_to")) & F.col("_midnight"))
+    inside = daily.join(periods, "org_id").filter((F.col("_day") >= F.col("_from")) & until)
     return row, feature_breakdown(inside)
 
 

@@ -46,21 +46,6 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df):
-    """Cut the lineage of ``df`` through the shared reliable checkpoint folder."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark, "checkpoint"))
-    return df.checkpoint(eager=True)
-
-
-def is_small(df, max_bytes: int) -> bool:
-    """True when Catalyst's own size estimate of ``df`` is within ``max_bytes``."""
-    plan = df._jdf.queryExecution().optimizedPlan()
-    return int(plan.stats().sizeInBytes().toString()) <= max_bytes
-
-
 def spread(df):
     """Use all cores for heavy per-row work on a scan of few splits.
 
