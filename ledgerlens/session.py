@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -29,7 +34,31 @@ def build_session(master: str | None = None, app: str = "ledgerlens", **conf: st
         builder = builder.config(key, value)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the package to the Python workers, wherever the driver found it; once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_ledgerlens_shipped", None) != context.applicationId:
+        source = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="ledgerlens-")  # workers fetch the file from the driver when they start
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        archive = os.path.join(folder, "ledgerlens.zip")
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for file in sorted(source.rglob("*.py")):
+                out.write(file, str(file.relative_to(source.parent)))
+        context.addPyFile(archive)
+        context._ledgerlens_shipped = context.applicationId
+    return spark
+
+
+@lru_cache(maxsize=1)
+def _local_root() -> str:
+    """Scratch folder of a local session, gone with the process."""
+    root = tempfile.mkdtemp(prefix="ledgerlens-scratch-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
@@ -42,7 +71,7 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = os.path.join(tempfile.gettempdir(), "ledgerlens")
+        root = _local_root()
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
