@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 # fixed values: the characters Python's str.split and str.strip treat as space
@@ -34,8 +36,22 @@ def ignore_case(pattern: str) -> str:
     return f"(?iU){pattern}"
 
 
+def unicode_pattern(pattern: str) -> str:
+    r"""A pattern that ignores case and whose \b, \w, \d and \s go by Unicode letters, numbers and white space.
+
+    A combining mark or a joiner is no word character, so a boundary lies
+    between it and a digit; the engine's own Unicode classes see none there.
+    """
+    word = r"[\p{L}\p{N}_]"
+    classes = {
+        "b": f"(?:(?<!{word})(?={word})|(?<={word})(?!{word}))", "w": word, "d": r"\p{Nd}",
+        "s": "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITE_SPACE) + "]",
+    }
+    return "(?iu)" + re.sub(r"\\(.)", lambda m: classes.get(m[1], m[0]), pattern)
+
+
 def pattern_count(text: Column, pattern: str) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(ignore_case(pattern))), F.lit(0))
+    return F.coalesce(F.regexp_count(text, F.lit(unicode_pattern(pattern))), F.lit(0))
 
 
 def strip(text: Column) -> Column:
@@ -48,21 +64,23 @@ def title_case(name: Column) -> Column:
     return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
 
 
+# how a display name becomes an identifier: each rule rewrites what the one before left
+IDENTIFIER_RULES = [(r"[\s\-]+", "_"), (r"[^a-z0-9_]", ""), (r"^(?=[0-9])", "_")]
+
+
 def identifier(name: Column, length: int = 63) -> Column:
     """Lower-case table or column name of letters, digits and underscores."""
-    out = F.regexp_replace(F.lower(strip(name)), r"(?U)[\s\-]+", "_")
-    out = F.regexp_replace(out, r"[^a-z0-9_]", "")
-    out = F.when(out.rlike(r"^[0-9]"), F.concat(F.lit("_"), out)).otherwise(out)
+    out = F.lower(strip(name))
+    for pattern, text in IDENTIFIER_RULES:
+        out = F.regexp_replace(out, f"(?U){pattern}", text)
     return F.substring(out, 1, length)
 
 
 def identifier_text(name: str, length: int = 63) -> str:
-    """Driver-side twin of :func:`identifier` for schema fields."""
-    import re
-
-    out = re.sub(r"[^a-z0-9_]", "", re.sub(r"[\s\-]+", "_", name.lower().strip()))
-    if out[:1].isdigit():
-        out = "_" + out
+    """:func:`identifier` for the names of schema fields, by the same rules."""
+    out = name.strip().lower()
+    for pattern, text in IDENTIFIER_RULES:
+        out = re.sub(pattern, text, out)
     return out[:length]
 
 
@@ -94,5 +112,11 @@ def fenced_body(text: Column) -> Column:
 
 
 def is_json_object(text: Column) -> Column:
-    """True for a complete JSON object without anything after it."""
-    return F.coalesce(text.startswith("{") & F.try_parse_json(text).isNotNull(), F.lit(False))
+    """True for a complete JSON object without anything after it; a key may repeat.
+
+    The parser stops at the end of a value, so the text is put into an array and
+    into an object: what follows the value breaks one of the two.
+    """
+    one = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    alone = F.size(F.json_object_keys(F.concat(F.lit('{"v":'), text, F.lit("}")))) == 1
+    return F.coalesce(text.startswith("{") & one & alone, F.lit(False))
