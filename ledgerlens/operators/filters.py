@@ -6,6 +6,7 @@ import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from ledgerlens.functions import constants as K
 from ledgerlens.operators.ordering import first_n
@@ -198,9 +199,13 @@ def validate_manifest(
     ok = judged.filter(F.col("reason").isNull()).drop("reason")
     rejected = judged.filter(F.col("reason").isNotNull())
     if folder_cap is not None:
-        admitted = first_n(ok, folder_cols, order, folder_cap).select(path_col)
-        over = ok.join(admitted, path_col, "left_anti")
+        # repeats of a path are told apart by number, so that each takes a place of its own
+        repeats = Window.partitionBy(path_col).orderBy(*order, F.xxhash64(*ok.columns))
+        ok = ok.withColumn("_repeat", F.row_number().over(repeats))
+        keys = [path_col, "_repeat"]
+        admitted = first_n(ok, folder_cols, [*order, F.col(path_col), F.col("_repeat")], folder_cap).select(*keys)
+        over = ok.join(admitted, keys, "left_anti").select(*df.columns)
         rejected = rejected.unionByName(over.withColumn("reason", F.lit("over_folder_cap")))
-        ok = ok.join(admitted, path_col, "left_semi")
+        ok = ok.join(admitted, keys, "left_semi").select(*df.columns)
     return ok, rejected
 

@@ -407,7 +407,8 @@ def apply_deltas(state: DataFrame, deltas: DataFrame, key: str, value: str, delt
 
 def purge_expired(cache: DataFrame, ttl_hours: int, now: Column, created: str = "created_at") -> tuple[DataFrame, DataFrame]:
     """Live entries, and the deleted count; entries older than the TTL go."""
-    old = F.col(created) < now - F.make_interval(hours=F.lit(ttl_hours))
+    # an entry without a time never expires
+    old = F.coalesce(F.col(created) < now - F.make_interval(hours=F.lit(ttl_hours)), F.lit(False))
     return cache.filter(~old), cache.filter(old).agg(F.count(F.lit(1)).alias("deleted"))
 
 
@@ -418,6 +419,7 @@ def clear_scope(cache: DataFrame, org, folder: str | None = None, file: str | No
         hit = hit & F.col("folder_filter").eqNullSafe(F.lit(folder))
     elif file:
         hit = hit & F.col("file_filter").eqNullSafe(F.lit(file))
+    hit = F.coalesce(hit, F.lit(False))  # an entry without an organisation belongs to none
     return cache.filter(~hit), cache.filter(hit).agg(F.count(F.lit(1)).alias("deleted"))
 
 

@@ -1,8 +1,9 @@
 """Latest-of, top-n, paging, conversation trims and upload admission.
 
-Rank filters are written as ``row_number() <= n`` so that Spark prunes each
-map task to n rows per key before the shuffle (WindowGroupLimit); a hot key
-therefore never reaches one task whole.
+Rank filters are written as ``row_number() <= n``. Up to
+``spark.sql.optimizer.windowGroupLimitThreshold`` Spark prunes each map task to n
+rows per key before the shuffle (WindowGroupLimit); beyond it ``first_n`` ranks
+parts of a key first. A hot key therefore never reaches one task whole.
 """
 
 from __future__ import annotations
@@ -27,9 +28,19 @@ def latest_per_key(
 
 def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
             rank: str | None = None) -> DataFrame:
-    """First ``n`` rows of each key along ``order``."""
+    """First ``n`` rows of each key along ``order``.
+
+    A large ``n`` is not pruned by Spark, so each key is cut into parts by a hash
+    of the row, and only the first ``n`` of every part meet.
+    """
     name = rank or "_rank"
     window = Window.partitionBy(*keys).orderBy(*order)
+    if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        part = F.pmod(F.xxhash64(*[c for c, kind in df.dtypes if not kind.startswith("map")]), F.lit(parts))
+        inside = Window.partitionBy(*keys, "_part").orderBy(*order)
+        df = df.withColumn("_part", part).withColumn("_in_part", F.row_number().over(inside)).filter(
+            F.col("_in_part") <= n).drop("_part", "_in_part")
     out = df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= n)
     return out if rank else out.drop(name)
 
@@ -43,6 +54,26 @@ def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) ->
     )
 
 
+def page_after(df: DataFrame, keys: Sequence[tuple[str, bool]], limit: int, after: Sequence | None = None) -> DataFrame:
+    """The ``limit`` rows that follow a row with the key values ``after``.
+
+    ``keys`` are (column, descending) and make the order total; nulls come first
+    ascending and last descending, as in a sort. However deep the page, a task
+    keeps ``limit`` rows.
+    """
+    if after is not None:
+        beyond, equal = F.lit(False), F.lit(True)
+        for (name, falls), value in zip(keys, after, strict=True):
+            column, at = F.col(name), F.lit(value)
+            if value is None:
+                step = F.lit(False) if falls else column.isNotNull()
+            else:
+                step = F.coalesce(column < at, F.lit(True)) if falls else F.coalesce(column > at, F.lit(False))
+            beyond, equal = beyond | (equal & step), equal & column.eqNullSafe(at)
+        df = df.filter(beyond)
+    return df.orderBy(*[F.desc(n) if falls else F.asc(n) for n, falls in keys]).limit(limit)
+
+
 def recent_per_org(df: DataFrame, org: str, ts: str, key: str, n: int = 5) -> DataFrame:
     """The ``n`` newest rows of each organisation, ranked from 1."""
     return first_n(df, [org], [F.desc(ts), F.desc(key)], n, "recent_rank")
