@@ -62,40 +62,71 @@ def mount_files(spark: SparkSession, paths: Sequence[str]) -> tuple[dict[str, st
 _QUOTED = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.S)
 
 
+_FORBIDDEN = re.compile(r"(?<![\w.])(reflect|java_method|try_reflect)\s*\(", re.I)
+_PATH = re.compile(r"(?<![\w`])`?(csv|json|orc|parquet|text|avro|xml|binaryfile|delta)`?\s*\.\s*`", re.I)
+
+
 def guard_sql(query: str) -> None:
-    """Refuse write keywords anywhere outside literals, quoted names and comments."""
+    """Refuse write keywords anywhere outside literals, quoted names and comments, paths as tables and calls into Java."""
     bare = _QUOTED.sub(" ", query).upper()
     found = re.search(rf"(?<![A-Z0-9_])({'|'.join(K.WRITE_KEYWORDS)})(?![A-Z0-9_])", bare)
     if found:
         raise ValueError(f"SQL operation {found.group(1)!r} is not allowed")
+    unquoted = re.sub(r"'(?:[^']|'')*'|--[^\n]*|/\*.*?\*/", " ", query, flags=re.S)
+    if _PATH.search(unquoted):
+        raise ValueError("SQL may read the mounted files only, not paths")
+    if _FORBIDDEN.search(unquoted.replace("`", "")):
+        raise ValueError("SQL may not call into Java")
+    if not re.match(r"[\s(]*(SELECT|WITH|VALUES|FROM|TABLE)\b", bare):
+        raise ValueError("only queries are allowed")
 
 
-def run_sql(spark: SparkSession, query: str, max_rows: int = K.MAX_SQL_ROWS) -> DataFrame:
-    """Guarded query over the mounted views, capped unless it limits itself."""
+def run_sql(spark: SparkSession, query: str, max_rows: int | None = None) -> DataFrame:
+    """Guarded query over the mounted views; ``max_rows`` rows at most, if it is given and the query has no limit of its own."""
     guard_sql(query)
     frame = spark.sql(query.strip().rstrip(";"))
-    top = frame._jdf.queryExecution().analyzed().nodeName()
-    return frame if top in ("GlobalLimit", "LocalLimit") else frame.limit(max_rows)
+    return frame if max_rows is None or own_limit(query) else frame.limit(max_rows)
+
+
+def own_limit(query: str) -> bool:
+    """Whether the outermost part of a query ends with a limit."""
+    bare, depth, outer = _QUOTED.sub(" ", query), 0, []
+    for c in bare:
+        depth += (c == "(") - (c == ")")
+        outer.append(c if depth == 0 else " ")
+    return bool(re.search(r"\bLIMIT\s+(?!ALL\b)\S+(\s+OFFSET\s+\S+)?[\s;)]*$", "".join(outer), re.I))
 
 
 def sql_over_files(spark: SparkSession, paths: Sequence[str], query: str,
-                   max_rows: int = K.MAX_SQL_ROWS) -> tuple[DataFrame, dict]:
-    """Result of a query over the files and a report of columns, tables and rejects."""
+                   max_rows: int | None = None) -> tuple[DataFrame, dict]:
+    """Result of a query over the files and a report of columns, tables, rejects and whether rows were cut.
+
+    ``truncated`` is None without ``max_rows``; with it, one more row is looked for.
+    """
     views, rejected = mount_files(spark, paths)
     frame = run_sql(spark, query, max_rows)
-    return frame, {"columns": frame.columns, "tables": views, "rejected": rejected}
+    cut = None
+    if max_rows is not None:
+        cut = not own_limit(query) and bool(spark.sql(query.strip().rstrip(";")).offset(max_rows).limit(1).count())
+    return frame, {"columns": frame.columns, "tables": views, "rejected": rejected, "truncated": cut}
 
 
 def file_manifest(spark: SparkSession, root: str,
                   extensions: Sequence[str] | None = tuple(K.FOLDER_EXTENSIONS)) -> DataFrame:
     """Files under ``root`` with size and time, newest first; contents are not read.
 
-    Spark plans no task for zero-byte files, so those are not listed.
+    Listed by the file system itself, so that empty files and names with a
+    leading underscore are there; names with a leading dot are not.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-        .select("path", "length", "modificationTime")
-    )
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(folder, True)
+    rows = []
+    while found.hasNext():
+        status = found.next()
+        rows.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    files = spark.createDataFrame(rows, "path string, length long, ms long").select(
+        "path", "length", F.timestamp_millis("ms").alias("modificationTime"))
     name = file_name(F.col("path"))
     files = files.filter(~name.startswith("."))
     if extensions is not None:
@@ -110,21 +141,25 @@ def load_documents(requests: DataFrame, parsed: DataFrame, raw: DataFrame) -> Da
     ``parsed_path, content``; ``raw`` has ``file_name, content``. Raw copies are
     tried under the exact name, then with ``.md``, then ``.txt``.
     """
-    p = parsed.filter(F.length("content") > 0).select("parsed_path", F.col("content").alias("_parsed"))
-    texts = raw.filter(extension(F.col("file_name")).isin(".md", ".txt"))
-    exact = texts.select(F.col("file_name").alias("document_name"), F.col("content").alias("_exact"))
+    p = parsed.filter(F.length("content") > 0).select("parsed_path", F.lit("parsed").alias("_p"))
+    texts = raw.filter(extension(F.col("file_name")).isin(".md", ".txt") & F.col("content").isNotNull()).select("file_name")
+    exact = texts.select(F.col("file_name").alias("document_name"), F.col("file_name").alias("_exact")).distinct()
     by_stem = texts.groupBy(base_name(F.col("file_name")).alias("_stem")).agg(
-        F.min_by("content", extension(F.col("file_name"))).alias("_stemmed"))
-    out = (
+        F.min_by("file_name", extension(F.col("file_name"))).alias("_stemmed"))
+    # keys first: every request finds the one text it takes, then each text is fetched once
+    chosen = (
         requests.withColumn("_stem", base_name(F.col("document_name")))
-        .join(p, "parsed_path", "left").join(exact, "document_name", "left").join(by_stem, "_stem", "left")
-    )
-    content = F.coalesce("_parsed", "_exact", "_stemmed")
-    kind = F.when(F.col("_parsed").isNotNull(), "parsed").when(content.isNotNull(), "upload").otherwise("not_found")
-    return out.select(
-        *requests.columns, content.alias("content"), kind.alias("source_type"),
-        F.length(content).cast("long").alias("content_length"),
+        .join(p.distinct(), "parsed_path", "left").join(exact, "document_name", "left").join(by_stem, "_stem", "left")
     )
+    upload = F.coalesce("_exact", "_stemmed")
+    kind = F.when(F.col("_p").isNotNull(), "parsed").when(upload.isNotNull(), "upload").otherwise("not_found")
+    key = F.when(F.col("_p").isNotNull(), F.col("parsed_path")).otherwise(upload)
+    chosen = chosen.select(*requests.columns, kind.alias("source_type"), key.alias("_key"))
+    contents = parsed.filter(F.length("content") > 0).select(
+        F.lit("parsed").alias("source_type"), F.col("parsed_path").alias("_key"), "content").unionByName(raw.select(
+            F.lit("upload").alias("source_type"), F.col("file_name").alias("_key"), "content"))
+    return chosen.join(contents, ["source_type", "_key"], "left").select(
+        *requests.columns, "content", "source_type", F.length("content").cast("long").alias("content_length"))
 
 
 def table_inventory(tables: Mapping[str, DataFrame], expected: DataFrame) -> DataFrame:
@@ -168,12 +203,11 @@ def artifact_rows(content: DataFrame) -> DataFrame:
 def write_artifacts(content: DataFrame, root: str, mode: str = "append") -> None:
     """Store content under ``org=/content_type=/folder=`` with one record per document.
 
-    Rows are spread by document inside each folder, so a folder holding much of
-    the corpus is written by many tasks.
+    Rows are gathered by folder; the rebalance splits a folder that holds much of
+    the corpus over as many tasks as its size asks for.
     """
     rows = artifact_rows(content)
-    spread = F.pmod(F.xxhash64("document_name"), F.lit(16))
-    rows.repartition("org", "content_type", "folder", spread).write.mode(mode).partitionBy(
+    rows.hint("rebalance", "org", "content_type", "folder").write.mode(mode).partitionBy(
         "org", "content_type", "folder").parquet(root)
 
 
