@@ -19,10 +19,8 @@ from ledgerlens.functions import constants as K
 from ledgerlens.functions import text as X
 from ledgerlens.functions.vectors import best_pairs, trim_pairs, unit_rows
 from ledgerlens.operators.ordering import first_n
-from ledgerlens.session import spread
 
 BLOCK_ROWS = 8_192
-BROADCAST_QUERIES = 4_096
 
 
 # --- chunks -----------------------------------------------------------------
@@ -42,7 +40,7 @@ def chunk_documents(docs: DataFrame, text: str = "text", size: int = K.CHUNK_TOK
     pieces = F.transform(starts, lambda i: F.slice(F.col("_words"), i * step + 1, F.lit(size)))
     rest = [c for c in docs.columns if c != text]
     return (
-        spread(docs).select(*rest, words.alias("_words")).filter(n > 0)
+        docs.select(*rest, words.alias("_words")).filter(n > 0)
         .select(*rest, F.posexplode(pieces).alias("chunk_no", "_piece"))
         .select(*rest, "chunk_no", F.size("_piece").alias("chunk_tokens"), F.array_join("_piece", " ").alias("chunk_text"))
     )
@@ -66,99 +64,34 @@ def terms(text: Column) -> Column:
 
 def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int, *, query_id: str = "query_id",
                  query_text: str = "query_text", chunk_id: str = "chunk_id", chunk_text: str = "chunk_text",
-                 k1: float = 1.2, b: float = 0.75, broadcast_rows: int = BROADCAST_QUERIES) -> DataFrame:
+                 k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Best chunks per query by exact terms (BM25), ties to the lowest chunk id.
 
-    Up to ``broadcast_rows`` queries (counted first) are scored in one map-only
-    pass in which every partition keeps its own best ``k`` per query. More are
-    scored by joining asked terms with postings.
+    Only words that some query asks leave the chunk scan, counted per chunk; those
+    postings give the chunk frequencies and, joined with the asked terms, the scores.
     """
     asked = queries.select(query_id, F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term"))
-    bags = spread(chunks.select(F.col(chunk_id), chunk_text)).select(
-        chunk_id, terms(F.col(chunk_text)).alias("_terms")).withColumn("_len", F.size("_terms"))
-    # one pass for chunk frequency of asked terms and, under the empty term that
-    # every chunk has once, the number of chunks and their total length
-    wanted = asked.select("term").distinct().unionByName(queries.sparkSession.createDataFrame([("",)], "term string"))
-    spread_of = (
-        bags.select("_len", F.explode(F.array_append(F.array_distinct("_terms"), F.lit(""))).alias("term"))
-        .join(wanted, "term", "left_semi")
-        .groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("_len").alias("_words"))
+    bags = chunks.select(chunk_id, terms(F.col(chunk_text)).alias("_terms")).withColumn("_len", F.size("_terms"))
+    postings = (
+        bags.select(chunk_id, "_len", F.explode("_terms").alias("term"))
+        .join(asked.select("term").distinct(), "term", "left_semi")
+        .groupBy(chunk_id, "_len", "term").agg(F.count(F.lit(1)).alias("tf"))
     )
-    if queries.count() <= broadcast_rows and asked.count() <= broadcast_rows * 256:
-        found = _scan_terms(asked, spread_of, bags, query_id, chunk_id, k, k1, b)
-    else:
-        whole = spread_of.filter(F.col("term") == "").select("df", (F.col("_words") / F.col("df")).alias("avg"))
-        total, mean = whole.select("df").scalar(), whole.select("avg").scalar()
-        idf = F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weighted = asked.join(spread_of, "term").withColumn("idf", idf).drop("df", "_words")
-        postings = (
-            bags.select(chunk_id, "_len", F.explode("_terms").alias("term"))
-            .join(asked.select("term").distinct(), "term", "left_semi")
-            .groupBy(chunk_id, "_len", "term").agg(F.count(F.lit(1)).alias("tf"))
-        )
-        gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("_len") / mean))
-        found = postings.join(weighted, "term").groupBy(query_id, chunk_id).agg(
-            F.sum(F.col("idf") * gain).alias("score"))
+    whole = bags.agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("mean"))
+    total, mean = whole.select("n").scalar(), whole.select("mean").scalar()
+    idf = F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = asked.join(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").select(
+        query_id, "term", idf.alias("idf"))
+    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("_len") / mean))
+    found = postings.join(weighted, "term").groupBy(query_id, chunk_id).agg(F.sum(F.col("idf") * gain).alias("score"))
     # sums of doubles depend on their order; rounding makes ranks repeatable
     found = found.withColumn("score", F.round("score", 9))
     return first_n(found, [query_id], [F.desc("score"), F.col(chunk_id)], k, "rank")
 
 
-def _scan_terms(asked: DataFrame, spread_of: DataFrame, bags: DataFrame, query_id: str, chunk_id: str,
-                k: int, k1: float, b: float) -> DataFrame:
-    """Chunk batches scored against the broadcast asked terms, keeping a running top ``k``."""
-    schema = T.StructType([
-        asked.schema[query_id], bags.schema[chunk_id], T.StructField("score", T.DoubleType())])
-    counts = spread_of.toPandas()
-    whole = counts[counts["term"] == ""]
-    total = int(whole["df"].iloc[0]) if len(whole) else 0
-    mean = float(whole["_words"].iloc[0]) / total if total else 1.0
-    table = asked.toPandas().merge(counts[counts["term"] != ""], on="term")
-    ids, number = np.unique(table[query_id].to_numpy(), return_inverse=True)
-    words, term = np.unique(table["term"].to_numpy(dtype=str), return_inverse=True)
-    order = np.argsort(term, kind="stable")
-    starts = np.searchsorted(term[order], np.arange(len(words) + 1))
-    found_in = np.zeros(len(words))
-    found_in[term] = table["df"].to_numpy()
-    idf = np.log(1 + (total - found_in + 0.5) / (found_in + 0.5))
-    shared = asked.sparkSession.sparkContext.broadcast(
-        (ids, {w: i for i, w in enumerate(words)}, number[order], starts, idf))
-
-    def best(batches):
-        query_ids, vocabulary, by_term, edges, weight = shared.value
-        kept = None
-        for pdf in _slices(batches, len(query_ids)):
-            size = len(vocabulary)
-            hits = [row * size + vocabulary[w] for row, bag in enumerate(pdf["_terms"]) for w in bag if w in vocabulary]
-            if not hits:
-                continue
-            pairs, counts = np.unique(np.array(hits, dtype=np.int64), return_counts=True)
-            rows, cols = np.divmod(pairs, size)
-            length = pdf["_len"].to_numpy()[rows]
-            gain = weight[cols] * counts * (k1 + 1) / (counts + k1 * (1 - b + b * length / mean))
-            scores = np.zeros((len(query_ids), len(pdf)))
-            line_up = np.argsort(cols, kind="stable")
-            rows, cols, gain = rows[line_up], cols[line_up], gain[line_up]
-            cuts = np.flatnonzero(np.r_[True, cols[1:] != cols[:-1], True])
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                asking = by_term[edges[cols[lo]]:edges[cols[lo] + 1]]
-                scores[np.ix_(asking, rows[lo:hi])] += gain[lo:hi]
-            found = best_pairs(np.round(scores, 9), pdf[chunk_id].to_numpy(), k, above=0.0)
-            kept = found if kept is None else trim_pairs(pd.concat([kept, found]), k)
-        if kept is not None:
-            yield pd.DataFrame({query_id: query_ids[kept["q"]], chunk_id: kept["id"].to_numpy(), "score": kept["score"].to_numpy()})
-
-    return bags.mapInPandas(best, schema)
-
-
 # --- vector retrieval -------------------------------------------------------
 
-def _slices(batches, width: int, cells: int = 4_000_000):
-    """Batches cut so that a score table of ``width`` rows stays within ``cells``."""
-    step = max(1, cells // max(1, width))
-    for pdf in batches:
-        for at in range(0, len(pdf), step):
-            yield pdf.iloc[at:at + step]
+TABLE_CELLS = 4_000_000
 
 
 def _pair_schema(queries: DataFrame, vectors: DataFrame, query_id: str, vector_id: str) -> T.StructType:
@@ -177,12 +110,15 @@ def _block_best(left: DataFrame, right: DataFrame, keys: Sequence[str], query_id
     def best(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or stored.empty:
             return pd.DataFrame(columns=schema.names)
-        scores = unit_rows(asked[embedding]) @ unit_rows(stored[embedding]).T
-        found = best_pairs(scores, stored[vector_id].to_numpy(), k, above)
-        return pd.DataFrame({
-            query_id: asked[query_id].to_numpy()[found["q"]], vector_id: found["id"].to_numpy(),
-            "similarity": found["score"].to_numpy(),
-        })
+        matrix, grid, parts = unit_rows(asked[embedding]), unit_rows(stored[embedding]).T, []
+        step = max(1, TABLE_CELLS // grid.shape[1])  # rows of a score table that stays within TABLE_CELLS
+        for at in range(0, len(matrix), step):
+            found = best_pairs(matrix[at:at + step] @ grid, stored[vector_id].to_numpy(), k, above)
+            parts.append(pd.DataFrame({
+                query_id: asked[query_id].to_numpy()[at + found["q"]], vector_id: found["id"].to_numpy(),
+                "similarity": found["score"].to_numpy(),
+            }))
+        return pd.concat(parts)
 
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, schema)
 
@@ -192,51 +128,19 @@ def _slot(key: str, slots: Column) -> Column:
 
 
 def semantic_topk(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str = "query_id",
-                  vector_id: str = "vec_id", embedding: str = "embedding", block_rows: int = BLOCK_ROWS,
-                  broadcast_rows: int = BROADCAST_QUERIES) -> DataFrame:
+                  vector_id: str = "vec_id", embedding: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Exact ``k`` nearest vectors per query by cosine, ties to the lowest id.
 
-    Up to ``broadcast_rows`` queries (counted first) visit every vector
-    partition as one matrix. More are cut into blocks that meet blocks of
-    vectors.
+    Blocks of queries meet blocks of vectors; vectors travel once per block of
+    queries, and a block pair sends ``k`` rows per query on.
     """
-    asked = queries.select(query_id, embedding)
-    stored = vectors.select(vector_id, embedding)
-    n_queries = asked.count()
-    if n_queries <= broadcast_rows:
-        found = _scan_best(asked, stored, query_id, vector_id, embedding, k)
-    else:
-        q_blocks = math.ceil(n_queries / block_rows)
-        v_blocks = max(1, math.ceil(stored.count() / block_rows))
-        left = asked.withColumn("_qb", _slot(query_id, F.lit(q_blocks))).withColumn(
-            "_vb", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))))
-        right = stored.withColumn("_vb", _slot(vector_id, F.lit(v_blocks))).withColumn(
-            "_qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-        found = _block_best(left, right, ["_qb", "_vb"], query_id, vector_id, embedding, k)
+    left, right = _blocked(
+        queries.select(query_id, embedding, F.lit(0).alias("_all")), vectors.select(vector_id, embedding, F.lit(0).alias("_all")),
+        ["_all"], query_id, vector_id, block_rows)
+    found = _block_best(left, right, ["_qb", "_vb"], query_id, vector_id, embedding, k)
     return first_n(found, [query_id], [F.desc("similarity"), F.col(vector_id)], k, "rank")
 
 
-def _scan_best(asked: DataFrame, stored: DataFrame, query_id: str, vector_id: str, embedding: str, k: int) -> DataFrame:
-    """Every vector batch against the broadcast query matrix, keeping a running top k."""
-    schema = _pair_schema(asked, stored, query_id, vector_id)
-    small = asked.toPandas()
-    shared = asked.sparkSession.sparkContext.broadcast(
-        (small[query_id].to_numpy(), unit_rows(small[embedding]) if len(small) else None))
-
-    def best(batches):
-        ids, matrix = shared.value
-        kept = None
-        for pdf in _slices(batches, len(ids)):
-            if matrix is None or pdf.empty:
-                continue
-            found = best_pairs(matrix @ unit_rows(pdf[embedding]).T, pdf[vector_id].to_numpy(), k)
-            kept = found if kept is None else trim_pairs(pd.concat([kept, found]), k)
-        if kept is not None:
-            yield pd.DataFrame({query_id: ids[kept["q"]], vector_id: kept["id"].to_numpy(), "similarity": kept["score"].to_numpy()})
-
-    return stored.mapInPandas(best, schema)
-
-
 def hybrid_topk(keyword: DataFrame, semantic: DataFrame, k: int, *, query_id: str = "query_id",
                 item: str = "chunk_id", constant: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of two ranked lists of the same items."""
@@ -252,22 +156,20 @@ def hybrid_topk(keyword: DataFrame, semantic: DataFrame, k: int, *, query_id: st
 
 
 def ivf_build(vectors: DataFrame, lists: int = 100, *, vector_id: str = "vec_id", embedding: str = "embedding",
-              train_rows: int = 50_000, seed: int = 7) -> tuple[DataFrame, np.ndarray]:
+              seed: int = 7) -> tuple[DataFrame, np.ndarray]:
     """Vectors with their cell, and the cell centres (``lists`` rows, bounded).
 
-    Centres are learnt from at most ``train_rows`` vectors picked by hash; every
-    vector is then assigned in one map-only pass.
+    Centres are learnt from all vectors; every vector is then assigned in one
+    map-only pass.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     total = vectors.count()
     lists = max(1, min(lists, total))
-    share = min(1.0, train_rows / max(1, total))
-    sample = vectors.filter(F.pmod(F.xxhash64(vector_id), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
     norm = F.sqrt(F.aggregate(F.transform(embedding, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x))
     unit = F.transform(embedding, lambda x: x.cast("double") / F.when(F.col("_norm") > 0, F.col("_norm")).otherwise(1.0))
-    train = sample.withColumn("_norm", norm).select(array_to_vector(unit).alias("features"))
+    train = vectors.withColumn("_norm", norm).select(array_to_vector(unit).alias("features"))
     model = KMeans(k=lists, seed=seed, maxIter=10).fit(train)
     centres = np.array(model.clusterCenters())
     return assign_cells(vectors, centres, embedding=embedding), centres
@@ -351,18 +253,20 @@ def cache_lookup(queries: DataFrame, cache: DataFrame, threshold: float | None =
     asked = queries.select(query_id, embedding, _scope_key().alias("_scope"))
     stored = cache.select(cache_id, embedding, _scope_key().alias("_scope"))
     if pivots is None:
-        # a cache of a few blocks is compared whole; a larger one is worth pruning
-        pivots = max(1, min(64, stored.count() // block_rows))
+        pivots = math.ceil(math.sqrt(stored.count())) or 1
     grid = _pivots(cache, cache_id, embedding, pivots)
     if grid is None:
         found = queries.sparkSession.createDataFrame([], _pair_schema(queries, cache, query_id, cache_id))
     else:
-        placed = _distances(stored, grid, embedding, nearest=True)
+        placed = _nearest_pivot(stored, grid, embedding)
         cells = placed.groupBy("_scope", "_pivot").agg(F.max("_distance").alias("_radius"), F.count(F.lit(1)).alias("_nr"))
         reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
         # distances are narrow rows; the embedding follows only to surviving cells
-        near = _distances(asked, grid, embedding, nearest=False).select(
-            query_id, "_scope", F.posexplode("_all").alias("_pivot", "_distance"))
+        widest = dict(cells.groupBy("_pivot").agg(F.max("_radius")).collect())  # one per pivot
+        limits = np.array([widest.get(i, -np.inf) for i in range(len(grid))]) + reach
+        near = _near_pivots(asked, grid, limits, embedding).select(
+            query_id, "_scope", F.explode("_near").alias("n")).select(
+            query_id, "_scope", F.col("n.pivot").alias("_pivot"), F.col("n.distance").alias("_distance"))
         visits = near.join(cells, ["_scope", "_pivot"]).filter(
             F.col("_distance") - F.col("_radius") <= F.lit(reach)).select(query_id, "_scope", "_pivot")
         left = visits.join(asked.drop("_scope"), query_id)
@@ -371,38 +275,45 @@ def cache_lookup(queries: DataFrame, cache: DataFrame, threshold: float | None =
             visits.groupBy("_scope", "_pivot").agg(F.count(F.lit(1)).alias("_nl")), cells.drop("_radius"))
         found = _block_best(left, right, ["_scope", "_pivot", "_qb", "_vb"], query_id, cache_id, embedding, 1, threshold)
     best = found.groupBy(query_id).agg(
-        F.max_by(cache_id, F.struct(F.col("similarity"), -F.col(cache_id))).alias("cache_id") if _numeric(cache, cache_id)
-        else F.max_by(cache_id, F.struct(F.col("similarity"), F.col(cache_id))).alias("cache_id"),
-        F.max("similarity").alias("similarity"),
-    )
+        F.min_by(cache_id, F.struct(-F.col("similarity"), F.col(cache_id))).alias("cache_id"), F.max("similarity").alias("similarity"))
     return queries.join(best, query_id, "left").withColumn("hit", F.col("cache_id").isNotNull())
 
 
-def _numeric(df: DataFrame, column: str) -> bool:
-    return isinstance(df.schema[column].dataType, T.NumericType)
-
-
 def _pivots(vectors: DataFrame, key: str, embedding: str, count: int) -> np.ndarray | None:
     """A fixed small set of stored vectors, picked by hash so that reruns agree."""
     rows = vectors.select(embedding, key).orderBy(F.xxhash64(key), key).limit(count).select(embedding).toPandas()
     return unit_rows(rows[embedding]) if len(rows) else None
 
 
-def _distances(df: DataFrame, grid: np.ndarray, embedding: str, nearest: bool) -> DataFrame:
-    """Distance to the nearest pivot (with its number), or to all pivots."""
+def _from_pivots(column: pd.Series, grid: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, 2 - 2 * unit_rows(column) @ grid.T))
+
+
+def _nearest_pivot(df: DataFrame, grid: np.ndarray, embedding: str) -> DataFrame:
+    """Number of the nearest pivot and the distance to it."""
     shared = df.sparkSession.sparkContext.broadcast(grid)
 
-    @F.pandas_udf("array<double>")
-    def distances(column: pd.Series) -> pd.Series:
-        cosine = unit_rows(column) @ shared.value.T
-        return pd.Series(list(np.sqrt(np.maximum(0.0, 2 - 2 * cosine))))
-
-    out = df.withColumn("_all", distances(embedding))
-    if not nearest:
-        return out
-    least = F.array_min("_all")
-    return out.withColumn("_distance", least).withColumn(
-        "_pivot", F.array_position("_all", F.col("_distance")).cast("int") - 1).drop("_all")
+    @F.pandas_udf("struct<_pivot:int,_distance:double>")
+    def nearest(column: pd.Series) -> pd.DataFrame:
+        distance = _from_pivots(column, shared.value)
+        place = distance.argmin(axis=1)
+        return pd.DataFrame({"_pivot": place.astype("int32"), "_distance": distance[np.arange(len(place)), place]})
+
+    return df.withColumn("_n", nearest(embedding)).select(*df.columns, "_n.*")
+
+
+def _near_pivots(df: DataFrame, grid: np.ndarray, limits: np.ndarray, embedding: str) -> DataFrame:
+    """Pivots no farther than their limit, with the distance."""
+    shared = df.sparkSession.sparkContext.broadcast((grid, limits))
+
+    @F.pandas_udf("array<struct<pivot:int,distance:double>>")
+    def near(column: pd.Series) -> pd.Series:
+        pivots, most = shared.value
+        return pd.Series([
+            [{"pivot": int(i), "distance": float(row[i])} for i in np.flatnonzero(row <= most)]
+            for row in _from_pivots(column, pivots)])
+
+    return df.withColumn("_near", near(embedding))
 
 
 def count_hits(cache: DataFrame, looked_up: DataFrame, cache_id: str = "id") -> DataFrame:

@@ -15,7 +15,9 @@ from ledgerlens.plans.texts import WS
 from ledgerlens.sources.files import sql_over_files
 
 SIZE, STEP = 64, 52
-CHUNKS_SQL = f"""(SELECT doc_id, source, i AS chunk_no, doc_id * 1000 + i AS chunk_id, array_to_string(w[i * {STEP} + 1 : i * {STEP} + {SIZE}], ' ') AS chunk_text,
+# chunk numbers are array positions, so 32 bits hold them
+CHUNK_SPAN = 2 ** 32
+CHUNKS_SQL = f"""(SELECT doc_id, source, i AS chunk_no, doc_id * 4294967296 + i AS chunk_id, array_to_string(w[i * {STEP} + 1 : i * {STEP} + {SIZE}], ' ') AS chunk_text,
    len(w[i * {STEP} + 1 : i * {STEP} + {SIZE}]) AS chunk_tokens
  FROM (SELECT *, unnest(range(CASE WHEN len(w) <= {SIZE} THEN 1 ELSE CAST(ceil((len(w) - {SIZE}) / {STEP}.0::DOUBLE) AS BIGINT) + 1 END)) AS i
   FROM (SELECT doc_id, source, list_filter(regexp_split_to_array(text, '{WS}'), lambda x: x <> '') AS w FROM documents) WHERE len(w) > 0))"""
@@ -23,7 +25,7 @@ CHUNKS_SQL = f"""(SELECT doc_id, source, i AS chunk_no, doc_id * 1000 + i AS chu
 
 def chunks(t):
     made = R.chunk_documents(t.documents.select("doc_id", "source", "text"), size=SIZE, overlap=SIZE - STEP)
-    return made.withColumn("chunk_id", F.col("doc_id") * 1000 + F.col("chunk_no"))
+    return made.withColumn("chunk_id", F.col("doc_id") * CHUNK_SPAN + F.col("chunk_no"))
 
 
 @query("r1_chunk_documents", f"SELECT chunk_id, source, CAST(chunk_tokens AS INT) AS chunk_tokens, md5(chunk_text) AS digest FROM {CHUNKS_SQL}")
@@ -79,23 +81,30 @@ def semantic_topk(t):
 
 @query("r4_semantic_topk_blocks", f"SELECT query_id, vec_id, rank, {half_up('s', 6)} AS similarity FROM {SEMANTIC_SQL}")
 def semantic_topk_blocks(t):
-    """The block-by-block form that takes over beyond the broadcast bound."""
-    return R.semantic_topk(asked(t), vectors(t), 10, block_rows=150, broadcast_rows=0).withColumn("similarity", F.round("similarity", 6))
+    """Many small blocks on both sides."""
+    return R.semantic_topk(asked(t), vectors(t), 10, block_rows=150).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("r5_hybrid_topk", f"""
 WITH {BM25_SQL},
-sem AS (SELECT query_id // 5 AS query_id, vec_id * 1000 AS chunk_id, rank FROM {SEMANTIC_SQL}),
+sem AS (SELECT query_id // 5 AS query_id, vec_id * 4294967296 AS chunk_id, rank FROM {SEMANTIC_SQL}),
 f AS (SELECT COALESCE(k.query_id, s.query_id) AS query_id, COALESCE(k.chunk_id, s.chunk_id) AS chunk_id,
   {half_up("COALESCE(1.0::DOUBLE / (60 + k.rank), 0.0::DOUBLE) + COALESCE(1.0::DOUBLE / (60 + s.rank), 0.0::DOUBLE)", 12)} AS score
  FROM kw k FULL JOIN sem s ON k.query_id = s.query_id AND k.chunk_id = s.chunk_id)
 SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM f QUALIFY rank <= 10""")
 def hybrid_topk(t):
     semantic = R.semantic_topk(asked(t), vectors(t), 10).select(
-        F.floor(F.col("query_id") / 5).alias("query_id"), (F.col("vec_id") * 1000).alias("chunk_id"), "rank")
+        F.floor(F.col("query_id") / 5).alias("query_id"), (F.col("vec_id") * CHUNK_SPAN).alias("chunk_id"), "rank")
     return R.hybrid_topk(keyword(t), semantic, 10)
 
 
+@query("r6_ivf_topk_all_cells", f"SELECT query_id, vec_id, rank, {half_up('s', 6)} AS similarity FROM {SEMANTIC_SQL}")
+def ivf_topk_all_cells(t):
+    """With every cell probed the index is exact."""
+    index, centres = R.ivf_build(vectors(t), lists=20)
+    return R.ivf_topk(asked(t), index, centres, 10, nprobe=20).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("r6_ivf_topk")
 def ivf_topk(t):
     index, centres = R.ivf_build(vectors(t), lists=20)

@@ -18,10 +18,10 @@ def test_chunks_cover_and_overlap(spark):
         assert all(len(p) <= 512 for p in parts) and all(a[-100:] == b[:100] for a, b in zip(parts, parts[1:]))
 
 
-def test_blocks_equal_broadcast(spark, tables):
+def test_block_size_changes_nothing(spark, tables):
     asked = tables.embeddings.select(F.col("vec_id").alias("query_id"), "embedding")
     a = R.semantic_topk(asked, tables.embeddings, 5)
-    b = R.semantic_topk(asked, tables.embeddings, 5, block_rows=60, broadcast_rows=0)
+    b = R.semantic_topk(asked, tables.embeddings, 5, block_rows=60)
     cols = ["query_id", "vec_id", "rank"]
     assert a.select(cols).exceptAll(b.select(cols)).count() == 0 and a.count() == b.count()
 
@@ -83,10 +83,34 @@ def test_empty_cache_misses(spark):
     assert [r.hit for r in out.collect()] == [False] * 3
 
 
-def test_keyword_forms_agree(spark, tables):
+def test_keywords_equal_brute_force(spark, tables):
+    import math
+    import re
+    from collections import Counter
+
     asked = tables.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     chunks = tables.documents.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"))
-    a = R.keyword_topk(asked, chunks, 5)
-    b = R.keyword_topk(asked, chunks, 5, broadcast_rows=0)
-    cols = ["query_id", "chunk_id", "rank"]
-    assert a.select(cols).exceptAll(b.select(cols)).count() == 0 and a.count() == b.count() > 0
+    out = R.keyword_topk(asked, chunks, 5)
+    assert "Python" not in out._jdf.queryExecution().toString()
+    got = {(r.query_id, r["rank"]): r.score for r in out.collect()}
+    split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    bags = {r.chunk_id: split(r.chunk_text) for r in chunks.collect()}
+    mean = sum(map(len, bags.values())) / len(bags)
+    counts = {i: Counter(b) for i, b in bags.items()}
+    df = Counter(w for c in counts.values() for w in c)
+    for q in asked.collect():
+        scores = []
+        for i, c in counts.items():
+            s = sum(math.log(1 + (len(bags) - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * len(bags[i]) / mean))
+                    for w in sorted(set(split(q.query_text))) if c[w])
+            if s:
+                scores.append(s)
+        for n, s in enumerate(sorted(scores, reverse=True)[:5], 1):
+            assert abs(got[(q.query_id, n)] - s) < 1e-6
+
+
+def test_tie_goes_to_the_lowest_id_in_any_block_size(spark):
+    shape = "id string, org_id string, folder_filter string, file_filter string, embedding array<float>"
+    cache = spark.createDataFrame([(f"c{i:02d}", "o", None, None, [1.0, 0.0]) for i in range(12)], shape)
+    asked = spark.createDataFrame([("q", "o", None, None, [1.0, 0.0])], shape).withColumnRenamed("id", "query_id")
+    assert {R.cache_lookup(asked, cache, 0.9, block_rows=n).first().cache_id for n in (1, 3, 100)} == {"c00"}
