@@ -11,7 +11,6 @@ from ledgerlens.functions import constants as K
 from ledgerlens.functions.text import pattern_count
 from ledgerlens.operators.filters import filter_events
 from ledgerlens.operators.ordering import first_n
-from ledgerlens.session import spread
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -244,7 +243,7 @@ def count_by(df: DataFrame, keys: Sequence[str], **preds) -> DataFrame:
 def tier_census(subs: DataFrame, tiers: DataFrame) -> DataFrame:
     """Subscriptions per tier, tiers without any included."""
     counts = subs.groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
-    return F.broadcast(tiers.select("tier")).join(counts, "tier", "left").withColumn(
+    return tiers.select("tier").join(counts, "tier", "left").withColumn(
         "n", F.coalesce("n", F.lit(0))
     )
 
@@ -346,6 +345,9 @@ def profile_by_terms(
     return df.agg(*aggs).select(F.explode(F.array(*entries)).alias("p")).select("p.*")
 
 
+BRACKET_SLOTS = 4096
+
+
 def describe_numeric(df: DataFrame, accuracy: int = 10_000) -> DataFrame:
     """Count, mean, sample deviation and exact interpolated quartiles per numeric column.
 
@@ -384,13 +386,21 @@ def describe_numeric(df: DataFrame, accuracy: int = 10_000) -> DataFrame:
     # three rows per column on the broadcast side; everything below a bracket
     # collapses into one counted row before the shuffle
     inside = F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")
+    share = F.when(F.col("hi") > F.col("lo"), (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
+    slot = F.when(F.col("v") >= F.col("lo"), F.floor(share * BRACKET_SLOTS)).otherwise(-1).alias("slot")
     counted = (
         melted.join(F.broadcast(brackets), "column_name").filter(F.col("v") <= F.col("hi"))
-        .groupBy("column_name", "name", "at", inside).agg(F.count(F.lit(1)).alias("c"))
+        .groupBy("column_name", "name", "at", slot, inside).agg(F.count(F.lit(1)).alias("c"))
     )
-    order = Window.partitionBy("column_name", "name").orderBy(F.col("v").asc_nulls_first())
-    before = F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    span = counted.withColumn("before", before)
+    # a bracket is cut into slots; only those that hold a wanted rank are ranked value by value
+    slots = counted.groupBy("column_name", "name", "at", "slot").agg(F.sum("c").alias("n"))
+    along = Window.partitionBy("column_name", "name").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("start")
+    held = slots.withColumn("start", F.coalesce(F.sum("n").over(along), F.lit(0))).filter(
+        (F.ceil("at") >= start) & (F.floor("at") < start + F.col("n"))).select("column_name", "name", "slot", "start")
+    order = Window.partitionBy("column_name", "name", "slot").orderBy(F.col("v").asc_nulls_first())
+    before = start + F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    span = counted.join(held, ["column_name", "name", "slot"]).withColumn("before", before)
 
     def value_at(rank: Column) -> Column:
         hit = (rank >= F.col("before")) & (rank < F.col("before") + F.col("c"))
@@ -466,7 +476,7 @@ def pii_census(df: DataFrame, text: str, keys: Sequence[str] = (),
                types: Sequence[str] = tuple(K.PII_PATTERNS), custom: Mapping[str, str] | None = None) -> DataFrame:
     """Pattern matches per type and key, counted with native expressions."""
     patterns = {t: K.PII_PATTERNS[t] for t in types} | dict(custom or {})
-    counted = spread(df.select(*keys, text)).select(
+    counted = df.select(*keys, text).select(
         *keys, *[pattern_count(F.col(text), p).alias(f"_{i}") for i, p in enumerate(patterns.values())]
     )
     sums = counted.groupBy(*keys).agg(

@@ -1,8 +1,7 @@
 """Joins between subscriptions, registries, prices, records and caches.
 
 Physical joins are left to Catalyst and AQE (broadcast under the size
-threshold, skew split above it). Only fixed tables (tiers, prices) carry a
-broadcast hint.
+threshold, skew split above it).
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ def subscription_view(subs: DataFrame, tiers: DataFrame) -> DataFrame:
         F.col("monthly_file_search_queries").alias("monthly_file_search_queries_limit"),
         (F.col("storage_gb_limit") * F.lit(GB)).cast("long").alias("storage_limit_bytes"),
     )
-    return subs.withColumnRenamed("tier", "tier_name").join(F.broadcast(limits), "tier_name")
+    return subs.withColumnRenamed("tier", "tier_name").join(limits, "tier_name")
 
 
 def unsubscribed(orgs: DataFrame, subs: DataFrame, key: str = "org_id") -> DataFrame:
@@ -73,15 +72,25 @@ def assign_default_tier(
     return subs.unionByName(fresh, allowMissingColumns=True)
 
 
+def line_item_rows(header: DataFrame, items: DataFrame, key: str, parent: str, line: str, fields: Sequence[str]) -> DataFrame:
+    """Each record with its items, one row per line: (header columns, line, item), the same shape at every size.
+
+    A record without items has one row with a null line and item. Rows are not
+    sorted across the table; ``line`` orders a record.
+    """
+    rows = items.select(F.col(parent).alias(key), F.col(line), F.struct(*fields).alias("item"))
+    return header.join(rows, key, "left")
+
+
 def nest_line_items(
     header: DataFrame, items: DataFrame, key: str, parent: str, line: str,
-    fields: Sequence[str], items_per_row: int = 10_000,
+    fields: Sequence[str], items_per_row: int,
 ) -> DataFrame:
-    """Each record with its items ordered by line number; empty without items.
+    """Each record with its items ordered by line number, in parts of ``items_per_row``; empty without items.
 
-    A record of more than ``items_per_row`` lines continues in further rows
-    numbered by ``part`` (0, 1, ...), so no group or row grows without bound.
-    Line numbers run from 1 within a record.
+    Every row has a ``part`` (0, 1, ...), so no group or row grows beyond the
+    part size the caller asks for; :func:`line_item_rows` needs none. Line numbers
+    run from 1 within a record.
     """
     part = F.floor((F.col(line) - 1) / F.lit(items_per_row)).cast("int")
     nested = (
@@ -100,11 +109,11 @@ def document_dossier(
     docs: DataFrame, jobs: DataFrame, audit: DataFrame, *, doc_key: str,
     job_key: str, job_ts: str, job_fields: Sequence[str],
     audit_key: str, audit_ts: str, audit_fields: Sequence[str],
-    trail: int = 100, jobs_per_row: int = 10_000,
+    trail: int, jobs_per_row: int,
 ) -> DataFrame:
     """Documents with all their jobs and their newest audit events, newest first.
 
-    The trail holds the newest ``trail`` events. Jobs are complete: a document
+    The trail holds the newest ``trail`` events, ``audit_total`` counts all. Jobs are complete: a document
     with more than ``jobs_per_row`` of them continues in further rows numbered
     by ``part``, so no group or row grows without bound. The first field of each
     list must make its order total together with the time.
@@ -125,6 +134,7 @@ def document_dossier(
         recent.groupBy(F.col(audit_key).alias(doc_key))
         .agg(newest_first(recent, audit_ts, audit_fields).alias("audit_trail"))
         .withColumn("part", F.lit(0))
+        .join(audit.groupBy(F.col(audit_key).alias(doc_key)).agg(F.count(F.lit(1)).alias("audit_total")), doc_key)
     )
     history = job_rows.join(trail_rows, [doc_key, "part"], "full_outer")
     return docs.join(history, doc_key, "left").withColumn("part", F.coalesce("part", F.lit(0)))
@@ -171,7 +181,7 @@ def attach_cost(usage: DataFrame, prices: DataFrame, mode: str = "exact", model:
     contained in it. Both fall back to a default price.
     """
     if mode == "exact":
-        priced = usage.join(F.broadcast(prices.withColumnRenamed("model", model)), model, "left")
+        priced = usage.join(prices.withColumnRenamed("model", model), model, "left")
         default_in, default_out = (_money(p) for p in K.TOKEN_PRICE_DEFAULT)
         tokens_in = F.col("input_tokens").cast("decimal(20,0)")
         tokens_out = F.col("output_tokens").cast("decimal(20,0)")
@@ -183,25 +193,22 @@ def attach_cost(usage: DataFrame, prices: DataFrame, mode: str = "exact", model:
         )
     if mode != "fuzzy":
         raise ValueError(f"unknown price mode {mode!r}")
-    # the known names are ten rows, so they go into one literal list per row
-    # instead of a non-equi join
-    known = prices.select("position", "known", "input_million", "output_million").collect()
+    # the price list is one sorted array; each distinct model is looked up in it once
+    known = prices.agg(F.array_sort(F.collect_list(F.struct("position", "known", "input_million", "output_million"))).alias("p"))
     lowered = F.lower(F.col(model))
-    price_in = F.lit(K.MILLION_PRICE_DEFAULT[0])
-    price_out = F.lit(K.MILLION_PRICE_DEFAULT[1])
-    ordered = sorted(known, key=lambda r: r["position"], reverse=True)
-    for exact in (False, True):
-        for row in ordered:
-            name = F.lit(row["known"].lower())
-            hit = (F.col(model) == F.lit(row["known"])) if exact else (
-                (F.col(model) != "") & (F.contains(lowered, name) | F.contains(name, lowered)))
-            price_in = F.when(hit, F.lit(row["input_million"])).otherwise(price_in)
-            price_out = F.when(hit, F.lit(row["output_million"])).otherwise(price_out)
+    same = F.get(F.filter("_list", lambda p: p["known"] == F.col(model)), F.lit(0))
+    near = F.get(F.filter("_list", lambda p: (F.col(model) != "") & (
+        F.contains(lowered, F.lower(p["known"])) | F.contains(F.lower(p["known"]), lowered))), F.lit(0))
+    found = usage.select(model).distinct().withColumn("_list", known.scalar()).select(model, F.coalesce(same, near).alias("_price"))
+    usage = usage.join(found, model, "left")
+    price_in = F.coalesce("_price.input_million", F.lit(K.MILLION_PRICE_DEFAULT[0]))
+    price_out = F.coalesce("_price.output_million", F.lit(K.MILLION_PRICE_DEFAULT[1]))
     million = F.lit(1_000_000.0)
     return (
         usage.withColumn("input_cost_usd", F.col("input_tokens") * price_in / million)
         .withColumn("output_cost_usd", F.col("output_tokens") * price_out / million)
         .withColumn("total_cost_usd", F.col("input_cost_usd") + F.col("output_cost_usd"))
+        .drop("_price")
     )
 
 
