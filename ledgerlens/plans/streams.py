@@ -75,8 +75,8 @@ FROM $token_usage GROUP BY 1, 2""")
 def live_counters(t):
     usage = t.token_usage.select("org_id", "total_tokens", "created_at")
     stream, out, checkpoint = replay(t, usage, "counters")
-    I.write_updates(I.live_counters(stream, "40 days"), out, checkpoint).awaitTermination()
-    return I.read_updates(t.spark, out, ["org_id", "period_start"]).withColumn(
+    I.count_usage(stream, out, checkpoint).awaitTermination()
+    return I.read_counters(t.spark, out).withColumn(
         "period_start", F.col("period_start").cast("timestamp_ntz"))
 
 
@@ -112,7 +112,10 @@ SELECT folder, max(ts) AS last_upload, COUNT(*) AS document_count FROM g GROUP B
 HAVING COUNT(*) >= 2 AND max(ts) + to_seconds({QUIET}) <= (SELECT max(ts) FROM events)""")
 def start_signals(t):
     stream, out, checkpoint = replay(t, t.uploads, "quiet")
-    signals = I.start_signals(stream, QUIET, 2)
+    I.set_late_aside(stream, "ts", out, f"{checkpoint}-aside").awaitTermination()
+    timely = t.spark.readStream.schema(t.uploads.schema).parquet(f"{out}/timely/batch=*")
+    signals = I.start_signals(timely, QUIET, 2, "0 seconds")
+    out = f"{out}/signals"
     I.start(signals, lambda df, n: I.write_batch(df, out, n), checkpoint).awaitTermination()
     return I.read_batches(t.spark, out).select(
         "folder", F.col("last_upload").cast("timestamp_ntz").alias("last_upload"), "document_count")
@@ -122,12 +125,25 @@ def calls(t):
     return t.events.select((F.col("user_id") % 3).alias("session_id"), F.col("ts").alias("at"), "event_id")
 
 
-@query("e6_admission_batch")
+ADMISSION_SQL = """
+WITH RECURSIVE c AS (SELECT user_id % 3 AS session_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id) AS n FROM events),
+r AS (
+  SELECT session_id, 0::BIGINT AS n, []::BIGINT[] AS times, NULL::BIGINT AS event_id, NULL::BOOLEAN AS admitted, 0::BIGINT AS retry_after, 0::BIGINT AS remaining
+  FROM (SELECT DISTINCT session_id FROM c) s
+  UNION ALL
+  SELECT q.session_id, q.n, CASE WHEN len(q.p) < 10 THEN list_append(q.p, q.us) ELSE q.p END, q.event_id, len(q.p) < 10,
+    CASE WHEN len(q.p) < 10 THEN 0 ELSE greatest(0, (q.p[1] + 3600000000 - q.us) // 1000000) END, 10 - least(10, len(q.p) + 1)
+  FROM (SELECT c.session_id, c.n, c.event_id, c.us, list_filter(r.times, lambda x: x > c.us - 3600000000) AS p
+        FROM r JOIN c ON c.session_id = r.session_id AND c.n = r.n + 1) q)
+SELECT session_id, event_id, admitted, CAST(retry_after AS INT) AS retry_after, CAST(remaining AS INT) AS remaining FROM r WHERE n > 0"""
+
+
+@query("e6_admission_batch", ADMISSION_SQL)
 def admission_batch(t):
     return Z.admission(calls(t), "session_id", "at", "event_id", 10, 3600).select("session_id", "event_id", "admitted", "retry_after", "remaining")
 
 
-@query("e6_admission_stream")
+@query("e6_admission_stream", ADMISSION_SQL)
 def admission_stream(t):
     stream, out, checkpoint = replay(t, calls(t), "admission")
     verdicts = Z.admission_stream(stream, "session_id", "at", "event_id", 10, 3600)
@@ -143,21 +159,25 @@ g AS (SELECT *, SUM(opens) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM s
 @query("e7_sessionise", f"""
 WITH {SESSIONS_SQL}
 SELECT user_id, min(ts) AS session_start, max(ts) AS last_activity, max(ts) + INTERVAL 30 MINUTE AS expires_at, COUNT(*) AS query_count,
- CAST(SUM(CAST(floor(value) AS BIGINT)) AS BIGINT) AS total_tokens_used, COUNT(DISTINCT props) AS documents FROM g GROUP BY user_id, sid""")
+ CAST(SUM(CAST(floor(value) AS BIGINT)) AS BIGINT) AS total_tokens_used, CAST(SUM(CAST(floor(value) AS BIGINT)) AS BIGINT) AS total_processing_time_ms,
+ COUNT(DISTINCT props) AS documents FROM g GROUP BY user_id, sid""")
 def sessionise(t):
-    return Z.sessionise(t.events, "user_id", "ts", tokens=F.floor("value"), document=F.col("props")).drop("total_processing_time_ms")
+    return Z.sessionise(t.events, "user_id", "ts", tokens=F.floor("value"), elapsed=F.floor("value"), document=F.col("props")).withColumn(
+        "total_processing_time_ms", F.col("total_processing_time_ms").cast("long"))
 
 
 @query("e7_sessions_stream", f"""
 WITH {SESSIONS_SQL}
-SELECT user_id, min(ts) AS session_start, max(ts) AS last_activity, COUNT(*) AS query_count FROM g GROUP BY user_id, sid
+SELECT user_id, min(ts) AS session_start, max(ts) AS last_activity, max(ts) + INTERVAL 30 MINUTE AS expires_at, COUNT(*) AS query_count,
+ CAST(SUM(CAST(floor(value) AS BIGINT)) AS BIGINT) AS total_tokens_used, COUNT(DISTINCT props) AS documents FROM g GROUP BY user_id, sid
 HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events)""")
 def sessions_stream(t):
-    stream, out, checkpoint = replay(t, t.events.select("user_id", "ts"), "sessions")
-    closed = Z.sessions_stream(stream, "user_id", "ts", delay="0 seconds")
+    stream, out, checkpoint = replay(t, t.events.select("user_id", "ts", "value", "props"), "sessions")
+    closed = Z.sessions_stream(stream, "user_id", "ts", delay="0 seconds", tokens=F.floor("value"), document=F.col("props"))
     I.start(closed, lambda df, n: I.write_batch(df, out, n), checkpoint).awaitTermination()
     found = I.read_batches(t.spark, out)
-    return found.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "last_activity")], "query_count")
+    return found.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "last_activity", "expires_at")],
+                        "query_count", F.col("total_tokens_used").cast("long").alias("total_tokens_used"), "documents")
 
 
 @query("e8_live_progress", """

@@ -69,16 +69,15 @@ def ingest_usage(stream: DataFrame, out: str, checkpoint: str, delay: str = WATE
     The first write of a request id wins. A batch compares its ids only with
     stored days that the watermark still covers, so the look-back stays bounded;
     rows older than the watermark go to ``late``, none is dropped. The watermark
-    is the newest event time of earlier batches minus ``delay``.
+    is the newest event time of earlier batches minus ``delay``. An id that comes
+    again with a fresh time after its first row's day has left the watermark is
+    stored again: uniqueness holds within the look-back.
     """
     names = ("token_usage", "resource_usage")
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        newest = None
-        progress = read_batches(spark, f"{out}/progress", number)
-        if progress is not None:
-            newest = progress.agg(F.max("newest")).first()[0]
+        newest = None if number == 0 else spark.read.parquet(f"{out}/progress/batch={number - 1}").first()[0]
         mark = None if newest is None else F.lit(newest) - F.expr(f"INTERVAL {delay}")
         late = F.lit(False) if mark is None else F.coalesce(F.col("created_at") < mark, F.lit(False))
         rows = batch.persist()
@@ -90,11 +89,12 @@ def ingest_usage(stream: DataFrame, out: str, checkpoint: str, delay: str = WATE
                 if stored is not None and mark is not None:
                     known = stored.filter((F.col("day") >= F.to_date(mark)) & F.col("request_id").isNotNull())
                 fresh = dedupe_requests(shaped, known, "request_id", ["created_at"])
-                spread = fresh.withColumn("day", F.to_date("created_at"))
-                write_batch(spread.repartition("day", F.pmod(F.xxhash64("org_id", "created_at"), F.lit(32))),
-                            f"{out}/{name}", number, ["day"])
+                # a day is written by as many tasks as its size asks for
+                dated = fresh.withColumn("day", F.to_date("created_at")).hint("rebalance", "day")
+                write_batch(dated, f"{out}/{name}", number, ["day"])
             write_batch(rows.filter(late), f"{out}/late", number)
-            write_batch(rows.agg(F.max("created_at").alias("newest")), f"{out}/progress", number)
+            latest = F.max("created_at") if newest is None else F.greatest(F.max("created_at"), F.lit(newest))
+            write_batch(rows.agg(latest.alias("newest")), f"{out}/progress", number)
         finally:
             rows.unpersist()
 
@@ -138,18 +138,56 @@ def event_time(stream: DataFrame, ts: str) -> DataFrame:
     return stream.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
+def set_late_aside(stream: DataFrame, ts: str, out: str, checkpoint: str, delay: str = WATERMARK,
+                   trigger: dict | None = None) -> StreamingQuery:
+    """Rows into ``timely`` and ``late``, for streams whose watermark would drop the late ones without a trace.
+
+    A row is late if it is more than ``delay`` older than the newest row of
+    earlier micro-batches; that time is kept in a one-row table per batch. A
+    stream over ``timely`` with the same or a longer delay drops nothing.
+    """
+    def handle(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        newest = None if number == 0 else spark.read.parquet(f"{out}/progress/batch={number - 1}").first()[0]
+        rows = batch.persist()
+        try:
+            late = F.lit(False) if newest is None else F.coalesce(F.col(ts) < F.lit(newest) - F.expr(f"INTERVAL {delay}"), F.lit(False))
+            write_batch(rows.filter(~late), f"{out}/timely", number)
+            write_batch(rows.filter(late), f"{out}/late", number)
+            latest = F.max(ts) if newest is None else F.greatest(F.max(ts), F.lit(newest))
+            write_batch(rows.agg(latest.alias("newest")), f"{out}/progress", number)
+        finally:
+            rows.unpersist()
+
+    return start(stream, handle, checkpoint, trigger=trigger)
+
+
 # --- running aggregates -----------------------------------------------------
 
-def live_counters(stream: DataFrame, delay: str = WATERMARK, window: str = "1 day") -> DataFrame:
-    """Tokens and requests per organisation and day, kept as streaming state."""
+def live_counters(rows: DataFrame, window: str = "1 day") -> DataFrame:
+    """Tokens and requests per organisation and period."""
     return (
-        event_time(stream, "created_at").withWatermark("created_at", delay)
-        .groupBy("org_id", F.window("created_at", window).alias("w"))
+        event_time(rows, "created_at").groupBy("org_id", F.window("created_at", window).alias("w"))
         .agg(F.sum("total_tokens").alias("total_tokens"), F.count(F.lit(1)).alias("total_requests"))
         .select("org_id", F.col("w.start").alias("period_start"), "total_tokens", "total_requests")
     )
 
 
+def count_usage(stream: DataFrame, out: str, checkpoint: str, window: str = "1 day", trigger: dict | None = None) -> StreamingQuery:
+    """Partial counters of each micro-batch.
+
+    A row counts in its own period however late it comes, so a new period opens
+    by itself and no watermark drops anything; no state is kept.
+    """
+    return start(stream, lambda df, n: write_batch(live_counters(df, window), out, n), checkpoint, trigger=trigger)
+
+
+def read_counters(spark: SparkSession, out: str) -> DataFrame:
+    """Counters so far: the sums of all batches."""
+    return read_batches(spark, out).groupBy("org_id", "period_start").agg(
+        F.sum("total_tokens").alias("total_tokens"), F.sum("total_requests").alias("total_requests"))
+
+
 def last_status(stream: DataFrame, key: str = "id", job: str = "bulk_job_id") -> DataFrame:
     """Latest status, tokens and pages per document, kept as streaming state."""
     newest = F.max_by(F.struct("status", "token_usage", "llamaparse_pages"), F.struct("updated_at", "seq"))
@@ -182,46 +220,54 @@ def shape_uploads(notices: DataFrame) -> DataFrame:
         F.concat(F.lit("gs://"), "bucket", F.lit("/"), "name").alias("path"), name.alias("file_name"))
 
 
-def job_id(org: Column, folder: Column) -> Column:
-    """Stable id of the open job of a folder."""
-    return F.sha2(F.concat_ws("|", org, folder), 256)
+def job_id(org: Column, folder: Column, first_event: Column) -> Column:
+    """Stable id of the job that an upload opens for its folder."""
+    return F.sha2(F.concat_ws("|", org, folder, first_event), 256)
 
 
 def ingest_uploads(stream: DataFrame, out: str, checkpoint: str, cap: int = K.MAX_FOLDER_DOCUMENTS,
-                   trigger: dict | None = None) -> StreamingQuery:
+                   trigger: dict | None = None, ended: Callable[[SparkSession], DataFrame] | None = None) -> StreamingQuery:
     """Upload notices into ``documents`` (registered files) and ``actions`` (one per notice).
 
-    What must be remembered is at most ``cap`` files per folder, kept as a table;
-    each micro-batch is one distributed admission, so a folder receiving most of
-    the traffic is not funnelled through one state task.
+    A folder has one active job; an upload joins it, or opens a new one if there
+    is none. ``ended`` gives the (bulk_job_id) of jobs that are no longer pending
+    or processing, read anew for each micro-batch. A job takes ``cap`` files; a
+    path counts once per job. What is remembered is the files of active jobs, as
+    a table that two slots take in turn, so a repeated batch finds the state
+    before it, and neither history nor ended jobs are read again. Each micro-batch
+    is one distributed admission; a folder with most of the traffic is no single task.
     """
+    keys = ["org_id", "folder"]
+    names = ["bulk_job_id", *keys, "path", "event_id"]
+
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         uploads = shape_uploads(batch).persist()
-        keys = ["org_id", "folder"]
         try:
-            stored = read_batches(spark, f"{out}/documents", number)
+            if number == 0:
+                active = uploads.withColumn("bulk_job_id", F.lit(None).cast("string")).select(*names).limit(0)
+            else:
+                active = spark.read.parquet(f"{out}/state/slot={(number - 1) % 2}")
+            if ended is not None:
+                active = active.join(ended(spark).select("bulk_job_id").distinct(), "bulk_job_id", "left_anti")
+            jobs = active.groupBy(*keys).agg(F.max("bulk_job_id").alias("open_job"), F.count(F.lit(1)).alias("used"))
             order = F.struct("ts", "event_id")
             firsts = uploads.groupBy(*keys, "path", "file_name").agg(F.min(order).alias("first"))
-            if stored is not None:
-                used = stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("used"))
-                firsts = firsts.join(stored.select(*keys, "path"), [*keys, "path"], "left_anti").join(used, keys, "left")
-            else:
-                firsts = firsts.withColumn("used", F.lit(0).cast("long"))
-            fresh = first_n(firsts, keys, [F.col("first")], cap, "place").filter(
-                F.col("place") + F.coalesce("used", F.lit(0)) <= cap)
-            fresh = fresh.select(
-                job_id(F.col("org_id"), F.col("folder")).alias("bulk_job_id"), *keys, "path", "file_name",
-                F.col("first.ts").alias("created_at"), F.col("first.event_id").alias("event_id"))
+            opens = firsts.groupBy(*keys).agg(F.min("first").alias("opener"))
+            fresh = firsts.join(active.select(*keys, "path"), [*keys, "path"], "left_anti")
+            fresh = first_n(fresh, keys, [F.col("first")], cap, "place").join(jobs, keys, "left").join(opens, keys)
+            fresh = fresh.filter(F.col("place") + F.coalesce("used", F.lit(0)) <= cap).select(
+                F.coalesce("open_job", job_id(F.col("org_id"), F.col("folder"), F.col("opener.event_id"))).alias("bulk_job_id"),
+                *keys, "path", "file_name", F.col("first.ts").alias("created_at"), F.col("first.event_id").alias("event_id"))
             write_batch(fresh, f"{out}/documents", number)
-            now_known = spark.read.parquet(f"{out}/documents/batch={number}").select(
+            fresh = spark.read.parquet(f"{out}/documents/batch={number}")
+            active.select(*names).unionByName(fresh.select(*names)).write.mode("overwrite").parquet(f"{out}/state/slot={number % 2}")
+            known = spark.read.parquet(f"{out}/state/slot={number % 2}").select(
                 *keys, "path", F.col("event_id").alias("by_event"))
-            if stored is not None:
-                now_known = now_known.unionByName(stored.select(*keys, "path", F.col("event_id").alias("by_event")))
             action = (
                 F.when(F.col("by_event").isNull(), "limit_exceeded")
                 .when(F.col("by_event") == F.col("event_id"), "added").otherwise("exists"))
-            acted = uploads.join(now_known, [*keys, "path"], "left").select("event_id", *keys, "path", action.alias("action"))
+            acted = uploads.join(known, [*keys, "path"], "left").select("event_id", *keys, "path", action.alias("action"))
             write_batch(acted, f"{out}/actions", number)
         finally:
             uploads.unpersist()
@@ -229,11 +275,12 @@ def ingest_uploads(stream: DataFrame, out: str, checkpoint: str, cap: int = K.MA
     return start(stream, handle, checkpoint, trigger=trigger)
 
 
-def start_signals(uploads: DataFrame, quiet: int = K.QUIET_SECONDS, min_docs: int = 1, delay: str = "0 seconds") -> DataFrame:
+def start_signals(uploads: DataFrame, quiet: int = K.QUIET_SECONDS, min_docs: int = 1, delay: str = WATERMARK) -> DataFrame:
     """One row per folder burst once no upload followed for ``quiet`` seconds.
 
     A session window closes exactly then; in append mode each closed burst is
-    emitted once, when the watermark has passed its quiet end.
+    emitted once, when the watermark has passed its quiet end. Uploads later than
+    ``delay`` go to a side table first, by :func:`set_late_aside`.
     """
     return (
         event_time(uploads, "ts").withWatermark("ts", delay)

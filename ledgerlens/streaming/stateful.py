@@ -95,7 +95,8 @@ class AdmissionProcessor(StatefulProcessor):
 
 def admission_stream(stream: DataFrame, session: str, ts: str, key: str, most: int = K.ADMIT_MAX,
                      window: int = K.ADMIT_WINDOW_SECONDS) -> DataFrame:
-    """Admission over a stream with the state kept per session."""
+    """Admission over a stream; the state is at most ``most`` times per session and stays, since a timer
+    would keep a run over available data from ending."""
     stream.sparkSession.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -137,11 +138,20 @@ def sessionise(df: DataFrame, user: str, ts: str, gap: int = K.SESSION_GAP_SECON
     return sessions.join(seen, [user, "session_start"])
 
 
-def sessions_stream(stream: DataFrame, user: str, ts: str, gap: int = K.SESSION_GAP_SECONDS,
-                    delay: str = "1 hour") -> DataFrame:
-    """Streaming sessions with query counts, emitted when they expire."""
-    return (
-        event_time(stream, ts).withWatermark(ts, delay).groupBy(user, F.session_window(ts, f"{gap} seconds").alias("w"))
-        .agg(F.count(F.lit(1)).alias("query_count"), F.max(ts).alias("last_activity"))
-        .select(user, F.col("w.start").alias("session_start"), "last_activity", F.col("w.end").alias("expires_at"), "query_count")
-    )
+def sessions_stream(stream: DataFrame, user: str, ts: str, gap: int = K.SESSION_GAP_SECONDS, delay: str = "1 hour",
+                    tokens: Column | None = None, elapsed: Column | None = None, document: Column | None = None) -> DataFrame:
+    """Streaming twin of :func:`sessionise`, with the same columns; a session is emitted when it has expired.
+
+    State is one row per open session, with its distinct documents. Rows later
+    than ``delay`` are dropped by the watermark: take the late ones off first,
+    as :func:`ingest.set_late_aside` does.
+    """
+    rows = event_time(stream, ts).withColumn("_tokens", tokens if tokens is not None else F.lit(0)).withColumn(
+        "_ms", elapsed if elapsed is not None else F.lit(0.0)).withColumn("_doc", document if document is not None else F.lit(None).cast("string"))
+    closed = rows.withWatermark(ts, delay).groupBy(user, F.session_window(ts, f"{gap} seconds").alias("w")).agg(
+        F.max(ts).alias("last_activity"), F.count(F.lit(1)).alias("query_count"), F.sum("_tokens").alias("total_tokens_used"),
+        F.sum("_ms").alias("total_processing_time_ms"), F.size(F.collect_set("_doc")).cast("long").alias("documents"))
+    out = closed.select(
+        user, F.col("w.start").alias("session_start"), "last_activity", F.col("w.end").alias("expires_at"), "query_count",
+        "total_tokens_used", "total_processing_time_ms", "documents")
+    return out if document is not None else out.drop("documents")

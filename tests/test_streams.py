@@ -85,8 +85,43 @@ def test_admission_stream_equals_the_batch_job(spark, tables, tmp_path):
 def test_counters_over_several_batches(spark, tables, tmp_path):
     usage_rows = tables.token_usage.select("org_id", "total_tokens", "created_at")
     stream = feed(usage_rows, str(tmp_path / "in"), 3, "created_at")
-    I.write_updates(I.live_counters(stream), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    got = I.read_updates(spark, str(tmp_path / "out"), ["org_id", "period_start"])
+    I.count_usage(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    got = I.read_counters(spark, str(tmp_path / "out"))
     want = usage_rows.groupBy("org_id", F.date_trunc("day", "created_at").alias("period_start")).agg(
         F.sum("total_tokens").alias("total_tokens"), F.count(F.lit(1)).alias("total_requests"))
     assert got.select(want.columns).exceptAll(want).count() == 0 and got.count() == want.count()
+
+
+def test_late_rows_count_in_their_own_period(spark, tmp_path):
+    days = (20, 21, 3, 22, 1)
+    rows = [("o", 10, dt.datetime(2024, 1, day)) for day in days]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "org_id string, total_tokens long, created_at timestamp_ntz, seq int")
+    stream = feed(df, str(tmp_path / "in"), 5, "seq")
+    I.count_usage(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    got = I.read_counters(spark, str(tmp_path / "out")).collect()
+    assert sorted((r.period_start.day, r.total_tokens) for r in got) == sorted((d, 10) for d in days)
+
+
+def test_a_folder_opens_a_new_job_after_the_old_one_ended(spark, tmp_path):
+    def notice(i, name):
+        return (i, dt.datetime(2024, 1, 1, 0, i), "b", f"org/bulk/f/{name}.pdf")
+
+    rows = [notice(0, "a"), notice(1, "b"), notice(2, "c"), notice(3, "a"), notice(4, "d"), notice(5, "c"), notice(6, "a")]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, bucket string, name string")
+    stream = feed(df, str(tmp_path / "in"), 7, "event_id")
+    out = str(tmp_path / "out")
+
+    def ended(session):
+        """The first job ends once its third file was refused."""
+        jobs = I.read_batches(session, f"{out}/documents")
+        first = [] if jobs is None else jobs.filter("batch = 0").select("bulk_job_id").collect()
+        refused = I.read_batches(session, f"{out}/actions")
+        over = refused is not None and refused.filter("batch >= 2").count() > 0
+        return session.createDataFrame([(r[0],) for r in first] if over else [], "bulk_job_id string")
+
+    I.ingest_uploads(stream, out, str(tmp_path / "ck"), cap=2, ended=ended).awaitTermination()
+    got = [r.action for r in I.read_batches(spark, f"{out}/actions").orderBy("event_id").collect()]
+    # a and b fill the first job, c is refused; then a, d open and fill the second, c is refused, a is known
+    assert got == ["added", "added", "limit_exceeded", "added", "added", "limit_exceeded", "exists"]
+    jobs = I.read_batches(spark, f"{out}/documents").groupBy("bulk_job_id").count().collect()
+    assert sorted(r["count"] for r in jobs) == [2, 2]
