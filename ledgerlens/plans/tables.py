@@ -18,18 +18,18 @@ K_SQL = "json_extract_string(props, '$' || '.k')"
 
 # --- sources ----------------------------------------------------------------
 
-@query("s1_scan_delimited", "SELECT p_partkey, p_name, p_brand, p_size, p_retailprice FROM part")
+@query("s1_scan_delimited", "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part")
 def scan_delimited(t):
     path = shared_dir(t.spark, "scan") + ".csv"
-    t.part.select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice").write.option("header", True).csv(path)
+    t.part.write.option("header", True).csv(path)
     return S.scan_delimited(t.spark, path).withColumn("p_partkey", F.col("p_partkey").cast("long"))
 
 
-@query("s1_scan_tab_separated", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+@query("s1_scan_tab_separated", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
 def scan_tab_separated(t):
     path = shared_dir(t.spark, "scan") + ".tsv"
-    t.supplier.select("s_suppkey", "s_name", "s_acctbal").write.option("header", True).option("sep", "\t").csv(path)
-    return S.scan_delimited(t.spark, path, "s_suppkey long, s_name string, s_acctbal double")
+    t.supplier.select("s_suppkey", "s_name", "s_nationkey", "s_acctbal").write.option("header", True).option("sep", "\t").csv(path)
+    return S.scan_delimited(t.spark, path, t.supplier.select("s_suppkey", "s_name", "s_nationkey", "s_acctbal").schema)
 
 
 @query("s2_mount_files", """
@@ -82,7 +82,8 @@ def write_artifacts(t):
         F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("chars"))
 
 
-INVENTORY = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels"]
+INVENTORY = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+             "embeddings", "pages", "benchmark", "conversations", "labels"]
 
 
 @query("s6_table_inventory", " UNION ALL ".join(
@@ -90,7 +91,7 @@ INVENTORY = ["region", "nation", "customer", "supplier", "part", "orders", "line
     + " UNION ALL SELECT 'invoices', -1, 'missing'")
 def table_inventory(t):
     expected = t.spark.createDataFrame([(n,) for n in INVENTORY[:-1]] + [("invoices",)], "table_name string")
-    out = S.table_inventory({n: getattr(t, n) for n in INVENTORY}, expected)
+    out = S.table_inventory({n: t.spark.read.parquet(f"{t.root}/{n}.parquet") for n in INVENTORY}, expected)
     return out.withColumn("rows", F.coalesce("rows", F.lit(-1).cast("long")))
 
 
@@ -139,13 +140,13 @@ def list_roots(t):
 
 
 @query("f4_search_any_column", """
-SELECT DISTINCT p_partkey, p_name, p_brand, p_type, p_size FROM part
-WHERE contains(lower(CAST(p_partkey AS VARCHAR)), '19') OR contains(lower(p_name), '19') OR contains(lower(p_brand), '19')
+SELECT DISTINCT * FROM part
+WHERE contains(CAST(p_retailprice AS VARCHAR), '19') OR contains(CAST(p_retailprice AS VARCHAR), '7') OR contains(lower(CAST(p_partkey AS VARCHAR)), '19') OR contains(lower(p_name), '19') OR contains(lower(p_brand), '19')
    OR contains(lower(p_type), '19') OR contains(CAST(p_size AS VARCHAR), '19')
    OR contains(lower(CAST(p_partkey AS VARCHAR)), '7') OR contains(lower(p_name), '7') OR contains(lower(p_brand), '7')
    OR contains(lower(p_type), '7') OR contains(CAST(p_size AS VARCHAR), '7')""")
 def search_any_column(t):
-    return X.search_any_column(t.part.drop("p_retailprice"), "find parts with 19 or 7")
+    return X.search_any_column(t.part, "find parts with 19 or 7")
 
 
 @query("f5_project_by_words", "SELECT p_brand, p_retailprice FROM part")
@@ -220,11 +221,18 @@ SELECT o.o_orderkey AS id, CAST(0 AS INT) AS part, COUNT(l.l_orderkey) AS n_item
 FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey GROUP BY o.o_orderkey""")
 def nest_line_items(t):
     header = t.orders.select(F.col("o_orderkey").alias("id"))
-    nested = J.nest_line_items(header, t.lineitem, "id", "l_orderkey", "l_linenumber", ["l_partkey"])
+    nested = J.nest_line_items(header, t.lineitem, "id", "l_orderkey", "l_linenumber", ["l_partkey"], 10_000)
     label = F.transform("line_items", lambda i: F.concat(i["l_linenumber"], F.lit(":"), i["l_partkey"]))
     return nested.select("id", "part", F.size("line_items").cast("long").alias("n_items"), F.array_join(label, ",").alias("items"))
 
 
+@query("j5_line_item_rows", """
+SELECT o.o_orderkey AS id, l.l_linenumber, l.l_partkey AS part, l.l_quantity AS quantity FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey""")
+def line_item_rows(t):
+    rows = J.line_item_rows(t.orders.select(F.col("o_orderkey").alias("id")), t.lineitem, "id", "l_orderkey", "l_linenumber", ["l_partkey", "l_quantity"])
+    return rows.select("id", "l_linenumber", F.col("item.l_partkey").alias("part"), F.col("item.l_quantity").alias("quantity"))
+
+
 @query("j6_document_dossier", """
 WITH docs AS (SELECT DISTINCT file_name FROM $jobs),
 j AS (SELECT file_name, COUNT(*) AS n_jobs, string_agg(id || ':' || status, ',' ORDER BY started_at DESC, id DESC) AS jobs FROM $jobs GROUP BY 1),
@@ -236,7 +244,7 @@ def document_dossier(t):
     docs = t.jobs.select("file_name").distinct()
     out = J.document_dossier(
         docs, t.jobs, t.generations, doc_key="file_name", job_key="file_name", job_ts="started_at", job_fields=["id", "status"],
-        audit_key="document_name", audit_ts="created_at", audit_fields=["id"])
+        audit_key="document_name", audit_ts="created_at", audit_fields=["id"], trail=100, jobs_per_row=10_000)
     jobs = F.transform("jobs", lambda x: F.concat(x["id"], F.lit(":"), x["status"]))
     audit = F.transform("audit_trail", lambda x: x["id"].cast("string"))
     return out.select(
@@ -372,13 +380,16 @@ def profile_by_terms(t):
     return out.withColumn("total", F.round("total", 2)).withColumn("average", F.round("average", 4))
 
 
+NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
 @query("a14_describe_numeric", " UNION ALL ".join(f"""
 SELECT '{c}' AS column_name, COUNT({c}) AS count, {half_up(f'avg({c})', 6)} AS mean, {half_up(f'stddev_samp({c})', 6)} AS std, CAST(min({c}) AS DOUBLE) AS min,
  {half_up(f'quantile_cont({c}::DOUBLE, 0.25)', 6)} AS p25, {half_up(f'quantile_cont({c}::DOUBLE, 0.5)', 6)} AS p50,
  {half_up(f'quantile_cont({c}::DOUBLE, 0.75)', 6)} AS p75, CAST(max({c}) AS DOUBLE) AS max FROM lineitem"""
-    for c in ("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")))
+    for c in NUMERIC))
 def describe_numeric(t):
-    out = A.describe_numeric(t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount"))
+    out = A.describe_numeric(t.lineitem.select(*NUMERIC))
     for c in ("mean", "std", "p25", "p50", "p75"):
         out = out.withColumn(c, F.round(c, 6))
     return out
@@ -410,16 +421,18 @@ def job_outcome(t):
     return A.job_outcome(A.job_progress(t.bulk_docs)).select("bulk_job_id", "final_status")
 
 
-@query("a18_stage_timings", """
-SELECT bulk_job_id, CAST(SUM(parse_time_ms) AS BIGINT) AS sum_parse_time_ms, CAST(COALESCE(SUM(index_time_ms), 0) AS BIGINT) AS sum_index_time_ms,
- CAST(SUM(generation_time_ms) AS BIGINT) AS sum_generation_time_ms,
- CAST(SUM(parse_time_ms + COALESCE(index_time_ms, 0) + generation_time_ms) AS BIGINT) AS sum_total_time_ms,
- """ + half_up("avg(parse_time_ms)", 6) + """ AS avg_parse_time_ms, """ + half_up("avg(parse_time_ms + COALESCE(index_time_ms, 0) + generation_time_ms)", 6) + """ AS avg_total_time_ms
-FROM $bulk_docs GROUP BY 1""")
+STAGE_TIMES = {"parse": "parse_time_ms", "index": "index_time_ms", "generation": "generation_time_ms",
+               "total": "parse_time_ms + COALESCE(index_time_ms, 0) + generation_time_ms"}
+
+
+@query("a18_stage_timings", "SELECT bulk_job_id, " + ", ".join(
+    f"CAST(COALESCE(SUM({x}), 0) AS BIGINT) AS sum_{n}_time_ms, {half_up(f'avg({x})', 6)} AS avg_{n}_time_ms" for n, x in STAGE_TIMES.items())
+    + " FROM $bulk_docs GROUP BY 1")
 def stage_timings(t):
-    out = A.stage_timings(t.bulk_docs).drop("avg_index_time_ms", "avg_generation_time_ms")
-    return out.withColumn("avg_parse_time_ms", F.round("avg_parse_time_ms", 6)).withColumn(
-        "avg_total_time_ms", F.round("avg_total_time_ms", 6))
+    out = A.stage_timings(t.bulk_docs)
+    for n in STAGE_TIMES:
+        out = out.withColumn(f"avg_{n}_time_ms", F.round(f"avg_{n}_time_ms", 6))
+    return out
 
 
 @query("a20_difficulty_distribution", """
@@ -636,14 +649,32 @@ def apply_deltas(t):
     return M.apply_deltas(state, deltas, "store_id", "total_size_bytes", "delta", [F.col("ts"), F.col("event_id")], F.date_trunc("hour", "ts"))
 
 
-@query("m12_purge_expired", "SELECT id FROM $answer_cache WHERE created_at >= TIMESTAMP '2024-01-31' - INTERVAL 168 HOUR")
+def purged(kept, gone):
+    """Kept ids and, without an id, the number of deleted rows."""
+    rows = kept.select("id", F.lit(None).cast("long").alias("deleted"))
+    return rows.unionByName(gone.select(F.lit(None).cast(kept.schema["id"].dataType).alias("id"), "deleted"))
+
+
+DATED = "(SELECT id, org_id, folder_filter, CASE WHEN id % 11 <> 5 THEN created_at END AS created_at FROM $answer_cache)"
+OWNED = "(SELECT id, CASE WHEN id % 11 <> 5 THEN org_id END AS org_id, folder_filter FROM $answer_cache)"
+
+
+@query("m12_purge_expired", f"""
+SELECT id, NULL::BIGINT AS deleted FROM {DATED} WHERE created_at IS NULL OR created_at >= TIMESTAMP '2024-01-31' - INTERVAL 168 HOUR
+UNION ALL SELECT NULL, COUNT(*) FROM {DATED} WHERE created_at < TIMESTAMP '2024-01-31' - INTERVAL 168 HOUR""")
 def purge_expired(t):
-    return M.purge_expired(t.answer_cache, 168, now())[0].select("id")
+    """Some entries lack a time."""
+    dated = t.answer_cache.withColumn("created_at", F.when(F.col("id") % 11 != 5, F.col("created_at")))
+    return purged(*M.purge_expired(dated, 168, now()))
 
 
-@query("m13_clear_scope", "SELECT id FROM $answer_cache WHERE NOT (org_id = 3 AND folder_filter IS NOT DISTINCT FROM 'folder')")
+@query("m13_clear_scope", f"""
+SELECT id, NULL::BIGINT AS deleted FROM {OWNED} WHERE (org_id = 3 AND folder_filter IS NOT DISTINCT FROM 'folder') IS NOT TRUE
+UNION ALL SELECT NULL, COUNT(*) FROM {OWNED} WHERE org_id = 3 AND folder_filter IS NOT DISTINCT FROM 'folder'""")
 def clear_scope(t):
-    return M.clear_scope(t.answer_cache, 3, folder="folder")[0].select("id")
+    """Some entries lack an organisation."""
+    owned = t.answer_cache.withColumn("org_id", F.when(F.col("id") % 11 != 5, F.col("org_id")))
+    return purged(*M.clear_scope(owned, 3, folder="folder"))
 
 
 @query("m14_erase_user", """
