@@ -5,17 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.session import shared_dir
 
-#: Words remembered by one Python worker before it starts anew; results do not depend on it.
-MEMO_WORDS = 500_000
+#: New words after which a task forgets older ones; results do not depend on it.
+MEMO_WORDS = 150_000
 #: A longer word is worked out each time, so that the memo stays small.
 MEMO_BYTES = 200
 #: Texts are worked on in groups of about so many bytes.
 GROUP_BYTES = 1 << 20
+SLICE_ROWS = 64
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -59,16 +61,17 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def byte_groups(texts: list[str | None]) -> Iterator[list[bytes]]:
-    """Texts as UTF-8 (null: empty), in order, in lists of about GROUP_BYTES."""
+def byte_groups(column: pa.Array) -> Iterator[list[bytes]]:
+    """Texts of an Arrow column as UTF-8 (null: empty), in order, in lists of about GROUP_BYTES."""
+    data = column.cast(pa.large_binary())
     group, size = [], 0
-    for text in texts:
-        data = (text or "").encode()
-        group.append(data)
-        size += len(data)
-        if size >= GROUP_BYTES:
-            yield group
-            group, size = [], 0
+    for at in range(0, len(data), SLICE_ROWS):
+        for text in data.slice(at, SLICE_ROWS).to_pylist():
+            group.append(text or b"")
+            size += len(group[-1])
+            if size >= GROUP_BYTES:
+                yield group
+                group, size = [], 0
     if group:
         yield group
 
@@ -87,17 +90,20 @@ def word_lists(data: bytes) -> Iterator[list[bytes]]:
 
 
 class Memo(dict):
-    """Value by word, worked out when first seen and kept within bounds."""
+    """Value by word, worked out when first seen; words not seen for two spans of MEMO_WORDS new ones are forgotten."""
 
-    def __init__(self, compute, words: int = MEMO_WORDS):
+    def __init__(self, compute):
         super().__init__()
-        self.compute, self.words = compute, words
+        self.compute, self.before = compute, {}
 
     def __missing__(self, word):
-        value = self.compute(word)
-        if len(self) >= self.words:
-            self.clear()
+        value = self.before.get(word)
+        if value is None:
+            value = self.compute(word)
         if len(word) <= MEMO_BYTES:
+            if len(self) >= MEMO_WORDS:
+                self.before = self.copy()
+                self.clear()
             self[word] = value
         return value
 

@@ -165,7 +165,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
         memo = Memo(index.numbers)
         for batch in batches:
             keys, texts, at = batch.column("doc_id").to_pylist(), batch.column("text"), 0
-            for group in byte_groups(texts.to_pylist()):
+            for group in byte_groups(texts):
                 rows = []
                 for data in group:
                     parts = [np.fromiter(chain.from_iterable(memo.values_of(w)), np.int64) for w in word_lists(data)]

@@ -45,17 +45,21 @@ def _byte_letters() -> dict[int, str]:
 
 
 @lru_cache(maxsize=2)
-def _memo(path: str) -> Memo:
+def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def new_memo(path: str) -> Memo:
     """Token ids of a word, as little-endian unsigned 32-bit bytes.
 
     The tokenizer never joins text across white space, so words are encoded
     apart. Plain words go straight to its vocabulary; all others through the
     whole tokenizer.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    whole, shown = Tokenizer.from_file(path), _byte_letters()
+    whole, shown = _tokenizer(path), _byte_letters()
     split, tokenize = PLAIN.fullmatch, whole.model.tokenize
 
     def packed(ids: list[int]) -> bytes:
@@ -78,9 +82,8 @@ def _memo(path: str) -> Memo:
     return Memo(compute)
 
 
-def encode_text(data: bytes, path: str) -> bytes:
+def encode_text(data: bytes, memo: Memo) -> bytes:
     """Ids of a text and a closing id 0, four bytes each."""
-    memo = _memo(path)
     return b"".join(x for words in word_lists(data) for x in memo.values_of(words)) + bytes(4)
 
 
@@ -94,12 +97,13 @@ def encode_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPA
     path = path or tokenizer_path()
 
     def run(batches):
+        memo = new_memo(path)
         for batch in batches:
             keys, at = batch.column("doc_id").to_pylist(), 0
-            for group in byte_groups(batch.column("text").to_pylist()):
+            for group in byte_groups(batch.column("text")):
                 out = ([], [], [], [], [])
                 for data in group:
-                    ids = encode_text(data, path)
+                    ids = encode_text(data, memo)
                     for n, start in enumerate(range(0, len(ids) // 4, capacity)):
                         part = ids[4 * start:4 * (start + capacity)]
                         for column, value in zip(out, (keys[at], n, start, len(part) // 4, part), strict=True):

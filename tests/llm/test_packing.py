@@ -20,7 +20,7 @@ def whole():
 
 
 def ids_of(text):
-    return np.frombuffer(packing.encode_text(text.encode(), PATH), "<u4").tolist()
+    return np.frombuffer(packing.encode_text(text.encode(), packing.new_memo(PATH)), "<u4").tolist()
 
 
 @settings(max_examples=150, deadline=None)

@@ -43,7 +43,8 @@ def test_stages(spark, steps):
     assert all(r == plain[r["doc_id"]] for r in safe if r["doc_id"] in plain)
     assert all(r["n_chars"] == len(r["text"]) for r in safe if r["doc_id"] not in plain)
 
-    length = {r["doc_id"]: len(packing.encode_text((r["text"] or "").encode(), packing.tokenizer_path())) // 4 for r in safe}
+    memo = packing.new_memo(packing.tokenizer_path())
+    length = {r["doc_id"]: len(packing.encode_text((r["text"] or "").encode(), memo)) // 4 for r in safe}
     got = {}
     for r in packed:
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
