@@ -17,18 +17,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import Memo, byte_groups, components, mix, stored, word_lists
+from ledgerlens.llm.common import byte_groups, components, mix, stored, word_lists
 
 #: 24 bands of 5: a pair of similarity 0.85 is missed once in a million, one of 0.8 once in 10,000.
 BANDS, ROWS = 24, 5
 #: Documents of a bucket are compared in blocks of about so many.
 BLOCK = 2048
-SLICE = 1 << 15
-
-
-@lru_cache(maxsize=1)
-def _words() -> Memo:
-    return Memo(lambda word: xxhash.xxh3_64_intdigest(word))
+BLOCK_HASHES = 1 << 21
+SLICE = 1 << 10
 
 
 def shingles(data: bytes, width: int) -> np.ndarray:
@@ -36,8 +32,7 @@ def shingles(data: bytes, width: int) -> np.ndarray:
 
     Fewer words than ``width`` are one shingle; no words give none.
     """
-    memo = _words()
-    lists = [np.array(memo.values_of(w), np.uint64) for w in word_lists(data.lower()) if w]
+    lists = [np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w)) for w in word_lists(data.lower()) if w]
     words = np.concatenate(lists) if lists else np.empty(0, np.uint64)
     if not len(words):
         return words
@@ -49,6 +44,7 @@ def shingles(data: bytes, width: int) -> np.ndarray:
     return np.unique(out)
 
 
+@lru_cache(maxsize=4)
 def _factors(count: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240229)
     return rng.integers(0, 1 << 63, count, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, count, np.uint64)
@@ -60,11 +56,9 @@ def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
     factor, shift = _factors(count)
     low, high = np.full(count, ~np.uint64(0)), np.zeros(count, np.uint64)
     for at in range(0, len(hashes), SLICE):
-        part = hashes[at:at + SLICE]
-        for j in range(count):
-            moved = part * factor[j] + shift[j]
-            moved ^= moved >> np.uint64(32)
-            low[j], high[j] = min(low[j], moved.min()), max(high[j], moved.max())
+        moved = factor[:, None] * hashes[at:at + SLICE] + shift[:, None]
+        moved ^= moved >> np.uint64(32)
+        low, high = np.minimum(low, moved.min(axis=1)), np.maximum(high, moved.max(axis=1))
     values = np.concatenate([low, high])[:bands * rows].reshape(bands, rows)
     keys = np.arange(bands, dtype=np.uint64)
     for i in range(rows):
@@ -76,7 +70,7 @@ def _signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             keys, at = batch.column("doc_id"), 0
-            for group in byte_groups(batch.column("text").to_pylist()):
+            for group in byte_groups(batch.column("text")):
                 counts, digests, found = [], [], []
                 for data in group:
                     hashes = shingles(data, width)
@@ -96,7 +90,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             keys, at = batch.column("doc_id"), 0
-            for group in byte_groups(batch.column("text").to_pylist()):
+            for group in byte_groups(batch.column("text")):
                 sets = [shingles(data, width).tobytes() for data in group]
                 yield pa.RecordBatch.from_arrays([keys.slice(at, len(group)), pa.array(sets, pa.binary())], ["node", "hashes"])
                 at += len(group)
@@ -129,52 +123,52 @@ def block_links(side: np.ndarray, nodes: np.ndarray, labels: np.ndarray, sets: l
     """Links that join different components of a block; one per document and foreign component is enough.
 
     ``side`` 1 marks documents that look for partners, 2 those that are looked up,
-    3 both. A partner must hold one of the document's rarest hashes, as many as
-    the allowed difference and one more, so only postings of those are read.
+    3 both.
     """
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    hashes = np.concatenate([sets[i] for i in order])
-    owner = np.repeat(order, [len(sets[i]) for i in order])
+    sizes = np.array([len(s) for s in sets])
+    hashes, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     by = np.argsort(hashes, kind="stable")
     hashes, owner = hashes[by], owner[by]
     values, first, counts = np.unique(hashes, return_index=True, return_counts=True)
     looked = (side & 2) > 0
     found = set()
     for i in np.flatnonzero(side & 1):
-        own = sets[i]
-        at = np.searchsorted(values, own)
-        rare = np.argsort(counts[at], kind="stable")[:len(own) - (percent * len(own) + 99) // 100 + 1]
-        near = np.unique(np.concatenate([owner[first[k]:first[k] + counts[k]] for k in at[rare]]))
-        near = near[looked[near] & (labels[near] != labels[i])]
-        joined = set()
-        for j in near:
-            if labels[j] not in joined and linked(own, sets[j], percent):
-                joined.add(labels[j])
-                found.add((int(nodes[i]), int(nodes[j])))
+        at = np.searchsorted(values, sets[i])
+        held, start = counts[at], first[at]
+        allowed = sizes[i] - (percent * sizes[i] + 99) // 100
+        if np.partition(held, allowed)[allowed] == 1:
+            continue  # so many hashes are its own alone that no one can be near enough
+        # every posting of every hash: how often a document turns up is the size of the intersection
+        place = np.arange(held.sum()) + np.repeat(start - np.cumsum(held) + held, held)
+        common = np.bincount(owner[place], minlength=len(sets))
+        near = looked & (labels != labels[i]) & (100 * common >= percent * (sizes + sizes[i] - common))
+        near = np.flatnonzero(near)
+        _, one = np.unique(labels[near], return_index=True)
+        found.update((int(nodes[i]), int(nodes[j])) for j in near[one])
     return found
 
 
 def _residual(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
     """Links inside buckets of three or more that still span several components.
 
-    In each bucket the documents outside its largest component look for partners
-    in other components. Large buckets are cut into blocks by a hash; every block
-    of seekers meets every block of partners.
+    Buckets are put together by the component that most of their documents are in,
+    so the bands of one group are worked on once. There the documents outside that
+    component look for partners in other components. Large groups are cut into
+    blocks by a hash; every block of seekers meets every block of partners.
     """
     named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = named.groupBy("key", "label").agg(F.count("*").alias("n"))
     spread = sizes.groupBy("key").agg(
-        F.count("*").alias("labels"), F.sum("n").alias("n"), F.max_by("label", F.struct("n", "label")).alias("main")).where("labels > 1 and n > 2")
-    # buckets of the same documents, as bands of one group are, count once
-    content = named.join(spread, "key").groupBy("key", "n").agg(
-        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"))
-    once = content.groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key")
-    rows = named.join(spread.join(once, "key"), "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+        F.count("*").alias("labels"), F.sum("n").alias("n"), F.max_by("label", F.struct("n", "label")).alias("main")).where(
+        "labels > 1 and n > 2").select("key", "main")
+    rows = stored(named.join(spread, "key").select("main", "node", "label", "size").distinct(), "groups")
+    cut = rows.groupBy("main").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("size") / BLOCK_HASHES)).cast("int").alias("blocks"))
+    rows = rows.join(cut, "main")
     mine = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
     all_ = F.sequence(F.lit(0), F.col("blocks") - 1)
-    seek = rows.where("label <> main").select("key", "node", "label", mine.alias("i"), F.explode(all_).alias("j"), F.lit(1).alias("side"))
-    give = rows.select("key", "node", "label", F.explode(all_).alias("i"), mine.alias("j"), F.lit(2).alias("side"))
-    cells = seek.unionByName(give).groupBy("key", "i", "j", "node", "label").agg(F.sum("side").alias("side"))
+    seek = rows.where("label <> main").select("main", "node", "label", mine.alias("i"), F.explode(all_).alias("j"), F.lit(1).alias("side"))
+    give = rows.select("main", "node", "label", F.explode(all_).alias("i"), mine.alias("j"), F.lit(2).alias("side"))
+    cells = seek.unionByName(give).groupBy("main", "i", "j", "node", "label").agg(F.sum("side").alias("side"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("node")
@@ -183,7 +177,7 @@ def _residual(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
             [np.frombuffer(h, np.uint64) for h in frame["hashes"]], percent)
         return pd.DataFrame(sorted(links), columns=["a", "b"], dtype="int64")
 
-    return cells.join(sets, "node").groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+    return cells.join(sets, "node").groupBy("main", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
@@ -203,20 +197,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         F.col("doc_id").alias("node"), F.explode("keys").alias("key")).distinct()
     heads = stored(heads, "bands")
     buckets = heads.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
-    members = stored(heads.join(buckets, "key"), "buckets")
+    members = heads.join(buckets, "key").join(classes.select("node", F.col("n").alias("size")).groupBy("node").agg(F.max("size").alias("size")), "node")
+    members = stored(members, "buckets")
     pairs = stored(members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     needed = members.select("node").distinct()
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(needed.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
     sets = stored(_sets(texts, width), "sets")
     stars = stored(_confirmed(pairs, sets, percent), "stars")
     labels = components(stars)
-    more = stored(_residual(members.where("n > 2").select("key", "node"), labels, sets, percent, block), "links")
+    more = stored(_residual(members.where("n > 2").select("key", "node", "size"), labels, sets, percent, block), "links")
     if not more.isEmpty():
         labels = components(stars.union(more))
     named = classes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id"))
     # rows of one doc_id with several texts join the components of all of them
     out = signed.join(named, "digest", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
