@@ -35,6 +35,8 @@ UNITS = frozenset(
 
 PART = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|[.!?]")
 PLAIN, NUMBER, TITLE, UNIT, STOP = range(5)
+WORD_BITS, STOP_CODE = (1 << 63) - 16, 4
+MARKS = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^`{|}~"
 
 
 def parts_of(text: str) -> list[tuple[int, str]]:
@@ -53,8 +55,25 @@ def parts_of(text: str) -> list[tuple[int, str]]:
 
 
 def code_of(kind: int, part: str) -> int:
-    """Word hash in the upper 60 bits, kind in the lower 3; units with a capital are names only."""
-    return (xxhash.xxh3_64_intdigest(part.lower()) & ~15 & (1 << 63) - 1) | kind | (8 if part.lower() in UNITS else 0)
+    """Word hash in the upper bits, kind in the lower 3; bit 3 marks a unit word."""
+    if kind == STOP:
+        return STOP_CODE
+    low = part.lower()
+    return (xxhash.xxh3_64_intdigest(low) & WORD_BITS) | kind | (8 if low in UNITS else 0)
+
+
+def word_codes(word: bytes) -> tuple[int, ...]:
+    """Codes of the parts of a word between white space; the same as by :func:`parts_of`, faster for a plain word."""
+    text = word.decode()
+    core = text.rstrip(MARKS)
+    if not core.isalpha():
+        return tuple(code_of(k, p) for k, p in parts_of(text))
+    ends = len(text) - len(core) and sum(map(text[len(core):].count, ".!?"))
+    kind = PLAIN if core.islower() or len(core) < 2 or not (core[0].isupper() and core[1:].islower()) else TITLE
+    low = core if core.islower() else core.lower()
+    if low in UNITS:
+        return (code_of(UNIT if kind == PLAIN else kind, core),) + (STOP_CODE,) * ends
+    return ((xxhash.xxh3_64_intdigest(low) & WORD_BITS) | kind,) + (STOP_CODE,) * ends
 
 
 def codes(data: bytes, memo: Memo) -> np.ndarray:
@@ -63,7 +82,7 @@ def codes(data: bytes, memo: Memo) -> np.ndarray:
 
 
 def new_memo() -> Memo:
-    return Memo(lambda word: tuple(code_of(k, p) for k, p in parts_of(word.decode())))
+    return Memo(word_codes)
 
 
 def canonical(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,7 +138,7 @@ def template_windows(table: DataFrame, key: str, widths: list[int] | None, wante
         memo = new_memo()
         for batch in batches:
             keys, at = batch.column("doc_id").to_pylist(), 0
-            for group in byte_groups(batch.column("text").to_pylist()):
+            for group in byte_groups(batch.column("text")):
                 out = ([], [], [], [], [], [])
                 for data in group:
                     code = codes(data, memo)
