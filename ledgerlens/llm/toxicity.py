@@ -22,8 +22,9 @@ from ledgerlens.llm.quality import calibrated
 
 WINDOW = 160
 GRAM = 6
-ORDINARY_BYTES, TOXIC_BYTES = 1 << 14, 1 << 14
-NAMES = ["highest", "second", "share", "count"]
+LEVEL = 6
+ORDINARY_BYTES, TOXIC_BYTES = 1 << 15, 1 << 13
+NAMES = ["highest", "best_three", "mean", "beyond_two", "share", "count", "excess", "windows"]
 
 
 @dataclass
@@ -63,16 +64,30 @@ def _frequency(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.uint64), np.empty(0, int))
 
 
+def _surprise(n1: np.ndarray, total1: int, n0: np.ndarray, total0: int) -> np.ndarray:
+    """Log-likelihood ratio of two shares being different against their being one."""
+    def fit(k, n, p):
+        return k * np.log(np.maximum(p, 1e-12)) + (n - k) * np.log(np.maximum(1 - p, 1e-12))
+
+    both = (n1 + n0) / (total1 + total0)
+    return 2 * (fit(n1, total1, n1 / total1) + fit(n0, total0, n0 / total0) - fit(n1, total1, both) - fit(n0, total0, both))
+
+
 def segments(toxic: list[bytes], ordinary: list[bytes], ratio: float = 8.0) -> list[bytes]:
-    """Segments of toxic chunks made of grams at least ``ratio`` times as frequent there, rarest first."""
+    """What toxic chunks have and ordinary ones lack, rarest first.
+
+    Grams at least ``ratio`` times as frequent in toxic chunks, and surely so (the
+    bar grows with the number of chunks, so that chance grams stay out); runs of
+    them are segments. One that holds a more frequent segment adds nothing.
+    """
     grams, n1 = _frequency(toxic)
     others, n0 = _frequency(ordinary)
-    if not len(grams):
+    if not len(grams) or not len(others):
         return []
-    at = np.minimum(np.searchsorted(others, grams), max(0, len(others) - 1))
-    seen = np.where(others[at] == grams, n0[at], 0) if len(others) else np.zeros(len(grams))
-    high = (n1 + 0.5) / (len(toxic) + 1) / ((seen + 0.5) / (len(ordinary) + 1))
-    chosen = grams[(n1 >= max(3, 0.002 * len(toxic))) & (high >= ratio)]
+    at = np.minimum(np.searchsorted(others, grams), len(others) - 1)
+    seen = np.where(others[at] == grams, n0[at], 0)
+    sure = _surprise(n1, len(toxic), seen, len(ordinary)) >= max(20.0, len(toxic) / 12)
+    chosen = grams[(n1 >= 5) & sure & (n1 / len(toxic) > ratio * seen / len(ordinary))]
     found: Counter[bytes] = Counter()
     for chunk in toxic:
         hit = np.isin(_grams(chunk), chosen)
@@ -83,17 +98,26 @@ def segments(toxic: list[bytes], ordinary: list[bytes], ratio: float = 8.0) -> l
             covered[1 + i:1 + i + len(hit)] |= hit
         edges = np.flatnonzero(np.diff(covered.astype(np.int8)))
         found.update(chunk[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-    return [s for s, _ in sorted(found.items(), key=lambda x: (x[1], x[0]))]
+    kept: list[bytes] = []
+    for segment, times in sorted(found.items(), key=lambda x: (-x[1], x[0])):
+        if times > 1 and not any(k in segment for k in kept):
+            kept.append(segment)
+    return kept[::-1]
 
 
 def _distances(ordinary: bytes, toxic: bytes):
+    """Bytes that the toxic dictionary saves, window by window.
+
+    Its own segments come before the ordinary text, which so lies at the same
+    distance from a window under either dictionary.
+    """
     sizes: list = []
 
     def run(data: bytes) -> np.ndarray:
         if not sizes:
-            sizes.extend([C.sizer(ordinary, raw=True), C.sizer(ordinary + toxic, raw=True)])
+            sizes.extend([C.sizer(ordinary, True, LEVEL), C.sizer(toxic + b"\n" + ordinary if toxic else ordinary, True, LEVEL)])
         plain, saved = sizes
-        return np.array([plain(w) - saved(w) for w in windows(data)], float)
+        return np.array([plain(w) - saved(w) for w in windows(data)] or [0], float)
 
     return run
 
@@ -105,9 +129,9 @@ def _compute(ordinary: bytes, toxic: bytes, threshold: int):
         out = []
         for text in texts:
             d = np.sort(distances((text or "").lower().encode()))[::-1]
-            beyond = float(np.count_nonzero(d >= threshold))
-            first = [*np.clip(d[:2], -5, 15), 0.0, 0.0]
-            out.append((first[0], first[1], math.sqrt(beyond / max(1, len(d))), math.log1p(beyond)))
+            out.append((
+                float(d[0]), float(d[:3].mean()), float(d.mean()), float(np.maximum(d - 2, 0).mean()), float((d >= threshold).mean()),
+                math.log1p(float((d >= threshold).sum())), math.sqrt(float(np.maximum(d - 3, 0).mean())), math.log1p(len(d))))
         return out
 
     return run
@@ -116,18 +140,18 @@ def _compute(ordinary: bytes, toxic: bytes, threshold: int):
 def fit(docs: DataFrame, labels: DataFrame, train: Column, chunk_chars: int = 1500, chunks: int = 3000, calibration_rows: int = 20_000) -> Model:
     """Dictionaries from one half of the labelled training rows; threshold and weights from the other.
 
-    The threshold is the distance that only one in 2,000 ordinary windows reaches,
-    3 bytes at least. Bounds: ``chunks`` chunks per label, ``calibration_rows`` rows.
+    The threshold is the distance that one in 200 ordinary windows reaches, 3
+    bytes at least. Bounds: ``chunks`` chunks per label, ``calibration_rows`` rows.
     """
     rows = C.labelled(docs, labels, "toxic", train)
     found = C.chunk_sample(rows.where("half = 0"), chunk_chars, chunks)
     toxic, plain = ([x.lower().encode() for x in found[v]] for v in (1, 0))
     ordinary = C.trained([w for c in plain for w in windows(c)], ORDINARY_BYTES)
-    special = b"".join(segments(toxic, plain))[-TOXIC_BYTES:]
+    special = b"\n".join(segments(toxic, plain))[-TOXIC_BYTES:]
     other = C.chunk_sample(rows.where("half = 1 and label = 0"), chunk_chars, max(1, chunks // 6))[0]
     distances = _distances(ordinary, special)
     usual = [distances(x.lower().encode()) for x in other]
-    high = float(np.quantile(np.concatenate(usual), 0.9995)) if usual else 0.0
+    high = float(np.quantile(np.concatenate(usual), 0.995)) if usual else 0.0
     threshold = max(3, math.floor(high) + 1)
     sample = C.label_sample(rows.where("half = 1"), calibration_rows)
     marks = sample.select("doc_id", "label").distinct()
