@@ -60,13 +60,13 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     for rule in rules:
         pattern = F.lit(rule.pattern)
         hits = blobs.where(F.col("content").rlike(rule.pattern)).select(
-            "blob", F.split("content", rule.pattern, -1).alias("gaps"),
+            "blob", F.monotonically_increasing_id().alias("row"), F.split("content", rule.pattern, -1).alias("gaps"),
             F.regexp_extract_all("content", pattern, F.lit(0)).alias("hits"),
             F.regexp_extract_all("content", pattern, F.lit(rule.group)).alias("checked"))
-        rows = hits.select("blob", F.posexplode(F.transform("hits", lambda h, i: F.struct(
+        rows = hits.select("blob", "row", F.posexplode(F.transform("hits", lambda h, i: F.struct(
             F.length(F.get("gaps", i)).cast("long").alias("gap"), F.length(h).cast("long").alias("hit"),
             (F.length(F.get("checked", i)) >= rule.least).alias("ok")))).alias("n", "h"))
-        upto = Window.partitionBy("blob").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+        upto = Window.partitionBy("blob", "row").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
         end = F.sum(F.col("h.gap") + F.col("h.hit")).over(upto)
         found = rows.select("blob", (end - F.col("h.hit")).alias("start"), end.alias("end"), "h.ok").where("ok").select(
             "blob", F.lit(rule.version).alias("rule"), F.lit(rule.kind).alias("kind"), "start", "end")
@@ -90,9 +90,9 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, findings
     wanted = F.array(*[F.lit(r.version) for r in rules])
     missing = first.withColumn("rule", F.explode(wanted)).join(ledger, ["blob", "rule"], "left_anti")
     todo = stored(missing.groupBy("blob", "path").agg(F.sort_array(F.collect_set("rule")).alias("todo")), "todo")
-    # the text is fetched by one path of its blob; a path with several contents is told apart by the blob's name
-    texts = named.select("path", "content").alias("v").join(todo.alias("t"), F.col("v.path").eqNullSafe(F.col("t.path"))).select(
-        "content", "blob", "todo").where(F.sha2("content", 256) == F.col("blob"))
+    # the text is fetched by one path of its blob; rows that repeat both are scanned apart and found once
+    same = (F.col("v.blob") == F.col("t.blob")) & F.col("v.path").eqNullSafe(F.col("t.path"))
+    texts = named.alias("v").join(todo.alias("t"), same).select("content", "t.blob", "todo")
     fresh = None
     for rule in rules:
         found = scan(texts.where(F.array_contains("todo", rule.version)).select("blob", "content"), (rule,))
