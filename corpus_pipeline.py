@@ -13,13 +13,10 @@ from pyspark.sql import functions as F
 from ledgerlens.llm import decontam, langid, neardup, packing, secret_scan
 from ledgerlens.llm.common import stored
 
-#: Below this cosine a text resembles none of the languages.
-LEAST_COSINE = 0.2
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that ``docs`` is labelled with; texts without letters or unlike all of them go."""
-    return langid.accept(docs, langid.learn(docs, F.lit(True)), LEAST_COSINE)
+    return langid.accept(docs, langid.learn(docs, F.lit(True)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

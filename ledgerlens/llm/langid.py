@@ -164,8 +164,15 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
         run, "doc_id long, lang_pred string, score double")
 
 
-def accept(docs: DataFrame, profiles: dict[str, np.ndarray], least: float) -> DataFrame:
-    """Documents whose best cosine reaches ``least``; columns stay as they are. Unknown languages go."""
-    odd = predict(docs, profiles).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select("doc_id").distinct()
-    keep = docs.join(stored(odd, "rejected"), "doc_id", "left_anti")
-    return keep.select(*docs.columns)
+def accept(docs: DataFrame, profiles: dict[str, np.ndarray], least: float = 0.1, letters: int = 50) -> DataFrame:
+    """Documents in one of the languages; columns stay as they are.
+
+    Texts without letters go, and texts of ``letters`` letters or more whose best
+    cosine stays under ``least``, about what chance gives. A shorter text may
+    resemble nothing by chance alone and stays.
+    """
+    named = predict(docs, profiles).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).distinct()
+    count = F.length(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[^\p{L}]", ""))
+    sized = docs.select(F.col("doc_id").cast("long"), count.alias("letters"))
+    odd = named.join(sized, "doc_id").where((F.col("lang_pred") == UNKNOWN) | (F.col("letters") >= letters)).select("doc_id").distinct()
+    return docs.join(stored(odd, "rejected"), "doc_id", "left_anti").select(*docs.columns)
