@@ -51,15 +51,17 @@ def with_blobs(versions: DataFrame) -> DataFrame:
 
 
 def scan(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """Findings in (blob, content) rows, one row each, in code points, end exclusive.
+    """Findings in (blob, content, todo) rows, one row each, in code points, end exclusive.
 
-    A text is split at the matches of a rule; lengths of the pieces and matches,
+    Only rules that ``todo`` lists are applied: the pattern reads a text that is
+    null otherwise, so it can't be moved before the join that knows. A text is split at the matches of a rule; lengths of the pieces and matches,
     added up in order, give the places.
     """
     out = None
     for rule in rules:
         pattern = F.lit(rule.pattern)
-        hits = blobs.where(F.col("content").rlike(rule.pattern)).select(
+        asked = F.when(F.array_contains("todo", rule.version), F.col("content"))
+        hits = blobs.where(asked.rlike(rule.pattern)).select(
             "blob", F.monotonically_increasing_id().alias("row"), F.split("content", rule.pattern, -1).alias("gaps"),
             F.regexp_extract_all("content", pattern, F.lit(0)).alias("hits"),
             F.regexp_extract_all("content", pattern, F.lit(rule.group)).alias("checked"))
@@ -93,10 +95,7 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, findings
     # the text is fetched by one path of its blob; rows that repeat both are scanned apart and found once
     same = (F.col("v.blob") == F.col("t.blob")) & F.col("v.path").eqNullSafe(F.col("t.path"))
     texts = named.alias("v").join(todo.alias("t"), same).select("content", "t.blob", "todo")
-    fresh = None
-    for rule in rules:
-        found = scan(texts.where(F.array_contains("todo", rule.version)).select("blob", "content"), (rule,))
-        fresh = found if fresh is None else fresh.unionByName(found)
+    fresh = scan(texts, rules)
     fresh = stored(fresh.distinct(), "findings")
     scanned = todo.select("blob", F.explode("todo").alias("rule"))
     return paths, ledger.unionByName(scanned), findings.unionByName(fresh)
