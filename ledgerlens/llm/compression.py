@@ -7,6 +7,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.common import stored
+
 LEVEL = 3
 BLOCK_BYTES = 1 << 16
 
@@ -37,12 +39,23 @@ def whole_size(size, data: bytes) -> int:
     return sum(size(data[at:at + BLOCK_BYTES]) for at in range(0, max(1, len(data)), BLOCK_BYTES))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, train: Column) -> DataFrame:
-    """(doc_id, text, label, half) of training rows with label 0 or 1; half tells dictionary rows (0) from calibration rows (1)."""
-    marks = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label")).where("label in (0, 1)")
-    marks = marks.groupBy("doc_id").agg(F.max("label").alias("label"))
-    return docs.where(F.coalesce(train, F.lit(False))).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(
-        marks, "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
+def labelled(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_label: int, calibration: int) -> DataFrame:
+    """(doc_id, text, label, half): a bounded sample of training rows with label 0 or 1, in hash order.
+
+    Half 0 holds at most ``per_label`` documents of each label, for dictionaries;
+    half 1 at most ``calibration`` of both, in their natural share. Rows are picked
+    in the label table, so their bounded list is what meets the documents, and no
+    other text moves.
+    """
+    marks = labels.where(F.coalesce(train, F.lit(False))).select(
+        F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label")).where("label in (0, 1)")
+    marks = marks.groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
+    order = F.xxhash64("doc_id", F.lit(3))
+    parts = [marks.where((F.col("half") == 0) & (F.col("label") == v)).orderBy(order).limit(per_label) for v in (0, 1)]
+    parts.append(marks.where("half = 1").orderBy(order).limit(calibration))
+    picked = parts[0].union(parts[1]).union(parts[2])
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return stored(texts.join(F.broadcast(picked), "doc_id"), "labelled")
 
 
 def chunk_sample(rows: DataFrame, chars: int, per_class: int) -> dict[int, list[str]]:
@@ -68,7 +81,3 @@ def doc_features(rows: DataFrame, compute, names: list[str]) -> DataFrame:
     return rows.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, "doc_id long, " + ", ".join(f"{n} double" for n in names))
 
-
-def label_sample(rows: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` labelled rows, in hash order."""
-    return rows.orderBy(F.xxhash64("doc_id", F.lit(3))).limit(most)

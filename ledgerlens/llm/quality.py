@@ -45,16 +45,16 @@ def _compute(good: bytes, bad: bytes):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, chunk_chars: int = 3000, chunks: int = 3000, calibration_rows: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train: Column, chunk_chars: int = 3000, chunks: int = 3000, documents: int = 2000, calibration_rows: int = 10_000) -> Model:
     """Dictionaries from one half of the labelled training rows, calibration on the other.
 
-    Bounds: ``chunks`` chunks per label and ``calibration_rows`` rows. Without a
+    Bounds: ``documents`` documents and ``chunks`` chunks of them per label, ``calibration_rows`` rows. Without a
     label of both kinds the score is the share of the kind there is, or 0.5.
     """
-    rows = C.labelled(docs, labels, "quality", train)
+    rows = C.labelled(docs, labels, "quality", train, documents, calibration_rows)
     found = C.chunk_sample(rows.where("half = 0"), chunk_chars, chunks)
     good, bad = (C.trained([x.encode() for x in found[v]], DICTIONARY_BYTES) for v in (1, 0))
-    sample = C.label_sample(rows.where("half = 1"), calibration_rows)
+    sample = rows.where("half = 1")
     marks = sample.select("doc_id", "label").distinct()
     data = C.doc_features(sample, _compute(good, bad), NAMES).join(marks, "doc_id").select("label", *NAMES).collect()
     return Model(good, bad, calibrated(data, len(NAMES)))

@@ -137,13 +137,14 @@ def _compute(ordinary: bytes, toxic: bytes, threshold: int):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, chunk_chars: int = 1500, chunks: int = 3000, calibration_rows: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train: Column, chunk_chars: int = 1500, chunks: int = 3000, documents: int = 2000, calibration_rows: int = 10_000) -> Model:
     """Dictionaries from one half of the labelled training rows; threshold and weights from the other.
 
     The threshold is the distance that one in 200 ordinary windows reaches, 3
-    bytes at least. Bounds: ``chunks`` chunks per label, ``calibration_rows`` rows.
+    bytes at least. Bounds: ``documents`` documents and ``chunks`` chunks of them per
+    label, ``calibration_rows`` rows.
     """
-    rows = C.labelled(docs, labels, "toxic", train)
+    rows = C.labelled(docs, labels, "toxic", train, documents, calibration_rows)
     found = C.chunk_sample(rows.where("half = 0"), chunk_chars, chunks)
     toxic, plain = ([x.lower().encode() for x in found[v]] for v in (1, 0))
     ordinary = C.trained([w for c in plain for w in windows(c)], ORDINARY_BYTES)
@@ -153,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, chunk_chars: int = 15
     usual = [distances(x.lower().encode()) for x in other]
     high = float(np.quantile(np.concatenate(usual), 0.995)) if usual else 0.0
     threshold = max(3, math.floor(high) + 1)
-    sample = C.label_sample(rows.where("half = 1"), calibration_rows)
+    sample = rows.where("half = 1")
     marks = sample.select("doc_id", "label").distinct()
     data = C.doc_features(sample, _compute(ordinary, special, threshold), NAMES).join(marks, "doc_id").select("label", *NAMES).collect()
     return Model(ordinary, special, threshold, calibrated(data, len(NAMES)))
