@@ -112,11 +112,49 @@ def scrub_mask_email(t):
     return X.scrub_pii(t.documents, "text", "mask", ["email"]).select("doc_id", F.md5("scrubbed").alias("digest"))
 
 
-@query("t7_scrub_hash")
+def _scrub_sql(replacement: str) -> str:
+    """All six types at once: matches in order of start, longest first, then type; later ones that overlap are left out."""
+    found = " UNION ALL ".join(
+        f"SELECT *, {n} AS rank FROM ({_spans_sql(k, p)})" for n, (k, p) in enumerate(K.PII_PATTERNS.items()))
+    return f"""
+WITH RECURSIVE s AS ({found}),
+o AS (SELECT doc_id, start, "end" AS e, value, pii_type, regexp_replace(value, '[^0-9]', '', 'g') AS digits,
+  row_number() OVER (PARTITION BY doc_id ORDER BY start, "end" DESC, rank) AS n FROM s),
+r AS (
+  SELECT doc_id, 0::BIGINT AS n, 0 AS done, '' AS body FROM documents
+  UNION ALL
+  SELECT q.doc_id, q.n, CASE WHEN q.taken THEN q.e ELSE q.done END,
+    CASE WHEN q.taken THEN q.body || substr(q.text, q.done + 1, q.start - q.done) || {replacement} ELSE q.body END
+  FROM (SELECT o.*, r.done, r.body, d.text, o.start >= r.done AND o.e > o.start AS taken
+        FROM r JOIN o ON o.doc_id = r.doc_id AND o.n = r.n + 1 JOIN documents d ON d.doc_id = r.doc_id) q)
+SELECT d.doc_id, md5(f.body || substr(d.text, f.done + 1)) AS digest
+FROM documents d JOIN (SELECT doc_id, arg_max(done, n) AS done, arg_max(body, n) AS body FROM r GROUP BY 1) f ON f.doc_id = d.doc_id"""
+
+
+MASK_SQL = """CASE
+  WHEN pii_type = 'email' AND len(string_split(value, '@')) = 2 THEN left(value, 1) || '***@' || split_part(value, '@', 2)
+  WHEN pii_type = 'phone' AND length(digits) >= 4 THEN '***-***-' || right(digits, 4)
+  WHEN pii_type = 'ssn' AND length(digits) = 9 THEN '***-**-' || right(digits, 4)
+  WHEN pii_type = 'credit_card' AND length(digits) >= 4 THEN '****-****-****-' || right(digits, 4)
+  WHEN pii_type = 'ip_address' AND len(string_split(value, '.')) = 4 THEN '***.***' || split_part(value, '.', 3) || '.' || split_part(value, '.', 4)
+  WHEN length(value) > 2 THEN left(value, 1) || repeat('*', length(value) - 2) || right(value, 1) ELSE repeat('*', length(value)) END"""
+
+
+@query("t7_scrub_hash", _scrub_sql("'[HASH:' || left(sha256(value), 12) || ']'"))
 def scrub_hash(t):
     return X.scrub_pii(t.documents, "text", "hash").select("doc_id", F.md5("scrubbed").alias("digest"))
 
 
+@query("t7_scrub_mask", _scrub_sql(MASK_SQL))
+def scrub_mask(t):
+    return X.scrub_pii(t.documents, "text", "mask").select("doc_id", F.md5("scrubbed").alias("digest"))
+
+
+@query("t7_scrub_redact_all", _scrub_sql("'[' || upper(pii_type) || '_REDACTED]'"))
+def scrub_redact_all(t):
+    return X.scrub_pii(t.documents, "text").select("doc_id", F.md5("scrubbed").alias("digest"))
+
+
 @query("t7_block", """
 SELECT doc_id, concat_ws(',', """ + ", ".join(
     f"CASE WHEN regexp_matches(text, '(?i){K.PII_PATTERNS[k]}') THEN '{k}' END" for k in K.PII_PATTERNS) + """) AS pii_types
