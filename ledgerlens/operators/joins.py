@@ -157,12 +157,12 @@ def _money(value: str) -> Column:
 
 
 def exact_prices(spark: SparkSession) -> DataFrame:
-    """Per-token prices by exact model name; prices stay decimals of scale 12."""
+    """Per-token prices by exact model name; prices stay decimals of scale 12. The fixed list is small, so it carries a hint."""
     rows = [(m, i, o) for m, (i, o) in K.TOKEN_PRICES.items()]
-    return spark.createDataFrame(rows, "model string, input string, output string").select(
+    return F.broadcast(spark.createDataFrame(rows, "model string, input string, output string").select(
         "model", F.col("input").cast("decimal(12,12)").alias("input_price"),
         F.col("output").cast("decimal(12,12)").alias("output_price"),
-    )
+    ))
 
 
 def fuzzy_prices(spark: SparkSession) -> DataFrame:

@@ -134,9 +134,14 @@ def semantic_topk(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: s
     Blocks of queries meet blocks of vectors; vectors travel once per block of
     queries, and a block pair sends ``k`` rows per query on.
     """
-    left, right = _blocked(
-        queries.select(query_id, embedding, F.lit(0).alias("_all")), vectors.select(vector_id, embedding, F.lit(0).alias("_all")),
-        ["_all"], query_id, vector_id, block_rows)
+    asked, stored = queries.select(query_id, embedding), vectors.select(vector_id, embedding)
+    q_blocks, v_blocks = (max(1, math.ceil(df.count() / block_rows)) for df in (asked, stored))
+
+    def every(blocks: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+    left = asked.withColumn("_qb", _slot(query_id, F.lit(q_blocks))).withColumn("_vb", every(v_blocks))
+    right = stored.withColumn("_vb", _slot(vector_id, F.lit(v_blocks))).withColumn("_qb", every(q_blocks))
     found = _block_best(left, right, ["_qb", "_vb"], query_id, vector_id, embedding, k)
     return first_n(found, [query_id], [F.desc("similarity"), F.col(vector_id)], k, "rank")
 
