@@ -36,22 +36,37 @@ def ignore_case(pattern: str) -> str:
     return f"(?iU){pattern}"
 
 
-def unicode_pattern(pattern: str) -> str:
+def unicode_pattern(pattern: str, bounded: bool = True) -> str:
     r"""A pattern that ignores case and whose \b, \w, \d and \s go by Unicode letters, numbers and white space.
 
     A combining mark or a joiner is no word character, so a boundary lies
     between it and a digit; the engine's own Unicode classes see none there.
+    Without ``bounded`` word boundaries are left out: a cheaper pattern that is
+    found wherever the whole one is.
     """
     word = r"[\p{L}\p{N}_]"
     classes = {
-        "b": f"(?:(?<!{word})(?={word})|(?<={word})(?!{word}))", "w": word, "d": r"\p{Nd}",
+        "b": "" if not bounded else f"(?:(?<!{word})(?={word})|(?<={word})(?!{word}))", "w": word, "d": r"\p{Nd}",
         "s": "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITE_SPACE) + "]",
     }
     return "(?iu)" + re.sub(r"\\(.)", lambda m: classes.get(m[1], m[0]), pattern)
 
 
+def may_match(text: Column, pattern: str) -> Column:
+    """False only for texts without a match; boundaries are not looked at, and a sign every match holds is looked for first."""
+    found = F.rlike(text, F.lit(unicode_pattern(pattern, bounded=False)))
+    outside = re.sub(r"\[[^\]]*\]", "", pattern)  # without character classes
+    if "|" in outside or not re.search(r"@(?![?*{])", outside):
+        return found
+    return F.contains(text, F.lit("@")) & found
+
+
+def matches(text: Column, pattern: str) -> Column:
+    return may_match(text, pattern) & F.rlike(text, F.lit(unicode_pattern(pattern)))
+
+
 def pattern_count(text: Column, pattern: str) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(unicode_pattern(pattern))), F.lit(0))
+    return F.when(may_match(text, pattern), F.regexp_count(text, F.lit(unicode_pattern(pattern)))).otherwise(0)
 
 
 def strip(text: Column) -> Column:

@@ -21,6 +21,7 @@ from ledgerlens.functions.vectors import best_pairs, trim_pairs, unit_rows
 from ledgerlens.operators.ordering import first_n
 
 BLOCK_ROWS = 8_192
+BROADCAST_TERMS = 500_000
 
 
 # --- chunks -----------------------------------------------------------------
@@ -71,10 +72,13 @@ def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int, *, query_id: str
     postings give the chunk frequencies and, joined with the asked terms, the scores.
     """
     asked = queries.select(query_id, F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term"))
+    few = asked.count() <= BROADCAST_TERMS  # of the same join, only the side that is copied depends on it
+    wanted = asked.select("term").distinct()
     bags = chunks.select(chunk_id, terms(F.col(chunk_text)).alias("_terms")).withColumn("_len", F.size("_terms"))
     postings = (
         bags.select(chunk_id, "_len", F.explode("_terms").alias("term"))
-        .join(asked.select("term").distinct(), "term", "left_semi")
+        .join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
+        .repartition(chunk_id)  # a chunk's words stay together, so its sums need no other shuffle
         .groupBy(chunk_id, "_len", "term").agg(F.count(F.lit(1)).alias("tf"))
     )
     whole = bags.agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("mean"))
@@ -83,7 +87,7 @@ def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int, *, query_id: str
     weighted = asked.join(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").select(
         query_id, "term", idf.alias("idf"))
     gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("_len") / mean))
-    found = postings.join(weighted, "term").groupBy(query_id, chunk_id).agg(F.sum(F.col("idf") * gain).alias("score"))
+    found = postings.join(F.broadcast(weighted) if few else weighted, "term").groupBy(query_id, chunk_id).agg(F.sum(F.col("idf") * gain).alias("score"))
     # sums of doubles depend on their order; rounding makes ranks repeatable
     found = found.withColumn("score", F.round("score", 9))
     return first_n(found, [query_id], [F.desc("score"), F.col(chunk_id)], k, "rank")
