@@ -2,7 +2,8 @@
 
 Numbers, names and units become typed placeholders, so that a question with other
 values has the same template. Windows of canonical words are joined by hash; on
-each alignment the values in the placeholders have to map one to one.
+each alignment the values in the placeholders have to map one to one. Windows
+of the words as they are find copies that are mostly numbers and names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from ledgerlens.llm.common import Memo, byte_groups, mix, stored, word_lists
 WIDTH = 8
 #: A leak covers this share of an item's windows, or a run of so many words.
 COVERAGE, RUN = 0.5, 13
-#: Items with fewer words can't be told from chance.
+#: Items with fewer words are looked for with their own values only.
 LEAST_WORDS = 5
 FILTER_BITS = 27
 BROADCAST_ROWS = 200_000
@@ -103,17 +104,26 @@ def canonical(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(kind == PLAIN, code & ~7, kind), kind, words
 
 
-def window_hashes(template: np.ndarray, kind: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every window, and whether at least half of its words, three or more, are no placeholders."""
-    n = len(template) - width + 1
+def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
+    """Hash of every window of word codes."""
+    n = len(values) - width + 1
     if n < 1:
-        return np.empty(0, np.uint64), np.empty(0, bool)
-    out, literal = np.full(n, width, np.uint64), np.zeros(n, np.int64)
-    unsigned, plain = template.astype(np.uint64), (kind == PLAIN).astype(np.int64)
+        return np.empty(0, np.uint64)
+    out, unsigned = np.full(n, width, np.uint64), values.astype(np.uint64)
     for i in range(width):
         out = out * np.uint64(0x9E3779B97F4A7C15) + unsigned[i:i + n]
-        literal += plain[i:i + n]
-    return mix(out), literal >= max(3, (width + 1) // 2)
+    return mix(out)
+
+
+def literals(kind: np.ndarray, width: int) -> np.ndarray:
+    """Words of every window that are no placeholders."""
+    total = np.concatenate([[0], np.cumsum(kind == PLAIN)])
+    return total[width:] - total[:-width]
+
+
+def enough(literal: np.ndarray, width: int) -> np.ndarray:
+    """Whether a window can stand for other values: half of its words, three or more, are literal; a short item's all."""
+    return literal >= (max(3, (width + 1) // 2) if width >= LEAST_WORDS else width)
 
 
 def _rows(text: str, code: np.ndarray, template, kind, words, places: np.ndarray, width: int) -> list[list[str]]:
@@ -129,10 +139,11 @@ WINDOWS = "doc_id long, n_windows long, width int, hash long, place long, slots
 
 
 def template_windows(table: DataFrame, key: str, widths: list[int] | None, wanted=None) -> DataFrame:
-    """Usable windows of whole texts; only those in the ``wanted`` bit filter, if there is one.
+    """Windows of whole texts; only those in the ``wanted`` bit filter, if there is one.
 
     Without ``widths`` a text has windows of WIDTH words or, if it is shorter, of
-    its own length; texts under LEAST_WORDS words have none.
+    its own length. A window has its template, if that has literal words enough,
+    and, if it holds placeholders, the lower-case words themselves, without slots.
     """
     def run(batches):
         memo = new_memo()
@@ -143,21 +154,25 @@ def template_windows(table: DataFrame, key: str, widths: list[int] | None, wante
                 for data in group:
                     code = codes(data, memo)
                     template, kind, words = canonical(code)
-                    own = [min(WIDTH, len(template))] if len(template) >= LEAST_WORDS else []
+                    own = [min(WIDTH, len(template))] if len(template) else []
+                    forms = [(template, kind), (code[words] & ~7, np.full(len(kind), PLAIN))]
                     for width in own if widths is None else widths:
-                        hashes, good = window_hashes(template, kind, width)
-                        if wanted is not None:
-                            place = (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                            good &= (wanted.value[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
-                        places = np.flatnonzero(good)
-                        if not len(places):
+                        if len(template) < width:
                             continue
-                        out[0].extend([keys[at]] * len(places))
-                        out[1].extend([len(hashes)] * len(places))
-                        out[2].extend([width] * len(places))
-                        out[3].extend(hashes[places].view(np.int64).tolist())
-                        out[4].extend(places.tolist())
-                        out[5].extend(_rows(data.decode(), code, template, kind, words, places, width))
+                        literal = literals(kind, width)
+                        for (values, kinds), good in zip(forms, (enough(literal, width), literal < width), strict=True):
+                            hashes, places = window_hashes(values, width), np.flatnonzero(good)
+                            if wanted is not None:
+                                bit = (hashes[places] >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                                places = places[(wanted.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)]
+                            if not len(places):
+                                continue
+                            out[0].extend([keys[at]] * len(places))
+                            out[1].extend([len(hashes)] * len(places))
+                            out[2].extend([width] * len(places))
+                            out[3].extend(hashes[places].view(np.int64).tolist())
+                            out[4].extend(places.tolist())
+                            out[5].extend(_rows(data.decode(), code, values, kinds, words, places, width))
                     at += 1
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()))
                 names = ["doc_id", "n_windows", "width", "hash", "place", "slots"]
@@ -183,9 +198,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run
     Per alignment of a text with an item, matching windows count if their numbers,
     names and units map one to one; ``changed`` tells that some value differs. A
     leak covers ``coverage`` of the item's windows or a run of ``run`` words.
-    Items that share a text are reported each; an item under LEAST_WORDS words,
-    one made of placeholders, null and empty texts match nothing; repeated rows
-    count once; an item with a null id is out; extra columns are ignored.
+    Windows with too few literal words and items under LEAST_WORDS words count
+    with their own values only, in any case; so every window of an item is usable.
+    Items that share a text are reported each; null and empty texts and items
+    without words match nothing; repeated rows count once; an item with a null id is out; extra columns are ignored.
     """
     spark = docs.sparkSession
     items = stored(template_windows(benchmark.where("item_id is not null and text is not null"), "item_id", None), "items").select(

@@ -66,3 +66,18 @@ def test_odd_rows(spark, docs_of, odd_rows):
     assert kept.count() == len(rows) - 2  # a row without an id can't be told from others and stays
     assert decontam.leaks(docs_of([]), items).count() == 0
     assert decontam.leaks(docs, bench(spark, [])).count() == 0
+
+
+def found(spark, docs_of, texts, items, **more):
+    """{(document, item): row} of texts and items numbered from 0."""
+    out = decontam.leaks(docs_of(list(enumerate(texts))), bench(spark, list(enumerate(items))), **more).collect()
+    assert all(0 < r["coverage"] <= 1 for r in out)
+    return {(r["doc_id"], r["item_id"]): r for r in out}
+
+
+def test_items_rich_in_values_and_short_items(spark, docs_of):
+    items = ["Compute 12 + 7 - 3 * 9 / 4 + 6 and give result", "list Ada Lovelace 1815, Alan Turing 1912, Grace Hopper 1906, Edsger Dijkstra 1930", "name Three primes"]
+    noise = prose(random.Random(3), 40)
+    other = [items[0].replace("7", "8").replace("9", "5"), items[1].replace("1", "2"), "name Four primes"]
+    got = found(spark, docs_of, [f"{noise} {i} {noise}" for i in items + other], items)
+    assert set(got) == {(0, 0), (1, 1), (2, 2)} and all(r["coverage"] == 1 and not r["changed"] for r in got.values())
