@@ -135,7 +135,7 @@ def _rows(text: str, code: np.ndarray, template, kind, words, places: np.ndarray
     return [[f"{names[kind[i]]}{values[words[i]]}" for i in range(p, p + width) if kind[i] != PLAIN] for p in places]
 
 
-WINDOWS = "doc_id long, n_windows long, width int, hash long, place long, slots array<string>"
+WINDOWS = "doc_id long, n_windows long, width int, hash long, place long, slots array<string>, fixed boolean"
 
 
 def template_windows(table: DataFrame, key: str, widths: list[int] | None, wanted=None) -> DataFrame:
@@ -144,24 +144,33 @@ def template_windows(table: DataFrame, key: str, widths: list[int] | None, wante
     Without ``widths`` a text has windows of WIDTH words or, if it is shorter, of
     its own length. A window has its template, if that has literal words enough,
     and, if it holds placeholders, the lower-case words themselves, without slots.
+
+    Without ``widths``, as for items, there are two more readings: names as plain
+    words, for texts in one case, and the first word as a name, for copies that a
+    heading precedes; then it is ``fixed``, which asks for the same value.
     """
     def run(batches):
         memo = new_memo()
         for batch in batches:
             keys, at = batch.column("doc_id").to_pylist(), 0
             for group in byte_groups(batch.column("text")):
-                out = ([], [], [], [], [], [])
+                out = ([], [], [], [], [], [], [])
                 for data in group:
                     code = codes(data, memo)
                     template, kind, words = canonical(code)
                     own = [min(WIDTH, len(template))] if len(template) else []
-                    forms = [(template, kind), (code[words] & ~7, np.full(len(kind), PLAIN))]
+                    plain = code[words] & ~7
+                    forms = [(template, kind, False), (plain, np.full(len(kind), PLAIN), False)]
+                    if widths is None:
+                        forms.append((np.where(kind == TITLE, plain, template), np.where(kind == TITLE, PLAIN, kind), False))
+                        if len(kind) and kind[0] == PLAIN:
+                            forms.append((np.append(TITLE, template[1:]), np.append(TITLE, kind[1:]), True))
                     for width in own if widths is None else widths:
                         if len(template) < width:
                             continue
-                        literal = literals(kind, width)
-                        for (values, kinds), good in zip(forms, (enough(literal, width), literal < width), strict=True):
-                            hashes, places = window_hashes(values, width), np.flatnonzero(good)
+                        for nth, (values, kinds, fixed) in enumerate(forms):
+                            good = literals(kind, width) < width if nth == 1 else enough(literals(kinds, width), width)
+                            hashes, places = window_hashes(values, width), np.flatnonzero(good[:1] if fixed else good)
                             if wanted is not None:
                                 bit = (hashes[places] >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
                                 places = places[(wanted.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)]
@@ -173,9 +182,10 @@ def template_windows(table: DataFrame, key: str, widths: list[int] | None, wante
                             out[3].extend(hashes[places].view(np.int64).tolist())
                             out[4].extend(places.tolist())
                             out[5].extend(_rows(data.decode(), code, values, kinds, words, places, width))
+                            out[6].extend([fixed] * len(places))
                     at += 1
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()))
-                names = ["doc_id", "n_windows", "width", "hash", "place", "slots"]
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.bool_())
+                names = ["doc_id", "n_windows", "width", "hash", "place", "slots", "fixed"]
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names)
 
     return table.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, WINDOWS)
@@ -198,7 +208,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run
     Per alignment of a text with an item, matching windows count if their numbers,
     names and units map one to one; ``changed`` tells that some value differs. A
     leak covers ``coverage`` of the item's windows or a run of ``run`` words.
-    Windows with too few literal words and items under LEAST_WORDS words count
+    The case of a copy and what stands before it make no difference to windows
+    with the item's own values. Windows with too few literal words and items under LEAST_WORDS words count
     with their own values only, in any case; so every window of an item is usable.
     Items that share a text are reported each; null and empty texts and items
     without words match nothing; repeated rows count once; an item with a null id is out; extra columns are ignored.
@@ -206,12 +217,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run
     spark = docs.sparkSession
     items = stored(template_windows(benchmark.where("item_id is not null and text is not null"), "item_id", None), "items").select(
         F.col("doc_id").alias("item_id"), F.col("n_windows").alias("item_windows"), "width", "hash", F.col("place").alias("item_place"),
-        F.col("slots").alias("item_slots"))
+        F.col("slots").alias("item_slots"), "fixed").distinct()
     widths = sorted(r[0] for r in items.select("width").distinct().collect())  # at most WIDTH values
     wanted = spark.sparkContext.broadcast(_filter(items))
     hits = template_windows(docs, "doc_id", widths, wanted).select("doc_id", "width", "hash", "place", "slots").distinct()
     few = items.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    both = hits.join(F.broadcast(items) if few else items, ["width", "hash"])
+    both = hits.join(F.broadcast(items) if few else items, ["width", "hash"]).where(
+        ~F.col("fixed") | (F.get("item_slots", F.lit(0)) == F.get("slots", F.lit(0))))
     pairs = F.arrays_zip("item_slots", "slots")
     lined = both.groupBy("doc_id", "item_id", "item_windows", (F.col("place") - F.col("item_place")).alias("shift")).agg(
         F.count("*").alias("windows"), F.min("place").alias("first_word"), F.max(F.col("place") + F.col("width") - 1).alias("last_word"),

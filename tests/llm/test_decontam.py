@@ -81,3 +81,14 @@ def test_items_rich_in_values_and_short_items(spark, docs_of):
     other = [items[0].replace("7", "8").replace("9", "5"), items[1].replace("1", "2"), "name Four primes"]
     got = found(spark, docs_of, [f"{noise} {i} {noise}" for i in items + other], items)
     assert set(got) == {(0, 0), (1, 1), (2, 2)} and all(r["coverage"] == 1 and not r["changed"] for r in got.values())
+
+
+def test_copies_after_headings_and_in_one_case(spark, docs_of):
+    items = ["What is the capital of France", "What do Anna Berg and Otto Lind pay for 3 kg of ripe red plums in Bonn"]
+    texts = [f"{before}{change(item)} {prose(random.Random(4), 30)}"
+             for item in items for before in ("Q: ", "a heading\n", "Done. ") for change in (str, str.lower, str.upper)]
+    got = found(spark, docs_of, texts, items)
+    assert set(got) == {(d, d // 9) for d in range(18)} and all(r["coverage"] == 1 and not r["changed"] for r in got.values())
+    other = ["Q: What is the capital of Sweden", "Q: what do anna berg and otto lind pay for 5 kg of ripe red plums in bonn", "Q: Oslo is the capital of Norway"]
+    got = found(spark, docs_of, other, items)
+    assert set(got) == {(0, 0), (1, 1)} and all(r["changed"] for r in got.values())
