@@ -202,12 +202,51 @@ def _filter(windows: DataFrame) -> np.ndarray:
     return bits
 
 
+ALIGNED = ("doc_id long, item_id long, item_windows long, places array<long>, longest long, "
+           "first_word long, last_word long, changed boolean")
+
+
+def consistent(hits: list[dict]) -> list[dict]:
+    """All windows of an alignment if their values map one to one, else none."""
+    pairs = {p for h in hits for p in zip(h["item_slots"], h["slots"], strict=True)}
+    return hits if len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs) else []
+
+
+def aligned(hits: list[dict], shift: int) -> tuple | None:
+    """(item windows, words of the longest run of windows, first word, last word, changed) of one alignment, if any window counts."""
+    kept = consistent(hits)
+    if not kept:
+        return None
+    places, width, longest, begin = sorted({h["item_place"] for h in kept}), kept[0]["width"], 0, None
+    for before, place in zip([None, *places], places):
+        begin = place if before is None or place > before + 1 else begin
+        longest = max(longest, place - begin + width)
+    same = {h["item_place"] for h in kept if h["item_slots"] == h["slots"]}
+    return places, longest, places[0] + shift, places[-1] + width - 1 + shift, len(same) < len(places)
+
+
+def _alignments(batches):
+    """One row per (document, item, alignment) that has consistent windows."""
+    types = (*[pa.int64()] * 3, pa.list_(pa.int64()), *[pa.int64()] * 3, pa.bool_())
+    names = [x.split()[0] for x in ALIGNED.split(", ")]
+    for batch in batches:
+        rows = []
+        for at in range(0, batch.num_rows, 256):
+            for r in batch.slice(at, 256).to_pylist():
+                line = aligned(r["hits"], r["shift"])
+                if line:
+                    rows.append((r["doc_id"], r["item_id"], r["item_windows"], *line))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run: int = RUN) -> DataFrame:
     """(doc_id, item_id, windows, item_windows, coverage, first_word, last_word, changed): documents that hold an item.
 
     Per alignment of a text with an item, matching windows count if their numbers,
     names and units map one to one; ``changed`` tells that some value differs. A
-    leak covers ``coverage`` of the item's windows or a run of ``run`` words.
+    leak covers ``coverage`` of the item's windows, each counted once, or holds a
+    run of ``run`` words in consecutive windows.
     The case of a copy and what stands before it make no difference to windows
     with the item's own values. Windows with too few literal words and items under LEAST_WORDS words count
     with their own values only, in any case; so every window of an item is usable.
@@ -224,15 +263,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run
     few = items.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     both = hits.join(F.broadcast(items) if few else items, ["width", "hash"]).where(
         ~F.col("fixed") | (F.get("item_slots", F.lit(0)) == F.get("slots", F.lit(0))))
-    pairs = F.arrays_zip("item_slots", "slots")
     lined = both.groupBy("doc_id", "item_id", "item_windows", (F.col("place") - F.col("item_place")).alias("shift")).agg(
-        F.count("*").alias("windows"), F.min("place").alias("first_word"), F.max(F.col("place") + F.col("width") - 1).alias("last_word"),
-        F.max("width").alias("width"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    one_to_one = (F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"]))) == F.size("pairs")) & (
-        F.size(F.array_distinct(F.transform("pairs", lambda p: p["slots"]))) == F.size("pairs"))
-    lined = lined.where(one_to_one).withColumn("changed", F.exists("pairs", lambda p: p["item_slots"] != p["slots"]))
+        F.collect_list(F.struct("item_place", "width", "item_slots", "slots")).alias("hits")).mapInArrow(_alignments, ALIGNED)
     found = lined.groupBy("doc_id", "item_id", "item_windows").agg(
-        F.least(F.sum("windows"), F.col("item_windows")).alias("windows"), F.max(F.col("windows") + F.col("width") - 1).alias("longest"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("windows"), F.max("longest").alias("longest"),
         F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.bool_or("changed").alias("changed"))
     return found.where((F.col("windows") >= coverage * F.col("item_windows")) | (F.col("longest") >= run)).select(
         "doc_id", "item_id", "windows", "item_windows", (F.col("windows") / F.col("item_windows")).alias("coverage"),

@@ -92,3 +92,16 @@ def test_copies_after_headings_and_in_one_case(spark, docs_of):
     other = ["Q: What is the capital of Sweden", "Q: what do anna berg and otto lind pay for 5 kg of ripe red plums in bonn", "Q: Oslo is the capital of Norway"]
     got = found(spark, docs_of, other, items)
     assert set(got) == {(0, 0), (1, 1)} and all(r["changed"] for r in got.values())
+
+
+def test_repeated_and_scattered_windows(spark, docs_of):
+    rng = random.Random(6)
+    item = " ".join(f"w{chr(97 + i)}x" for i in range(12))
+    long = " ".join(f"v{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(160))
+    phrase, words = " ".join(item.split()[2:10]), long.split()
+    spread = list(words)
+    for i in range(0, 160, 9):
+        spread[i] = "other"
+    texts = [f"{prose(rng, 9)} {phrase} " * 6, f"{item} {prose(rng, 9)} {item}", " ".join(spread), " ".join(words[20:34])]
+    got = found(spark, docs_of, texts, [item, long])
+    assert {k: r["windows"] for k, r in got.items()} == {(1, 0): 5, (3, 1): 7}
