@@ -9,6 +9,7 @@ of the words as they are find copies that are mostly numbers and names.
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from itertools import chain
 
 import numpy as np
@@ -127,12 +128,12 @@ def enough(literal: np.ndarray, width: int) -> np.ndarray:
 
 
 def _rows(text: str, code: np.ndarray, template, kind, words, places: np.ndarray, width: int) -> list[list[str]]:
-    """Values in the placeholders of the given windows, as type and value."""
+    """Values in the placeholders of the given windows, as place in the window, type and value."""
     if not (kind != PLAIN).any():
         return [[] for _ in places]
     values = [p.lower() for _, p in parts_of(text)]
     names = "-NTU"
-    return [[f"{names[kind[i]]}{values[words[i]]}" for i in range(p, p + width) if kind[i] != PLAIN] for p in places]
+    return [[f"{i - p}:{names[kind[i]]}{values[words[i]]}" for i in range(p, p + width) if kind[i] != PLAIN] for p in places]
 
 
 WINDOWS = "doc_id long, n_windows long, width int, hash long, place long, slots array<string>, fixed boolean"
@@ -207,9 +208,25 @@ ALIGNED = ("doc_id long, item_id long, item_windows long, places array<long>, lo
 
 
 def consistent(hits: list[dict]) -> list[dict]:
-    """All windows of an alignment if their values map one to one, else none."""
-    pairs = {p for h in hits for p in zip(h["item_slots"], h["slots"], strict=True)}
-    return hits if len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs) else []
+    """Windows of an alignment whose values agree with its one-to-one mapping, or equal the item's.
+
+    A value maps to the one it meets at most places, with ties to itself; values
+    with another tie map to none. Windows without placeholders always stay.
+    """
+    votes = Counter((a, b) for _, a, b in {
+        (h["item_place"] + int(x.split(":", 1)[0]), x.split(":", 1)[1], y.split(":", 1)[1])
+        for h in hits for x, y in zip(h["item_slots"], h["slots"], strict=True)})
+    weight = {(a, b): 2 * n + (a == b) for (a, b), n in votes.items()}
+    best = [defaultdict(int), defaultdict(int)]
+    tied = Counter()
+    for pair, w in weight.items():
+        for side in (0, 1):
+            best[side][pair[side]] = max(best[side][pair[side]], w)
+    for pair, w in weight.items():
+        tied.update((side, pair[side]) for side in (0, 1) if w == best[side][pair[side]])
+    agreed = {p for p, w in weight.items() if all(w == best[side][p[side]] and tied[side, p[side]] == 1 for side in (0, 1))}
+    return [h for h in hits if h["item_slots"] == h["slots"] or all(
+        (x.split(":", 1)[1], y.split(":", 1)[1]) in agreed for x, y in zip(h["item_slots"], h["slots"], strict=True))]
 
 
 def aligned(hits: list[dict], shift: int) -> tuple | None:
@@ -243,8 +260,9 @@ def _alignments(batches):
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run: int = RUN) -> DataFrame:
     """(doc_id, item_id, windows, item_windows, coverage, first_word, last_word, changed): documents that hold an item.
 
-    Per alignment of a text with an item, matching windows count if their numbers,
-    names and units map one to one; ``changed`` tells that some value differs. A
+    Per alignment of a text with an item, matching windows count unless their
+    numbers, names and units contradict the alignment's one-to-one mapping (see
+    :func:`consistent`); ``changed`` tells that some value differs. A
     leak covers ``coverage`` of the item's windows, each counted once, or holds a
     run of ``run`` words in consecutive windows.
     The case of a copy and what stands before it make no difference to windows

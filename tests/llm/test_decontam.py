@@ -105,3 +105,14 @@ def test_repeated_and_scattered_windows(spark, docs_of):
     texts = [f"{prose(rng, 9)} {phrase} " * 6, f"{item} {prose(rng, 9)} {item}", " ".join(spread), " ".join(words[20:34])]
     got = found(spark, docs_of, texts, [item, long])
     assert {k: r["windows"] for k, r in got.items()} == {(1, 0): 5, (3, 1): 7}
+
+
+def test_one_contradiction_loses_only_its_windows(spark, docs_of):
+    rng = random.Random(9)
+    body = [prose(rng, 30), "then 60 boats left", prose(rng, 30), "and 60 boats came", prose(rng, 30)]
+    item = " ".join(body)
+    texts = [" ".join([*body[:3], "and 90 boats came", body[4]]), " ".join([body[0], "then 70 boats left", body[2], "and 90 boats came", body[4]])]
+    got = found(spark, docs_of, texts, [item])
+    assert set(got) == {(0, 0), (1, 0)}
+    n = got[0, 0]["item_windows"]
+    assert got[0, 0]["windows"] == n - 8 and got[1, 0]["windows"] == n - 16
