@@ -1,6 +1,6 @@
 """License scans: winnowed template fingerprints pick candidates, banded alignment reports them.
 
-Templates are few and fixed, so their inverted index goes to every task; a text is
+Templates are few, so their inverted index goes to every task; a text is
 read once, whole, and nothing is shuffled.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from ledgerlens.llm.common import Memo, byte_groups, mix, word_lists
 
 #: Notices as their licences recommend them.
 TEMPLATES = {
+    "agpl-3.0-short": "This work is licensed under the GNU Affero General Public License, version 3.",
     "all-rights-reserved": "All rights reserved.",
     "apache-2.0-short": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-notice": (
@@ -30,11 +32,20 @@ TEMPLATES = {
         "that the following conditions are met:"),
     "cc-by-4.0": "Licensed under CC BY 4.0.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
+    "cc-by-nc-nd-4.0": "Licensed under CC BY-NC-ND 4.0.",
+    "cc-by-nc-sa-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nd-4.0": "Licensed under CC BY-ND 4.0.",
+    "cc-by-sa-4.0-short": "Licensed under CC BY-SA 4.0.",
     "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "epl-2.0-notice": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    "gpl-2.0-short": "This work is licensed under the GNU General Public License, version 2.",
     "gpl-3.0-short": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-notice": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
         "Public License as published by the Free Software Foundation"),
+    "lgpl-2.1-short": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "lgpl-3.0-short": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "mit-permission": (
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated '
         'documentation files (the "Software"), to deal in the Software without restriction'),
@@ -43,12 +54,21 @@ TEMPLATES = {
 }
 
 GRAM, WINDOW = 3, 4
+#: Templates of fewer words keep every gram: what edits leave of them can be shorter than winnowing needs.
+EVERY_GRAM = 100
+#: From so many words on, diagonals are aligned in tiles as wide as the band.
+LONG = 200
 LEAST = 0.8
 WORD = re.compile(r"[0-9A-Za-z]+")
 RESULT = ("doc_id long, license string, coverage double, matched_words int, template_words int, "
           "start long, end long, first_word long, last_word long")
 
 
+def bodies() -> dict[str, str]:
+    """Whole license texts that come with the package, as ``<file name>-text``; read by the driver only."""
+    return {f"{p.name.lower()}-text": p.read_text() for p in sorted(Path(__file__).with_name("license_texts").iterdir())}
+
+
 def words_of(text: str) -> list[str]:
     return [w.lower() for w in WORD.findall(text)]
 
@@ -91,10 +111,9 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> tupl
         e = np.where(same, at, skip_e)
         worse = same & (skip_s > s)
         s, b, e = np.where(worse, skip_s, s), np.where(worse, skip_b, b), np.where(worse, skip_e, e)
-        for d in range(1, width):  # skipped text words
-            if s[d - 1] > s[d]:
-                s[d], b[d], e[d] = s[d - 1], b[d - 1], e[d - 1]
-        score, start, end = s, b, e
+        most = np.maximum.accumulate(s)  # skipped text words: the last cell that no earlier one beats
+        from_cell = np.maximum.accumulate(np.where(s == most, np.arange(width), 0))
+        score, start, end = s[from_cell], b[from_cell], e[from_cell]
     best = max(range(width), key=lambda d: (score[d], start[d] - end[d]))
     return int(score[best]), int(start[best]), int(end[best])
 
@@ -102,16 +121,18 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> tupl
 class Index:
     """Word numbers and fingerprints of the templates."""
 
-    def __init__(self, templates: dict[str, str]):
-        self.names = sorted(templates)
-        lists = [words_of(templates[n]) for n in self.names]
+    def __init__(self, templates: list[tuple[str, str]]):
+        kept = sorted((n, words) for n, words in ((n, words_of(t)) for n, t in templates) if len(words) >= GRAM)
+        self.names = [n for n, _ in kept]
+        lists = [words for _, words in kept]
         self.vocabulary = {w: i + 1 for i, w in enumerate(sorted(set(chain.from_iterable(lists))))}
         self.words = [np.array([self.vocabulary[w] for w in words]) for words in lists]
         posts = defaultdict(list)
         for t, ids in enumerate(self.words):
             hashes = gram_hashes(ids)
-            for at in winnow(hashes):
+            for at in range(len(hashes)) if len(ids) < EVERY_GRAM else winnow(hashes):
                 posts[int(hashes[at])].append((t, at))
+        self.counts = [np.bincount(ids, minlength=len(self.vocabulary) + 1) for ids in self.words]
         self.posts = dict(posts)
         self.hashes = np.array(sorted(self.posts), np.uint64)
 
@@ -136,30 +157,49 @@ class Index:
         found = []
         for t, shifts in sorted(hits.items()):
             template = self.words[t]
-            band, free = max(2, len(template) // 8), -1
+            if len(ids) < least * len(template):
+                continue
+            band, free = max(2, len(template) // 8), -len(template)  # a text may begin inside a template
+            tile = band if len(template) >= LONG else 0
+            skip = None
             for shift in sorted(set(shifts)):
-                if shift < free:
+                if shift < free or (skip is not None and shift <= skip):
                     continue
-                low = max(0, shift - band)
-                part = ids[low:max(low, shift + len(template) + band)]
-                matched, first, last = align(template, part, shift - low, band)
+                wide = band + tile
+                low = max(0, shift - wide)
+                part = ids[low:max(low, shift + len(template) + wide)]
+                # words in common, in any order, bound the words in order
+                if np.minimum(np.bincount(part, minlength=len(self.counts[t])), self.counts[t])[1:].sum() < least * len(template):
+                    continue
+                matched, first, last = align(template, part, shift - low, wide)
+                skip = shift + tile if tile else None
                 if matched >= least * len(template):
                     found.append((t, matched, low + first, low + last))
                     free = low + last
         return found
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None, least: float = LEAST) -> DataFrame:
     """One row per place of a document where ``least`` of a template's words stand in order.
 
     (doc_id, license, coverage, matched_words, template_words, start, end,
     first_word, last_word): start and end are code points of the text, end
     exclusive; words are runs of ASCII letters and digits, in any case. Of
     templates that overlap, only those are reported that no other one with more
-    matched words contains. Null and empty texts have no rows; repeated rows are
+    matched words, or as many and a greater share, contains. ``templates`` are
+    texts by name or a table (license, text), where a license may have variants;
+    otherwise TEMPLATES and :func:`bodies`. They go to every task, so they are
+    collected. Null texts and those under GRAM words are no templates. Null and empty texts have no rows; repeated rows are
     scanned each; other columns are ignored.
     """
-    index = Index(templates or TEMPLATES)
+    if isinstance(templates, DataFrame):
+        pairs = [tuple(r) for r in templates.select("license", "text").where("license is not null and text is not null").distinct().collect()]
+    else:
+        pairs = list((TEMPLATES | bodies() if templates is None else templates).items())
+    index = Index(pairs)
+
+    def strength(f):
+        return f[1], f[1] / len(index.words[f[0]]), -f[0]
 
     def run(batches):
         memo = Memo(index.numbers)
@@ -172,7 +212,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
                     found = index.scan(np.concatenate(parts), least)
                     found = [
                         f for f in found if not any(
-                            g[2] <= f[2] and f[3] <= g[3] and (g[1], -g[0]) > (f[1], -f[0]) for g in found)]
+                            g[2] <= f[2] and f[3] <= g[3] and strength(g) > strength(f) for g in found)]
                     spans = [m.span() for m in WORD.finditer(data.decode())] if found else []
                     for t, matched, first, last in found:
                         total = len(index.words[t])

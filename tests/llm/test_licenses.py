@@ -56,3 +56,20 @@ def test_odd_rows(docs_of, odd_rows):
     long = "word " * 100_000 + "All rights reserved."
     out = licenses.scan_licenses(docs_of([(None, long), (None, long)])).collect()
     assert [(r["doc_id"], r["start"], r["end"]) for r in out] == [(None, 500_000, 500_019)] * 2
+
+
+def test_whole_texts_relatives_and_a_callers_table(spark, docs_of):
+    whole = licenses.bodies()
+    rows = [(i, f"foo bar {text} foo bar") for i, (_, text) in enumerate(sorted(whole.items()))]
+    rows.append((50, " ".join(whole["mit-text"].split()[25:])))
+    rows += [(100, "This work is licensed under the GNU Lesser General Public License, version 3"), (101, "Licensed under CC BY-SA 4.0"),
+             (102, "This work is licensed under the GNU General Public License, version 3"), (103, "Licensed under the CC BY 4.0")]
+    got = {}
+    for r in licenses.scan_licenses(docs_of(rows)).collect():
+        got.setdefault(r["doc_id"], set()).add(r["license"])
+    assert all(name in got[i] for i, name in enumerate(sorted(whole)))
+    assert got[50] == {"mit-text"}
+    assert [got[i] for i in range(100, 104)] == [{"lgpl-3.0-short"}, {"cc-by-sa-4.0-short"}, {"gpl-3.0-short"}, {"cc-by-4.0"}]
+    table = spark.createDataFrame([("own", "use it as you like on Sundays"), ("own", "free for any use by anyone"), ("x", None)], "license string, text string")
+    out = licenses.scan_licenses(docs_of([(1, "so use it as you like on sundays"), (2, "it is free for any use by anyone"), (3, "foo")]), table).collect()
+    assert sorted((r["doc_id"], r["license"]) for r in out) == [(1, "own"), (2, "own")]
