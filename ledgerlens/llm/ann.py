@@ -89,14 +89,18 @@ def descend(tree: Tree, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_bins(tree: Tree, query: np.ndarray, visits: int) -> list[int]:
-    """The first ``visits`` leaves: always the open node whose centre has the largest inner product."""
+def best_bins(tree: Tree, query: np.ndarray, visits: int, held: np.ndarray | None = None, need: int = 0) -> list[int]:
+    """The first ``visits`` leaves: always the open node whose centre has the largest inner product.
+
+    With ``held``, the rows of each leaf, it goes on until the leaves have ``need`` rows together.
+    """
     products = tree.centres @ query
-    heap, out = [(-products[0], 0)], []
-    while heap and len(out) < visits:
+    heap, out, rows = [(-products[0], 0)], [], 0
+    while heap and (len(out) < visits or (held is not None and rows < need)):
         _, node = heapq.heappop(heap)
         if tree.leaf[node] >= 0:
             out.append(int(tree.leaf[node]))
+            rows += 0 if held is None else held[tree.leaf[node]]
         for kid in tree.children[node]:
             heapq.heappush(heap, (-products[kid], kid))
     return out
@@ -200,7 +204,8 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.
     candidate. Vectors that are null, zero, hold null or non-finite components or
     have another length than most take no part. Rows that share an id are
     candidates of their own; of queries that share an id the greatest vector
-    counts. Empty tables give no rows. Bounds: the tree is fitted on
+    counts. A query gets k rows, or all candidates if there are fewer: it opens
+    leaves beyond the calibrated number until they hold enough. Empty tables give no rows. Bounds: the tree is fitted on
     ``sample_rows`` rows or SAMPLE_VALUES values, recall on CALIBRATION queries.
     """
     rows = usable(table)
@@ -214,13 +219,20 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.
     asked = usable(queries).groupBy("vec_id").agg(F.max("v").alias("v"))
     asked = stored(asked.join(rows.limit(1).select(F.size("v").alias("n")), F.size("v") == F.col("n")).drop("n"), "queries")
     visits = calibrate(rows, asked, tree, k, recall)
-    held = rows.sparkSession.sparkContext.broadcast(tree)
+    sizes = np.zeros(tree.leaves, np.int64)
+    for r in rows.groupBy("leaf").count().collect():  # at most as many leaves as sample rows
+        sizes[r[0]] = r[1]
+    held = rows.sparkSession.sparkContext.broadcast((tree, sizes))
 
     @F.pandas_udf("array<int>")
-    def opened(v: pd.Series) -> pd.Series:
-        return pd.Series([best_bins(held.value, np.asarray(x), visits) for x in v])
-
-    routed = stored(asked.select("vec_id", "v", F.explode(opened("v")).alias("leaf")), "routes")
+    def opened(v: pd.Series, own: pd.Series) -> pd.Series:
+        tree, sizes = held.value
+        return pd.Series([best_bins(tree, np.asarray(x), visits, sizes, k + n) for x, n in zip(v, own, strict=True)])
+
+    # rows with a query's own id are no candidates, so as many more are opened
+    own = rows.join(asked.select("vec_id"), "vec_id").groupBy("vec_id").agg(F.count("*").alias("own"))
+    routed = asked.join(own, "vec_id", "left").select("vec_id", "v", F.explode(opened("v", F.coalesce("own", F.lit(0)))).alias("leaf"))
+    routed = stored(routed, "routes")
     # both sides of a leaf are cut by hash, so that a cell stays small; there are at most as many leaves as sample rows
     splits = rows.groupBy("leaf").agg(F.ceil(F.count("*") / CELL).cast("int").alias("nv")).join(
         routed.groupBy("leaf").agg(F.ceil(F.count("*") / CELL).cast("int").alias("nq")), "leaf")

@@ -55,3 +55,15 @@ def test_recall(spark, sf):
     assert len(got & want) >= 0.9 * len(want)
     vectors = dict(rows)
     assert all(abs(r["score"] - vectors[r["query_id"]] @ vectors[r["vec_id"]]) < 1e-12 for r in out)
+
+
+def test_outlying_queries_get_k_rows(spark):
+    rng = np.random.default_rng(4)
+    crowd = np.append(np.full(7, 1.0), 0.0)
+    rows = [(i, (crowd + rng.normal(size=8) * 0.01).tolist()) for i in range(900)]
+    rows += [(1000 + i, (-10 * np.eye(8)[i % 4] + rng.normal(size=8) * 0.01).tolist()) for i in range(12)]
+    rows += [(1000, rows[900][1])] * 3  # rows with a query's own id are no candidates
+    table = frame(spark, rows)
+    out = ann.search(table, table.where("vec_id < 400 or vec_id >= 1000"), k=20, recall=0.5)
+    counts = {r["query_id"]: r["count"] for r in out.groupBy("query_id").count().collect()}
+    assert set(counts) == {i for i, _ in rows if i < 400 or i >= 1000} and set(counts.values()) == {20}
