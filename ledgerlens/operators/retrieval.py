@@ -215,6 +215,18 @@ def ivf_topk(queries: DataFrame, index: DataFrame, centres: np.ndarray, k: int,
     return first_n(found, [query_id], [F.desc("similarity"), F.col(vector_id)], k, "rank")
 
 
+def ivf_probes(queries: DataFrame, index: DataFrame, centres: np.ndarray, k: int, recall: float, *, sample: int = 128,
+               query_id: str = "query_id", vector_id: str = "vec_id", embedding: str = "embedding") -> int:
+    """Fewest cells with which ``sample`` queries find ``recall`` of their exact ``k`` nearest vectors."""
+    some = queries.select(query_id, embedding).orderBy(F.xxhash64(query_id, F.lit(5)), query_id).limit(sample).cache()
+    turns = assign_cells(some, centres, max(2, len(centres)), embedding, "_cells").select(query_id, "_cells")
+    exact = semantic_topk(some, index.select(vector_id, embedding), k, query_id=query_id, vector_id=vector_id).select(query_id, vector_id)
+    turn = F.array_position("_cells", F.col("cell")).alias("turn")
+    needed = [r[0] for r in exact.join(index.select(vector_id, "cell"), vector_id).join(turns, query_id).select(turn).collect()]
+    some.unpersist()
+    return int(np.sort(needed)[int(np.ceil(recall * len(needed))) - 1]) if needed else len(centres)
+
+
 def _blocked(left: DataFrame, right: DataFrame, keys: Sequence[str], query_id: str, vector_id: str,
              block_rows: int, n_left: DataFrame | None = None, n_right: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Both sides of a keyed match cut into blocks of about ``block_rows`` per key.
