@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,6 +119,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: A bit filter has one bit per value of this many upper bits of a hash: 16 MB, whatever it stands for.
+FILTER_BITS, BLOCK_BITS = 27, 15
+
+
+def bit_filter(hashes: DataFrame) -> np.ndarray:
+    """Bits of the ``hash`` values that occur, packed on the executors and fetched in blocks of 4 KB."""
+    tops = hashes.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS).alias("top")).distinct()
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(1 << BLOCK_BITS, np.uint8)
+        bits[frame["top"].to_numpy() & ((1 << BLOCK_BITS) - 1)] = 1
+        return pd.DataFrame({"block": [int(frame["block"].iloc[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    blocks = tops.withColumn("block", F.shiftright("top", BLOCK_BITS)).groupBy("block").applyInPandas(pack, "block long, bits binary")
+    out, size = np.zeros(1 << (FILTER_BITS - 3), np.uint8), 1 << (BLOCK_BITS - 3)
+    for row in blocks.collect():  # at most 4096 rows
+        out[row["block"] * size:(row["block"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the filter may hold each hash; one that it was made from always is."""
+    top = (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    return (bits[top >> 3] >> (top & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def fit_logistic(features: np.ndarray, labels: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> np.ndarray:
     """Weights (last: intercept) of a ridge-penalised logistic model, by damped Newton steps."""
     x = np.hstack([features, np.ones((len(features), 1))])

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import ann, chat, decontam, langid, licenses, neardup, packing, quality, secret_scan, toxicity
+from ledgerlens.llm import (
+    ann, chat, collocations, decontam, langid, licenses, mixing, neardup, packing, periodic, quality, secret_scan, toxicity,
+)
 from ledgerlens.llm.common import fold, stored
 
 
@@ -83,6 +85,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_documents(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(periodic.with_planted_runs(_table(spark, sf_dir, "documents")))
+    best = periodic.most_repeated(F.col("runs"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -101,6 +122,9 @@ def queries() -> dict:
         "op8_quality": op8_quality,
         "op9_secret_scan": op9_secret_scan,
         "op10_decontamination": op10_decontamination,
+        "op11_source_mixing": op11_source_mixing,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_phrase_collocations": op13_phrase_collocations,
         "pipeline": pipeline,
     }
 
@@ -167,10 +191,67 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 """
 
 
+MIXING = r"""
+WITH sized AS (
+    SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size,
+        md5('20240301:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS o FROM documents),
+sources AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS n, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM sized GROUP BY source),
+walked AS (
+    SELECT *, CAST(sum(n) OVER () - coalesce(sum(3 * n) OVER (u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rest,
+        CAST(sum(w) OVER (u ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS shares, row_number() OVER u AS k
+    FROM sources WINDOW u AS (ORDER BY 18 * n // w, w, source NULLS LAST)),
+level AS (SELECT rest, shares, k FROM walked WHERE CAST(rest AS HUGEINT) * w <= CAST(3 * n AS HUGEINT) * shares ORDER BY k LIMIT 1),
+goals AS (
+    SELECT source, n, CASE WHEN k < coalesce((SELECT k FROM level), 1e18) THEN CAST(3 * n AS DOUBLE)
+        ELSE CAST((SELECT rest FROM level) AS DOUBLE) * CAST(w AS DOUBLE) / CAST((SELECT shares FROM level) AS DOUBLE) END AS target FROM walked),
+parts AS (SELECT *, CASE WHEN n > 0 THEN CAST(floor(target / n) AS BIGINT) ELSE 0 END AS whole FROM goals),
+gaps AS (SELECT *, target - whole * n AS gap FROM parts),
+placed AS (
+    SELECT d.doc_id, d.size, g.*, d.o, row_number() OVER p AS r,
+        sum(d.size) OVER (p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e
+    FROM sized d JOIN gaps g ON d.source IS NOT DISTINCT FROM g.source WINDOW p AS (PARTITION BY d.source ORDER BY d.o, d.doc_id, d.size)),
+missing AS (
+    SELECT *, gap > 0 AND e <= gap AS fits,
+        CASE WHEN gap > 0 THEN gap - coalesce(max(CASE WHEN e <= gap THEN e END) OVER (PARTITION BY source), 0) ELSE 0 END AS m FROM placed),
+closing AS (
+    SELECT *, NOT fits AND abs(m - size) < m AND row_number() OVER (PARTITION BY source, fits ORDER BY abs(m - size), o, doc_id, size) = 1 AS closes FROM missing)
+SELECT doc_id, size, n AS source_size, target, CAST(size * (whole + CASE WHEN fits OR closes THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM closing
+"""
+
+COLLOCATIONS = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+grams AS (
+    SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (VALUES (1), (2), (3), (4)) s(k))),
+counts AS (SELECT lang, phrase, any_value(k) AS k, count(*) AS a FROM grams GROUP BY lang, phrase HAVING count(*) >= 30),
+split AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE k > 1),
+cuts AS (SELECT *, unnest(range(1, k)) AS c FROM split),
+scored AS (
+    SELECT s.lang, s.phrase, s.a, s.c, x.a AS l, y.a AS r, CAST(CAST(2000000 AS HUGEINT) * s.a // (x.a + y.a) AS BIGINT) AS score
+    FROM cuts s JOIN counts x ON x.lang = s.lang AND x.phrase = array_to_string(s.w[1:s.c], ' ')
+    JOIN counts y ON y.lang = s.lang AND y.phrase = array_to_string(s.w[s.c + 1:], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+inner_ AS (
+    SELECT lang, a, array_to_string(w[i:i + z - 1], ' ') AS phrase
+    FROM (SELECT lang, a, w, z, unnest(range(1, k - z + 2)) AS i FROM split, (VALUES (2), (3)) s(z) WHERE z < k)),
+longer AS (SELECT lang, phrase, max(a) AS f FROM inner_ GROUP BY lang, phrase),
+kept AS (SELECT b.* FROM best b LEFT JOIN longer g ON g.lang = b.lang AND g.phrase = b.phrase WHERE g.f IS NULL OR 100 * CAST(g.f AS HUGEINT) < 80 * CAST(b.a AS HUGEINT)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     assign = SECRETS.split("('assign', 0, '", 1)[1].split("', 2, 6)", 1)[0]
     return {
         "op4_near_duplicates": NEAR_DUPLICATES,
         "op7_chat_formatting": CHAT,
         "op9_secret_scan": SECRETS.replace("{assign}", assign),
+        "op11_source_mixing": MIXING,
+        "op13_phrase_collocations": COLLOCATIONS,
     }
