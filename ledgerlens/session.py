@@ -75,6 +75,13 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def stored(df, label: str):
+    """A frame written to the shared folder and read back: worked out once, and lost executors cost nothing."""
+    path = shared_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df):
     """Use all cores for heavy per-row work on a scan of few splits.
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ledgerlens.functions import constants as K
 from ledgerlens.operators.filters import base_name, extension, file_name
+from ledgerlens.session import stored
+from ledgerlens.sources.sqlguard import ParsedQuery, refuse_text
 
 SEPARATORS = {".csv": ",", ".tsv": "\t"}
 
@@ -59,42 +61,23 @@ def mount_files(spark: SparkSession, paths: Sequence[str]) -> tuple[dict[str, st
     return views, rejected
 
 
-_QUOTED = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.S)
+def guard_sql(query: str, spark: SparkSession | None = None, tables: Iterable[str] | None = None) -> ParsedQuery | None:
+    """Refuse what the text shows; with a session, everything but queries over ``tables`` (all temporary views unless given)."""
+    refuse_text(query)
+    if spark is None:
+        return None
+    if tables is None:
+        tables = [t.name for t in spark.catalog.listTables() if t.isTemporary]
+    parsed = ParsedQuery(spark, query)
+    parsed.check(tables)
+    return parsed
 
 
-_FORBIDDEN = re.compile(r"(?<![\w.])(reflect|java_method|try_reflect)\s*\(", re.I)
-_PATH = re.compile(r"(?<![\w`])`?(csv|json|orc|parquet|text|avro|xml|binaryfile|delta)`?\s*\.\s*`", re.I)
-
-
-def guard_sql(query: str) -> None:
-    """Refuse write keywords anywhere outside literals, quoted names and comments, paths as tables and calls into Java."""
-    bare = _QUOTED.sub(" ", query).upper()
-    found = re.search(rf"(?<![A-Z0-9_])({'|'.join(K.WRITE_KEYWORDS)})(?![A-Z0-9_])", bare)
-    if found:
-        raise ValueError(f"SQL operation {found.group(1)!r} is not allowed")
-    unquoted = re.sub(r"'(?:[^']|'')*'|--[^\n]*|/\*.*?\*/", " ", query, flags=re.S)
-    if _PATH.search(unquoted):
-        raise ValueError("SQL may read the mounted files only, not paths")
-    if _FORBIDDEN.search(unquoted.replace("`", "")):
-        raise ValueError("SQL may not call into Java")
-    if not re.match(r"[\s(]*(SELECT|WITH|VALUES|FROM|TABLE)\b", bare):
-        raise ValueError("only queries are allowed")
-
-
-def run_sql(spark: SparkSession, query: str, max_rows: int | None = None) -> DataFrame:
+def run_sql(spark: SparkSession, query: str, max_rows: int | None = None, tables: Iterable[str] | None = None) -> DataFrame:
     """Guarded query over the mounted views; ``max_rows`` rows at most, if it is given and the query has no limit of its own."""
-    guard_sql(query)
-    frame = spark.sql(query.strip().rstrip(";"))
-    return frame if max_rows is None or own_limit(query) else frame.limit(max_rows)
-
-
-def own_limit(query: str) -> bool:
-    """Whether the outermost part of a query ends with a limit."""
-    bare, depth, outer = _QUOTED.sub(" ", query), 0, []
-    for c in bare:
-        depth += (c == "(") - (c == ")")
-        outer.append(c if depth == 0 else " ")
-    return bool(re.search(r"\bLIMIT\s+(?!ALL\b)\S+(\s+OFFSET\s+\S+)?[\s;)]*$", "".join(outer), re.I))
+    parsed = guard_sql(query, spark, tables)
+    frame = spark.sql(parsed.text)
+    return frame if max_rows is None or parsed.has_own_limit() else frame.limit(max_rows)
 
 
 def sql_over_files(spark: SparkSession, paths: Sequence[str], query: str,
@@ -104,29 +87,65 @@ def sql_over_files(spark: SparkSession, paths: Sequence[str], query: str,
     ``truncated`` is None without ``max_rows``; with it, one more row is looked for.
     """
     views, rejected = mount_files(spark, paths)
-    frame = run_sql(spark, query, max_rows)
+    parsed = guard_sql(query, spark, views)
+    frame = whole = spark.sql(parsed.text)
     cut = None
     if max_rows is not None:
-        cut = not own_limit(query) and bool(spark.sql(query.strip().rstrip(";")).offset(max_rows).limit(1).count())
+        cut = False
+        if not parsed.has_own_limit():
+            frame, cut = whole.limit(max_rows), bool(whole.offset(max_rows).limit(1).count())
     return frame, {"columns": frame.columns, "tables": views, "rejected": rejected, "truncated": cut}
 
 
+_LISTED = "path string, folder boolean, length long, us long"
+
+
+def _uri(root: str, found: str) -> str:
+    """How Spark writes a path that pyarrow found under ``root``."""
+    scheme, _, rest = root.partition("://")
+    if not rest or scheme == "file":
+        return "file:" + found
+    if scheme in ("hdfs", "viewfs"):
+        return f"{scheme}://{rest.split('/', 1)[0]}{found}"
+    return f"{scheme}://{found}"
+
+
+def _list_folders(batches):
+    """Children of every folder; runs in tasks, one folder at a time."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    kinds = (pa.string(), pa.bool_(), pa.int64(), pa.int64())
+    for batch in batches:
+        for folder in batch.column("folder").to_pylist():
+            system, path = fs.FileSystem.from_uri(folder.replace("file:/", "file:///", 1) if re.match("file:/(?!/)", folder) else folder)
+            found = system.get_file_info(fs.FileSelector(path, recursive=False))
+            for at in range(0, len(found), 10_000):
+                rows = [(_uri(folder, f.path), f.type == fs.FileType.Directory, f.size or 0, (f.mtime_ns or 0) // 1000) for f in found[at:at + 10_000]]
+                columns = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [n.split()[0] for n in _LISTED.split(", ")])
+
+
 def file_manifest(spark: SparkSession, root: str,
                   extensions: Sequence[str] | None = tuple(K.FOLDER_EXTENSIONS)) -> DataFrame:
     """Files under ``root`` with size and time, newest first; contents are not read.
 
-    Listed by the file system itself, so that empty files and names with a
-    leading underscore are there; names with a leading dot are not.
+    Folders are listed in tasks, one level of the tree per job; the folders found
+    are the next level, and no listing passes through the driver. Empty files and
+    names with a leading underscore are there; names with a leading dot are not. A
+    folder is listed by one task. The store has to be one that pyarrow can open
+    (local, HDFS, S3 or Google Cloud Storage).
     """
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(root)
-    found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(folder, True)
-    rows = []
-    while found.hasNext():
-        status = found.next()
-        rows.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
-    files = spark.createDataFrame(rows, "path string, length long, ms long").select(
-        "path", "length", F.timestamp_millis("ms").alias("modificationTime"))
+    level, files = spark.createDataFrame([(root,)], "folder string"), None
+    while True:
+        listed = stored(level.mapInArrow(_list_folders, _LISTED), "listing")
+        found = listed.filter("not folder").select("path", "length", "us")
+        files = found if files is None else files.unionByName(found)
+        level = listed.filter("folder").select(F.col("path").alias("folder"))
+        if level.isEmpty():
+            break
+        level = level.repartition("folder")  # siblings lie in one file; their folders are listed side by side
+    files = files.select("path", "length", F.timestamp_micros("us").alias("modificationTime"))
     name = file_name(F.col("path"))
     files = files.filter(~name.startswith("."))
     if extensions is not None:
