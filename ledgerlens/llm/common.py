@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +32,19 @@ def fold(key: str, parts: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % parts
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front if ``df`` has a column of that name."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name
+
+
+def row_key() -> Column:
+    """16 bytes that tell a row by doc_id and text, nulls told from values; rows alike in both share it."""
+    parts = [F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(c).cast("string"))) for c in ("doc_id", "text")]
+    return F.unhex(F.md5(F.concat_ws("\n", *parts).cast("binary")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node each node of (a, b) edges can reach.
 
@@ -127,12 +139,17 @@ def bit_filter(hashes: DataFrame) -> np.ndarray:
     """Bits of the ``hash`` values that occur, packed on the executors and fetched in blocks of 4 KB."""
     tops = hashes.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS).alias("top")).distinct()
 
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(1 << BLOCK_BITS, np.uint8)
-        bits[frame["top"].to_numpy() & ((1 << BLOCK_BITS) - 1)] = 1
-        return pd.DataFrame({"block": [int(frame["block"].iloc[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
-
-    blocks = tops.withColumn("block", F.shiftright("top", BLOCK_BITS)).groupBy("block").applyInPandas(pack, "block long, bits binary")
+    def pack(batches):
+        bits = np.zeros(1 << FILTER_BITS, bool)
+        for batch in batches:
+            bits[batch.column("top").to_numpy()] = True
+        blocks = bits.reshape(-1, 1 << BLOCK_BITS)
+        held = np.flatnonzero(blocks.any(axis=1))
+        packed = [np.packbits(blocks[i], bitorder="little").tobytes() for i in held]
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(packed, pa.binary())], ["block", "bits"])
+
+    dealt = tops.repartition(F.shiftright("top", BLOCK_BITS))  # a block is packed by one task
+    blocks = dealt.mapInArrow(pack, "block long, bits binary")
     out, size = np.zeros(1 << (FILTER_BITS - 3), np.uint8), 1 << (BLOCK_BITS - 3)
     for row in blocks.collect():  # at most 4096 rows
         out[row["block"] * size:(row["block"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)

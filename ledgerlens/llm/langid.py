@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import mix, stored
+from ledgerlens.llm.common import mix
 
 DIMENSIONS, ORDER = 512, 3
 GROUP_CHARS = 1 << 18
@@ -137,26 +137,11 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
     profiles. Of equal cosines the first language by name wins. A text with a
     letter but without an n-gram is padded with spaces until it has one.
     """
-    langs = list(profiles)
-    table = np.array([profiles[k] for k in langs]) if langs else np.zeros((0, DIMENSIONS))
-    dimensions = table.shape[1]
+    name = _namer(profiles)
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            names, scores = [], []
-            padded = [None if t is None else f" {t} " for t in texts]
-            vectors = _vectors(padded, dimensions)
-            norms = np.linalg.norm(vectors, axis=1)
-            cosines = vectors @ table.T / np.maximum(norms, 1e-300)[:, None]
-            for text, cosine in zip(texts, cosines, strict=True):
-                if not langs or not text or not any(map(str.isalpha, text)):
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                else:
-                    best = int(np.argmax(cosine))
-                    names.append(langs[best])
-                    scores.append(float(min(1.0, max(0.0, cosine[best]))))
+            names, scores = name(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -164,15 +149,47 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
         run, "doc_id long, lang_pred string, score double")
 
 
+def _namer(profiles: dict[str, np.ndarray]):
+    """Function from texts to their languages and scores."""
+    langs = list(profiles)
+    table = np.array([profiles[k] for k in langs]) if langs else np.zeros((0, DIMENSIONS))
+    dimensions = table.shape[1]
+
+    def name(texts: list[str | None]) -> tuple[list[str], list[float]]:
+        names, scores = [], []
+        padded = [None if t is None else f" {t} " for t in texts]
+        vectors = _vectors(padded, dimensions)
+        norms = np.linalg.norm(vectors, axis=1)
+        cosines = vectors @ table.T / np.maximum(norms, 1e-300)[:, None]
+        for text, cosine in zip(texts, cosines, strict=True):
+            if not langs or not text or not any(map(str.isalpha, text)):
+                names.append(UNKNOWN)
+                scores.append(0.0)
+            else:
+                best = int(np.argmax(cosine))
+                names.append(langs[best])
+                scores.append(float(min(1.0, max(0.0, cosine[best]))))
+        return names, scores
+
+    return name
+
+
 def accept(docs: DataFrame, profiles: dict[str, np.ndarray], least: float = 0.1, letters: int = 50) -> DataFrame:
-    """Documents in one of the languages; columns stay as they are.
+    """Documents in one of the languages, row by row; columns stay as they are.
 
-    Texts without letters go, and texts of ``letters`` letters or more whose best
-    cosine stays under ``least``, about what chance gives. A shorter text may
-    resemble nothing by chance alone and stays.
+    Texts without letters go, null texts too, and texts of ``letters`` letters or
+    more whose best cosine stays under ``least``, about what chance gives. A shorter
+    text may resemble nothing by chance alone and stays. A row is judged by its own
+    text, whatever other rows share its doc_id.
     """
-    named = predict(docs, profiles).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).distinct()
-    count = F.length(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[^\p{L}]", ""))
-    sized = docs.select(F.col("doc_id").cast("long"), count.alias("letters"))
-    odd = named.join(sized, "doc_id").where((F.col("lang_pred") == UNKNOWN) | (F.col("letters") >= letters)).select("doc_id").distinct()
-    return docs.join(stored(odd, "rejected"), "doc_id", "left_anti").select(*docs.columns)
+    name = _namer(profiles)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text").cast(pa.string()).to_pylist()
+            keep = [
+                lang != UNKNOWN and (score >= least or sum(map(str.isalpha, text)) < letters)
+                for text, lang, score in zip(texts, *name(texts), strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,6 @@ whole shingle sets, and linked documents form components.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -17,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import byte_groups, components, mix, stored, word_lists
+from ledgerlens.llm.common import byte_groups, components, free_name, mix, row_key, stored, word_lists
 
 #: 24 bands of 5: a pair of similarity 0.85 is missed once in a million, one of 0.8 once in 10,000.
 BANDS, ROWS = 24, 5
@@ -69,7 +68,7 @@ def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def _signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            keys, at = batch.column("doc_id"), 0
+            ids, keys, at = batch.column("doc_id"), batch.column("key"), 0
             for group in byte_groups(batch.column("text")):
                 counts, digests, found = [], [], []
                 for data in group:
@@ -78,24 +77,25 @@ def _signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                     digests.append(xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None)
                     found.append(band_keys(hashes, bands, rows) if len(hashes) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [keys.slice(at, len(group)), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()),
-                     pa.array(found, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "keys"])
+                    [ids.slice(at, len(group)), keys.slice(at, len(group)), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()),
+                     pa.array(found, pa.list_(pa.int64()))], ["doc_id", "key", "n_shingles", "digest", "keys"])
                 at += len(group)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n_shingles long, digest binary, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(
+        run, "doc_id long, key binary, n_shingles long, digest binary, keys array<long>")
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """(node, hashes) of (node, text)."""
     def run(batches):
         for batch in batches:
-            keys, at = batch.column("doc_id"), 0
+            nodes, at = batch.column("node"), 0
             for group in byte_groups(batch.column("text")):
                 sets = [shingles(data, width).tobytes() for data in group]
-                yield pa.RecordBatch.from_arrays([keys.slice(at, len(group)), pa.array(sets, pa.binary())], ["node", "hashes"])
+                yield pa.RecordBatch.from_arrays([nodes.slice(at, len(group)), pa.array(sets, pa.binary())], ["node", "hashes"])
                 at += len(group)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "node long, hashes binary")
+    return texts.select("node", F.col("text").cast("string")).mapInArrow(run, "node long, hashes binary")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -180,42 +180,80 @@ def _residual(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
     return cells.join(sets, "node").groupBy("main", "i", "j").applyInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per document.
+def linked_classes(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS,
+                   block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): a class is all rows with one set of shingles, a label all classes that links join.
 
-    Documents are linked if 100 * intersection >= ``percent`` * union of their
-    distinct ``width``-word shingles; component_id is the smallest doc_id reached.
-    Copies of one set are one node. A null, empty or blank text has no shingles and
-    is linked with nothing; rows that share a doc_id are one document; a null
-    doc_id is kept, with a null component. Other columns are ignored.
+    ``rows`` has doc_id, key (see :func:`row_key`), n_shingles and digest, which
+    names the class and is null without shingles. ``classes`` has digest, label and
+    the class's first row by doc_id (null last) and key: ``doc_id``, ``key``.
     """
     signed = stored(_signed(docs, width, bands, rows), "signed")
-    classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(
-        F.min("doc_id").alias("node"), F.min("n_shingles").alias("n"))
-    classes = stored(classes, "classes")
-    heads = signed.join(classes.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"]).select(
-        F.col("doc_id").alias("node"), F.explode("keys").alias("key")).distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("one")
+    classes = signed.where("digest is not null").groupBy("digest").agg(first, F.min("n_shingles").alias("size"))
+    # numbers are given while the classes are written, so they stay the same afterwards
+    classes = stored(classes.select("digest", "one.doc_id", "one.key", "size", F.monotonically_increasing_id().alias("node")), "classes")
+    heads = signed.select("key", "keys").join(classes.select("key", "node"), "key").select("node", F.explode("keys").alias("key")).distinct()
     heads = stored(heads, "bands")
     buckets = heads.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
-    members = heads.join(buckets, "key").join(classes.select("node", F.col("n").alias("size")).groupBy("node").agg(F.max("size").alias("size")), "node")
-    members = stored(members, "buckets")
+    members = stored(heads.join(buckets, "key").join(classes.select("node", "size"), "node"), "buckets")
     pairs = stored(members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    needed = members.select("node").distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(needed.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+    needed = classes.join(members.select("node").distinct(), "node", "left_semi").select("key", "node")
+    # a row that is there several times is read once
+    texts = docs.select(row_key().alias("key"), "text").join(needed, "key").dropDuplicates(["key"])
     sets = stored(_sets(texts, width), "sets")
     stars = stored(_confirmed(pairs, sets, percent), "stars")
     labels = components(stars)
     more = stored(_residual(members.where("n > 2").select("key", "node", "size"), labels, sets, percent, block), "links")
     if not more.isEmpty():
         labels = components(stars.union(more))
-    named = classes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id"))
-    # rows of one doc_id with several texts join the components of all of them
-    out = signed.join(named, "digest", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    named = classes.join(labels, "node", "left").select("digest", "doc_id", "key", F.coalesce("label", "node").alias("label"))
+    return signed.select("doc_id", "key", "n_shingles", "digest"), stored(named, "named")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row per document.
+
+    Documents are linked if 100 * intersection >= ``percent`` * union of their
+    distinct ``width``-word shingles; component_id is the smallest doc_id reached.
+    Copies of one set are one class. A null, empty or blank text has no shingles and
+    is linked with nothing. Rows that share a doc_id are one document: what any of
+    its texts is linked with is one component, and n_shingles is its largest set.
+    Every row with a null doc_id stays by itself, with a null component, and links
+    nothing but its class. Other columns are ignored.
+    """
+    signed, classes = linked_classes(docs, width, percent, bands, rows, block)
+    classes = classes.select("digest", "label", "doc_id")
+    placed = signed.where("doc_id is not null").join(classes.select("digest", "label"), "digest").select("doc_id", "label").distinct()
+    several = placed.groupBy("doc_id").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    edges = stored(placed.join(several, "doc_id").select(F.col("low").alias("a"), F.col("label").alias("b")), "documents")
+    if not edges.isEmpty():
+        joined = components(edges).select(F.col("node").alias("label"), F.col("label").alias("into"))
+        classes = classes.join(joined, "label", "left").withColumn("label", F.coalesce("into", "label"))
+    smallest = classes.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    named = classes.join(smallest, "label").select("digest", "component_id")
+    alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("alone")
+    out = signed.select("doc_id", "n_shingles", "digest", alone).join(named, "digest", "left").groupBy("doc_id", "alone").agg(
+        F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_one(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
-    """Documents without all but the first of each group; columns stay as they are."""
-    dropped = find(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """One row of every group of rows with linked texts; columns stay as they are.
+
+    Rows are judged by their own texts, whatever doc_id they have: the first by
+    doc_id (null last) and text stays, and of rows alike in both only one. Rows
+    without a word are no copies of each other and all stay.
+    """
+    signed, classes = linked_classes(docs, **options)
+    winners = classes.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("one")).select("label", F.col("one.key").alias("winner"))
+    named = classes.join(winners, "label").select("digest", "winner")
+    fate = signed.where("digest is not null").groupBy("digest", "key").agg(F.count("*").alias("n")).join(named, "digest")
+    marks = stored(fate.where("key <> winner or n > 1").select("key", (F.col("key") != F.col("winner")).alias("gone")), "marks")
+    key, gone = free_name(docs, "key"), free_name(docs, "gone")
+    marked = docs.withColumn(key, row_key()).join(marks.select(F.col("key").alias(key), F.col("gone").alias(gone)), key, "left")
+    kept = marked.where(F.col(gone).isNull())
+    if not marks.where("not gone").isEmpty():  # winners that are there several times
+        kept = kept.unionByName(marked.where(~F.col(gone)).dropDuplicates([key]))
+    return kept.select(*docs.columns)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerlens.llm.common import stored
+from ledgerlens.llm.common import free_name, stored
 
 
 @dataclass(frozen=True)
@@ -120,19 +120,23 @@ def clean(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "<secret
 
     The ledger decides which documents hold findings; only those texts change.
     """
-    paths, _, findings = scan_versions(docs.select(F.col("doc_id").alias("path"), F.col("text").alias("content")), rules=rules)
-    spans = findings.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    return cut_out(docs.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")), 256)), spans, mark).select(*docs.columns)
-
-
-def cut_out(docs: DataFrame, spans: DataFrame, mark: str) -> DataFrame:
-    """Replace (start, end) spans of ``_blob`` in ``text``."""
-    hits = docs.join(spans.withColumnRenamed("blob", "_blob"), "_blob", "left")
+    versions = docs.select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    _, _, findings = scan_versions(versions, rules=rules)
+    spans = findings.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    blob = free_name(docs, "blob")
+    named = docs.withColumn(blob, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    return cut_out(named, spans, blob, mark).select(*docs.columns)
+
+
+def cut_out(docs: DataFrame, spans: DataFrame, blob: str, mark: str) -> DataFrame:
+    """Replace the ``spans`` (blob, list of start and end) of each text; ``blob`` is the column that names it."""
+    cuts = free_name(docs, "spans")
+    hits = docs.join(spans.select(F.col("blob").alias(blob), F.col("spans").alias(cuts)), blob, "left")
     walked = F.aggregate(
-        "_spans", F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<string>)").alias("parts")),
+        cuts, F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<string>)").alias("parts")),
         lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(
             s["end"].alias("at"), F.concat(acc["parts"], F.array(
                 F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))).alias("parts")))
         .otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["parts"].alias("parts"))),
         lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length(F.col("text")))))
-    return hits.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(walked))
+    return hits.withColumn("text", F.when(F.col(cuts).isNull(), F.col("text")).otherwise(walked))

@@ -56,3 +56,10 @@ def test_held_out_accuracy(spark):
     out = queries.op2_language_id(spark, root).join(spark.read.parquet(f"{root}/documents.parquet").select("doc_id", "lang"), "doc_id")
     held = out.where("held_out and lang is not null and lang_pred <> 'und'")
     assert held.where("lang_pred = lang").count() >= 0.97 * held.count() > 0
+
+
+def test_rows_are_judged_by_their_own_texts(docs_of):
+    train = docs_of([(i, t, "en") for i, t in enumerate(ENGLISH)])
+    rows = [(1, "good prose about the weather and the birds"), (1, "12 34"), (None, "!?"), (None, "the other one"), (2, None)]
+    kept = langid.accept(docs_of(rows), langid.learn(train, F.lit(True)))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([rows[0], rows[3]], key=repr)

@@ -58,14 +58,45 @@ def test_against_brute_force(docs_of, width, percent, block):
 
 def test_odd_rows(docs_of, odd_rows):
     out = neardup.near_duplicates(docs_of(odd_rows)).collect()
-    assert len(out) == len(odd_rows)
+    assert len(out) == len({k for k, _ in odd_rows})  # a repeated row is one document
     by = {r["doc_id"]: r for r in out}
     assert by[None]["component_id"] is None and by[None]["kept"]
     assert [by[k]["n_shingles"] for k in (1, 2, 3, 7)] == [0, 0, 0, 1]
     assert all(by[k]["component_id"] == k for k in by if k is not None)
     assert neardup.near_duplicates(docs_of([])).count() == 0
     kept = neardup.keep_one(docs_of(odd_rows))
-    assert kept.columns == docs_of(odd_rows).columns and kept.count() == len(odd_rows)
+    # of the repeated row and the row without an id that has its text, one stays
+    assert kept.columns == docs_of(odd_rows).columns and kept.count() == len(odd_rows) - 2
+    assert neardup.keep_one(docs_of([])).count() == 0
+
+
+def test_a_document_with_several_texts(docs_of):
+    a, b = "one two three four five six seven eight", "red green blue black white grey pink brown"
+    rows = [(3, b), (5, a), (5, b), (7, a), (8, "alone here with own words and no one"), (None, a), (None, "null has a text of its own here")]
+    out = neardup.near_duplicates(docs_of(rows)).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in out if r["doc_id"] is not None) == [
+        (3, 3, True), (5, 3, False), (7, 3, False), (8, 8, True)]
+    assert [(r["component_id"], r["kept"]) for r in out if r["doc_id"] is None] == [(None, True)] * 2
+    # rows are kept by their texts, so no text is lost
+    kept = [(r["doc_id"], r["text"]) for r in neardup.keep_one(docs_of(rows)).collect()]
+    assert sorted(kept, key=repr) == sorted([rows[0], rows[1], rows[4], rows[6]], key=repr)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_kept_rows_by_text(docs_of, seed):
+    rng = random.Random(seed)
+    texts = [t for n in (30, 5, 2) for t in family(rng, n, 60, lambda: rng.random() * 0.06)] + ["", None, "one"]
+    rows = [(rng.choice([None, *range(20)]), rng.choice(texts)) for _ in range(150)]
+    kept = [(r["doc_id"], r["text"]) for r in neardup.keep_one(docs_of(rows)).collect()]
+    groups = brute(list(enumerate(t for _, t in rows)), 5, 80)
+    want = [rows[i] for i, (size, _) in groups.items() if not size]
+    for top in {c for size, c in groups.values() if size}:
+        mine = [rows[i] for i, (size, c) in groups.items() if c == top and size]
+        held = [r for r in kept if r in mine]
+        assert len(held) == 1 and (held[0][0] is None) == all(k is None for k, _ in mine)
+        assert held[0][0] is None or held[0][0] == min(k for k, _ in mine if k is not None)
+        want += held
+    assert sorted(kept, key=repr) == sorted(want, key=repr)
 
 
 def test_components_of_long_chains(spark):
