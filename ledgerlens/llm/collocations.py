@@ -27,7 +27,7 @@ LONGEST, SUPPORT, SHARDS = 4, 30, 8
 TOP, SCALE, ABSORB = 2000, 2_000_000, 80
 UNKNOWN = "und"
 #: A task counts about so many words at once, then hands over the counts; results do not depend on it.
-CHUNK = 1 << 21
+CHUNK, EMIT = 1 << 22, 1 << 16
 SALTS = 16
 
 END = b"."
@@ -81,7 +81,7 @@ class Chunk:
             total = np.bincount(ids, minlength=len(self.words))
             yield [np.arange(1, len(total))], total[1:]
             return
-        hashes = np.fromiter((word_hash(self.lang, w) for w in self.words), np.uint64, len(self.words))
+        hashes = self.hashes()
         if level == 2:
             good = in_filter(wanted, hashes)
             good[0] = False
@@ -104,35 +104,70 @@ class Chunk:
             at = at[more]
             value = joined_hash(value[more], held[at + length])
 
+    def hashes(self) -> np.ndarray:
+        return np.fromiter((word_hash(self.lang, w) for w in self.words), np.uint64, len(self.words))
+
 
 def _distinct(ids: np.ndarray, at: np.ndarray, length: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct phrases of ``length`` words at the given places, with their counts."""
-    base = np.int64(ids.max() + 1 if len(ids) else 1)
-    group, columns = ids[at], None
+    used = np.zeros(int(ids.max(initial=0)) + 1, bool)
+    for i in range(length):
+        used[ids[at + i]] = True
+    words = np.flatnonzero(used)
+    number, base = np.cumsum(used) - 1, max(1, len(words))
+    if base ** length < 1 << 63:  # a phrase of these words is one number
+        keys = np.zeros(len(at), np.int64)
+        for i in range(length):
+            keys = keys * base + number[ids[at + i]]
+        keys, counts = np.unique(keys, return_counts=True)
+        columns = []
+        for _ in range(length):
+            keys, word = np.divmod(keys, base)
+            columns.append(words[word])
+        return columns[::-1], counts
+    group, columns = number[ids[at]], None
     for i in range(1, length):
-        keys, place, counts = np.unique(group * base + ids[at + i], return_inverse=True, return_counts=True)
-        before, word = keys // base, keys % base
-        columns = [before, word] if columns is None else [*[c[before] for c in columns], word]
+        keys, place, counts = np.unique(group * base + number[ids[at + i]], return_inverse=True, return_counts=True)
+        before, word = keys // base, words[keys % base]
+        columns = [words[before], word] if columns is None else [*[c[before] for c in columns], word]
         group = place
     return columns, counts
 
 
-def shard_counts(docs: DataFrame, level: int, wanted, shards: int) -> DataFrame:
-    """(shard, lang, phrase, n): what every task counts, not added up between tasks."""
-    def run(batches):
-        shard, open_chunks = TaskContext.get().partitionId() % shards, {}
+def lang_key(lang: str) -> int:
+    """The same 64 bits as Spark's xxhash64 of the name."""
+    value = xxhash.xxh64_intdigest(lang.encode(), seed=42)
+    return value - (1 << 64) if value >> 63 else value
+
+
+LOCAL, WHOLE = "shard int, lang_key long, hash long, n long", "shard int, lang string, phrase string, n long"
+
 
-        def close(chunk):
-            table = pa.array(list(chunk.words), pa.binary()).cast(pa.string())
-            for columns, counts in chunk.counts(level, wanted.value if wanted else None):
-                for low in range(0, len(counts), 1 << 16):
-                    part = [table.take(pa.array(c[low:low + (1 << 16)])) for c in columns]
-                    phrase = part[0] if len(part) == 1 else pc.binary_join_element_wise(*part, " ")
-                    some = len(phrase)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(some, shard, np.int32)), pa.array([chunk.lang] * some, pa.string()), phrase,
-                         pa.array(counts[low:low + some], pa.int64())], ["shard", "lang", "phrase", "n"])
+def shard_counts(docs: DataFrame, level: int, wanted, shards: int, hashed: bool) -> DataFrame:
+    """What every task counts, not added up between tasks: phrases as WHOLE rows or, if ``hashed``, as LOCAL ones."""
+    schema = LOCAL if hashed else WHOLE
+    names = [c.split()[0] for c in schema.split(", ")]
 
+    def close(chunk: Chunk, shard: int):
+        bits = wanted.value if wanted else None
+        table = None if hashed else pa.array(list(chunk.words), pa.binary()).cast(pa.string())
+        hashes = chunk.hashes() if hashed else None
+        for columns, counts in chunk.counts(level, bits):
+            for low in range(0, len(counts), EMIT):
+                part, n = [c[low:low + EMIT] for c in columns], counts[low:low + EMIT]
+                if hashed:
+                    value = hashes[part[0]]
+                    for words in part[1:]:
+                        value = joined_hash(value, hashes[words])
+                    key, what = pa.array(np.full(len(n), lang_key(chunk.lang))), pa.array(value.view(np.int64))
+                else:
+                    texts = [table.take(pa.array(c)) for c in part]
+                    what = texts[0] if len(texts) == 1 else pc.binary_join_element_wise(*texts, " ")
+                    key = pa.array([chunk.lang] * len(n), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard, np.int32)), key, what, pa.array(n, pa.int64())], names)
+
+    def run(batches):
+        shard, open_chunks = TaskContext.get().partitionId() % shards, {}
         for batch in batches:
             langs, at = batch.column("lang").to_pylist(), 0
             for group in byte_groups(batch.column("text")):
@@ -144,37 +179,35 @@ def shard_counts(docs: DataFrame, level: int, wanted, shards: int) -> DataFrame:
                     open_chunks.setdefault(lang, Chunk(lang)).add(texts)
                 if sum(c.size for c in open_chunks.values()) >= CHUNK:
                     for chunk in open_chunks.values():
-                        yield from close(chunk)
+                        yield from close(chunk, shard)
                     open_chunks = {}
         for chunk in open_chunks.values():
-            yield from close(chunk)
+            yield from close(chunk, shard)
 
     return docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("string").alias("text")
-    ).mapInArrow(run, "shard int, lang string, phrase string, n long")
+    ).mapInArrow(run, schema)
 
 
 def _hashes(phrases: DataFrame) -> DataFrame:
-    """``hash`` of every (lang, phrase)."""
+    """``hash`` of every single word (lang, phrase)."""
     def run(batches):
         for batch in batches:
-            langs = batch.column("lang").to_pylist()
-            words = [p.encode().split(b" ") for p in batch.column("phrase").to_pylist()]
-            out, place = np.zeros(len(words), np.uint64), np.arange(len(words))
-            for i in range(LONGEST):
-                place = place[[len(words[k]) > i for k in place]] if len(place) else place
-                here = np.fromiter((word_hash(langs[k], words[k][i]) for k in place), np.uint64, len(place))
-                out[place] = joined_hash(out[place], here) if i else here
+            pairs = zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist(), strict=True)
+            out = np.fromiter((word_hash(lang, word.encode()) for lang, word in pairs), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64))], ["hash"])
 
     return phrases.select("lang", "phrase").mapInArrow(run, "hash long")
 
 
 def mine(docs: DataFrame, level: int, wanted, bars: DataFrame, shards: int) -> DataFrame:
-    """(lang, phrase): union of what is frequent inside some shard; ``bars`` has every shard's own support."""
-    local = shard_counts(docs, level, wanted, shards).groupBy("shard", "lang", "phrase").agg(F.sum("n").alias("n"))
-    return local.join(bars, ["shard", "lang"], "left").where(
-        F.col("n") >= F.coalesce("least", F.lit(1))).select("lang", "phrase").distinct()
+    """``hash`` of what is frequent inside some shard; ``bars`` has every shard's own support.
+
+    Phrases stand as 64-bit hashes here: two of one hash could only make each other
+    seem more frequent, and the last pass counts the phrases themselves.
+    """
+    local = shard_counts(docs, level, wanted, shards, True).groupBy("shard", "lang_key", "hash").agg(F.sum("n").alias("n"))
+    return local.join(bars, ["shard", "lang_key"], "left").where(F.col("n") >= F.coalesce("least", F.lit(1))).select("hash").distinct()
 
 
 def phrase_counts(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
@@ -186,16 +219,16 @@ def phrase_counts(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS)
     """
     spark = docs.sparkSession
     # the sum of all shards' (least - 1) stays under the support, however rows fall into shards in a later pass
-    words = stored(shard_counts(docs, 1, None, shards).groupBy("shard", "lang", "phrase").agg(F.sum("n").alias("n")), "words")
+    words = stored(shard_counts(docs, 1, None, shards, False).groupBy("shard", "lang", "phrase").agg(F.sum("n").alias("n")), "words")
     share = words.groupBy("shard", "lang").agg(F.sum("n").alias("w"))
     totals = stored(share.groupBy("lang").agg(F.sum("w").alias("n")), "totals")
     bars = stored(share.join(totals, "lang").select(
-        "shard", "lang", F.expr(f"({support} * cast(w as decimal(20,0)) + n - 1) div n").alias("least")), "supports")
+        "shard", F.xxhash64("lang").alias("lang_key"), F.expr(f"({support} * cast(w as decimal(20,0)) + n - 1) div n").alias("least")), "supports")
     frequent = stored(words.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= support), "frequent")
     pairs = stored(mine(docs, 2, spark.sparkContext.broadcast(bit_filter(_hashes(frequent))), bars, shards), "pairs")
-    longer = stored(mine(docs, 3, spark.sparkContext.broadcast(bit_filter(_hashes(pairs))), bars, shards), "longer")
-    wanted = spark.sparkContext.broadcast(bit_filter(_hashes(pairs.unionByName(longer))))
-    counted = shard_counts(docs, 0, wanted, shards).groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
+    longer = stored(mine(docs, 3, spark.sparkContext.broadcast(bit_filter(pairs)), bars, shards), "longer")
+    wanted = spark.sparkContext.broadcast(bit_filter(pairs.unionByName(longer)))
+    counted = shard_counts(docs, 0, wanted, shards, False).groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
     return totals, stored(frequent.unionByName(counted.where(F.col("a") >= support)), "phrases")
 
 
