@@ -18,15 +18,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import Memo, byte_groups, mix, stored, word_lists
+from ledgerlens.llm.common import Memo, bit_filter, byte_groups, free_name, in_filter, stored, word_lists
 
 WIDTH = 8
 #: A leak covers this share of an item's windows, or a run of so many words.
 COVERAGE, RUN = 0.5, 13
 #: Items with fewer words are looked for with their own values only.
 LEAST_WORDS = 5
-FILTER_BITS = 27
 BROADCAST_ROWS = 200_000
+STEP = np.uint64(0x9E3779B97F4A7C15)
 
 #: Unit words and signs; a unit counts as one only after a number.
 UNITS = frozenset(
@@ -105,15 +105,26 @@ def canonical(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(kind == PLAIN, code & ~7, kind), kind, words
 
 
-def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
-    """Hash of every window of word codes."""
-    n = len(values) - width + 1
-    if n < 1:
-        return np.empty(0, np.uint64)
-    out, unsigned = np.full(n, width, np.uint64), values.astype(np.uint64)
+def _width_code(width: int) -> np.uint64:
+    return np.uint64(width * 0xD1B54A32D192ED03 & (1 << 64) - 1)
+
+
+def window_hashes(values: np.ndarray, widths: list[int]) -> dict[int, np.ndarray]:
+    """Hash of every window of word codes, for all widths in one pass."""
+    run, words, out = np.zeros(len(values), np.uint64), values.view(np.uint64), {}
+    for i in range(min(max(widths, default=0), len(values))):
+        run = run[:len(values) - i] * STEP + words[i:]
+        if i + 1 in widths:
+            out[i + 1] = run + _width_code(i + 1)
+    return out
+
+
+def hashes_at(values: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
+    """The same hashes, of the windows at some places only."""
+    run, words = np.zeros(len(places), np.uint64), values.view(np.uint64)
     for i in range(width):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + unsigned[i:i + n]
-    return mix(out)
+        run = run * STEP + words[places + i]
+    return run + _width_code(width)
 
 
 def literals(kind: np.ndarray, width: int) -> np.ndarray:
@@ -136,74 +147,102 @@ def _rows(text: str, code: np.ndarray, template, kind, words, places: np.ndarray
     return [[f"{i - p}:{names[kind[i]]}{values[words[i]]}" for i in range(p, p + width) if kind[i] != PLAIN] for p in places]
 
 
-WINDOWS = "doc_id long, n_windows long, width int, hash long, place long, slots array<string>, fixed boolean"
+def _windows(kind: str) -> str:
+    return f"doc_id {kind}, n_windows long, width int, hash long, place long, slots array<string>, fixed boolean"
 
 
-def template_windows(table: DataFrame, key: str, widths: list[int] | None, wanted=None) -> DataFrame:
-    """Windows of whole texts; only those in the ``wanted`` bit filter, if there is one.
+def _window_batch(keys: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+    """Arrow rows of (row of ``keys``, n_windows, width, hash, place, slots, fixed)."""
+    at, *out = zip(*rows, strict=True) if rows else [()] * 7
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.bool_())
+    names = ["doc_id", "n_windows", "width", "hash", "place", "slots", "fixed"]
+    return pa.RecordBatch.from_arrays(
+        [keys.take(pa.array(at, pa.int64())), *(pa.array(v, k) for v, k in zip(out, kinds, strict=True))], names)
 
-    Without ``widths`` a text has windows of WIDTH words or, if it is shorter, of
-    its own length. A window has its template, if that has literal words enough,
-    and, if it holds placeholders, the lower-case words themselves, without slots.
 
-    Without ``widths``, as for items, there are two more readings: names as plain
-    words, for texts in one case, and the first word as a name, for copies that a
-    heading precedes; then it is ``fixed``, which asks for the same value.
+def item_windows(table: DataFrame, key: str) -> DataFrame:
+    """Windows of benchmark items: of WIDTH words or, if an item is shorter, of its own length.
+
+    A window has its template, if that has literal words enough, and, if it holds
+    placeholders, the lower-case words themselves, without slots. There are two more
+    readings: names as plain words, for texts in one case, and the first word as a
+    name, for copies that a heading precedes; then it is ``fixed``, which asks for
+    the same value.
     """
+    def windows(at: int, data: bytes, memo: Memo):
+        code = codes(data, memo)
+        template, kind, words = canonical(code)
+        if not len(template):
+            return
+        width, plain = min(WIDTH, len(template)), code[words] & ~7
+        forms = [(template, kind, False), (plain, np.full(len(kind), PLAIN), False),
+                 (np.where(kind == TITLE, plain, template), np.where(kind == TITLE, PLAIN, kind), False)]
+        if kind[0] == PLAIN:
+            forms.append((np.append(TITLE, template[1:]), np.append(TITLE, kind[1:]), True))
+        for nth, (values, kinds, fixed) in enumerate(forms):
+            good = literals(kind, width) < width if nth == 1 else enough(literals(kinds, width), width)
+            hashes, places = window_hashes(values, [width])[width], np.flatnonzero(good[:1] if fixed else good)
+            slots = _rows(data.decode(), code, values, kinds, words, places, width)
+            for place, value, row in zip(places.tolist(), hashes[places].view(np.int64).tolist(), slots, strict=True):
+                yield at, len(hashes), width, value, place, row, fixed
+
+    def run(batches):
+        memo = new_memo()
+        for batch in batches:
+            at = 0
+            for group in byte_groups(batch.column("text")):
+                yield _window_batch(batch.column("doc_id"), [r for n, data in enumerate(group) for r in windows(at + n, data, memo)])
+                at += len(group)
+
+    return table.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _windows("long"))
+
+
+def group_windows(group: list[bytes], widths: list[int], bits: np.ndarray, memo: Memo):
+    """Rows for :func:`_window_batch` of the texts of a group, laid end to end, so that short ones cost little."""
+    parts = [codes(data, memo) for data in group]
+    begin = np.cumsum([0, *(len(p) + 1 for p in parts)])
+    code = np.concatenate([x for p in parts for x in (p, [STOP_CODE])]).astype(np.int64)
+    template, kind, words = canonical(code)
+    first = np.searchsorted(words, begin)  # of each text, among the words
+    placeholders = np.concatenate([[0], np.cumsum(kind != PLAIN)])
+    plain = code[words] & ~7
+    every = window_hashes(template, widths)
+    for width, hashes in every.items():
+        found = np.flatnonzero(in_filter(bits, hashes))
+        found = found[enough(width - (placeholders[found + width] - placeholders[found]), width)]
+        held = np.flatnonzero(placeholders[width:] > placeholders[:-width])
+        own = hashes_at(plain, held, width)
+        kept = in_filter(bits, own)
+        for places, values, bare in ((found, hashes[found], False), (held[kept], own[kept], True)):
+            text = np.searchsorted(first, places, side="right") - 1
+            inside = places + width <= first[text + 1]
+            places, values, text = places[inside], values[inside].view(np.int64), text[inside]
+            edges = np.flatnonzero(np.diff(text, prepend=-1, append=-1)) if len(text) else []
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                n = int(text[low])
+                mine = slice(first[n], first[n + 1])
+                local = places[low:high] - first[n]
+                slots = [[]] * len(local) if bare else _rows(
+                    group[n].decode(), parts[n], template[mine], kind[mine], words[mine] - begin[n], local, width)
+                size = int(first[n + 1] - first[n]) - width + 1
+                for place, value, row in zip(local.tolist(), values[low:high].tolist(), slots, strict=True):
+                    yield n, size, width, value, place, row, False
+
+
+def text_windows(docs: DataFrame, widths: list[int], wanted, kind: str = "long") -> DataFrame:
+    """Windows of whole texts that the ``wanted`` bit filter may hold; templates and lower-case words as for items."""
     def run(batches):
         memo = new_memo()
         for batch in batches:
-            keys, at = batch.column("doc_id").to_pylist(), 0
+            keys, at = batch.column("doc_id"), 0
             for group in byte_groups(batch.column("text")):
-                out = ([], [], [], [], [], [], [])
-                for data in group:
-                    code = codes(data, memo)
-                    template, kind, words = canonical(code)
-                    own = [min(WIDTH, len(template))] if len(template) else []
-                    plain = code[words] & ~7
-                    forms = [(template, kind, False), (plain, np.full(len(kind), PLAIN), False)]
-                    if widths is None:
-                        forms.append((np.where(kind == TITLE, plain, template), np.where(kind == TITLE, PLAIN, kind), False))
-                        if len(kind) and kind[0] == PLAIN:
-                            forms.append((np.append(TITLE, template[1:]), np.append(TITLE, kind[1:]), True))
-                    for width in own if widths is None else widths:
-                        if len(template) < width:
-                            continue
-                        for nth, (values, kinds, fixed) in enumerate(forms):
-                            good = literals(kind, width) < width if nth == 1 else enough(literals(kinds, width), width)
-                            hashes, places = window_hashes(values, width), np.flatnonzero(good[:1] if fixed else good)
-                            if wanted is not None:
-                                bit = (hashes[places] >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                                places = places[(wanted.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)]
-                            if not len(places):
-                                continue
-                            out[0].extend([keys[at]] * len(places))
-                            out[1].extend([len(hashes)] * len(places))
-                            out[2].extend([width] * len(places))
-                            out[3].extend(hashes[places].view(np.int64).tolist())
-                            out[4].extend(places.tolist())
-                            out[5].extend(_rows(data.decode(), code, values, kinds, words, places, width))
-                            out[6].extend([fixed] * len(places))
-                    at += 1
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.bool_())
-                names = ["doc_id", "n_windows", "width", "hash", "place", "slots", "fixed"]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names)
-
-    return table.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, WINDOWS)
-
-
-def _filter(windows: DataFrame) -> np.ndarray:
-    """One bit per upper FILTER_BITS bits of a hash that occurs: 16 MB, whatever the size of the benchmark."""
-    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    tops = windows.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS).alias("t")).distinct()
-    packed = tops.groupBy((F.col("t") / 8).cast("long").alias("byte")).agg(
-        F.bit_or(F.expr("shiftleft(1, cast(t % 8 as int))")).alias("bits"))
-    for row in packed.toLocalIterator():  # at most 2 ** 24 rows, one partition at a time
-        bits[row["byte"]] |= row["bits"]
-    return bits
-
-
-ALIGNED = ("doc_id long, item_id long, item_windows long, places array<long>, longest long, "
+                yield _window_batch(keys.slice(at, len(group)), list(group_windows(group, widths, wanted.value, memo)))
+                at += len(group)
+
+    return docs.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _windows(kind))
+
+
+ALIGNED = ("item_id long, item_windows long, places array<long>, longest long, "
            "first_word long, last_word long, changed boolean")
 
 
@@ -242,22 +281,27 @@ def aligned(hits: list[dict], shift: int) -> tuple | None:
     return places, longest, places[0] + shift, places[-1] + width - 1 + shift, len(same) < len(places)
 
 
-def _alignments(batches):
-    """One row per (document, item, alignment) that has consistent windows."""
-    types = (*[pa.int64()] * 3, pa.list_(pa.int64()), *[pa.int64()] * 3, pa.bool_())
-    names = [x.split()[0] for x in ALIGNED.split(", ")]
-    for batch in batches:
-        rows = []
-        for at in range(0, batch.num_rows, 256):
-            for r in batch.slice(at, 256).to_pylist():
-                line = aligned(r["hits"], r["shift"])
-                if line:
-                    rows.append((r["doc_id"], r["item_id"], r["item_windows"], *line))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+def _alignments(kind: str):
+    """Function to one row per (document, item, alignment) that has consistent windows."""
+    key = {"long": pa.int64(), "binary": pa.binary()}[kind]
+    types = (key, *[pa.int64()] * 2, pa.list_(pa.int64()), *[pa.int64()] * 3, pa.bool_())
+    names = ["doc_id", *(x.split()[0] for x in ALIGNED.split(", "))]
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for at in range(0, batch.num_rows, 256):
+                for r in batch.slice(at, 256).to_pylist():
+                    line = aligned(r["hits"], r["shift"])
+                    if line:
+                        rows.append((r["doc_id"], r["item_id"], r["item_windows"], *line))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run: int = RUN) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run: int = RUN, least_words: int = 1, kind: str = "long") -> DataFrame:
     """(doc_id, item_id, windows, item_windows, coverage, first_word, last_word, changed): documents that hold an item.
 
     Per alignment of a text with an item, matching windows count unless their
@@ -270,19 +314,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run
     with their own values only, in any case; so every window of an item is usable.
     Items that share a text are reported each; null and empty texts and items
     without words match nothing; repeated rows count once; an item with a null id is out; extra columns are ignored.
+    Items under ``least_words`` words are not looked for. ``kind`` is the type of doc_id, long or binary.
     """
     spark = docs.sparkSession
-    items = stored(template_windows(benchmark.where("item_id is not null and text is not null"), "item_id", None), "items").select(
+    items = stored(item_windows(benchmark.where("item_id is not null and text is not null"), "item_id").where(F.col("width") >= least_words), "items").select(
         F.col("doc_id").alias("item_id"), F.col("n_windows").alias("item_windows"), "width", "hash", F.col("place").alias("item_place"),
         F.col("slots").alias("item_slots"), "fixed").distinct()
     widths = sorted(r[0] for r in items.select("width").distinct().collect())  # at most WIDTH values
-    wanted = spark.sparkContext.broadcast(_filter(items))
-    hits = template_windows(docs, "doc_id", widths, wanted).select("doc_id", "width", "hash", "place", "slots").distinct()
+    wanted = spark.sparkContext.broadcast(bit_filter(items))
+    hits = text_windows(docs, widths, wanted, kind).select("doc_id", "width", "hash", "place", "slots").distinct()
     few = items.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     both = hits.join(F.broadcast(items) if few else items, ["width", "hash"]).where(
         ~F.col("fixed") | (F.get("item_slots", F.lit(0)) == F.get("slots", F.lit(0))))
     lined = both.groupBy("doc_id", "item_id", "item_windows", (F.col("place") - F.col("item_place")).alias("shift")).agg(
-        F.collect_list(F.struct("item_place", "width", "item_slots", "slots")).alias("hits")).mapInArrow(_alignments, ALIGNED)
+        F.collect_list(F.struct("item_place", "width", "item_slots", "slots")).alias("hits")).mapInArrow(_alignments(kind), f"doc_id {kind}, {ALIGNED}")
     found = lined.groupBy("doc_id", "item_id", "item_windows").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("windows"), F.max("longest").alias("longest"),
         F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.bool_or("changed").alias("changed"))
@@ -292,6 +337,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents without those that hold a benchmark item; columns stay as they are."""
-    found = stored(leaks(docs, benchmark).select("doc_id").distinct(), "leaks")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Documents without those that hold a benchmark item of LEAST_WORDS words or more; columns stay as they are.
+
+    A shorter item, such as one name, is part of ordinary texts; :func:`leaks`
+    reports it, but it removes nothing. Rows are judged by their texts, whatever
+    doc_id they have, so rows with a null doc_id go too and others of the same
+    doc_id stay.
+    """
+    name = free_name(docs, "digest")
+    digest = F.unhex(F.md5(F.col("text").cast("string").cast("binary")))
+    found = stored(leaks(docs.select(digest.alias("doc_id"), "text"), benchmark, least_words=LEAST_WORDS, kind="binary").select(
+        F.col("doc_id").alias(name)).distinct(), "leaks")
+    return docs.withColumn(name, digest).join(found, name, "left_anti").select(*docs.columns)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from ledgerlens.llm import decontam
 
 ITEM = "In the town hall Maria bought 12 kg of apples and 3 pears, then Maria gave 12 kg to the school near the old river."
@@ -63,7 +64,7 @@ def test_odd_rows(spark, docs_of, odd_rows):
     docs = docs_of(rows)
     kept = decontam.without_leaks(docs, items)
     assert kept.columns == docs.columns
-    assert kept.count() == len(rows) - 2  # a row without an id can't be told from others and stays
+    assert kept.count() == len(rows) - 3  # a row without an id goes by its text too
     assert decontam.leaks(docs_of([]), items).count() == 0
     assert decontam.leaks(docs, bench(spark, [])).count() == 0
 
@@ -116,3 +117,31 @@ def test_one_contradiction_loses_only_its_windows(spark, docs_of):
     assert set(got) == {(0, 0), (1, 0)}
     n = got[0, 0]["item_windows"]
     assert got[0, 0]["windows"] == n - 8 and got[1, 0]["windows"] == n - 16
+
+
+def test_rows_go_by_their_texts(spark, docs_of):
+    items = bench(spark, [(1, ITEM), (2, "Paris"), (3, "name Three primes"), (4, "what is the capital of France")])
+    rows = [(4, f"see {ITEM}"), (4, "a clean text"), (None, f"and {ITEM}"), (None, "999"), (5, "I saw Paris, name Three primes"), (6, "What is the capital of France?"), (7, None), (8, "")]
+    kept = [(r["doc_id"], r["text"]) for r in decontam.without_leaks(docs_of(rows).withColumnRenamed("path", "digest"), items).collect()]
+    assert sorted(kept, key=repr) == sorted([rows[1], *rows[3:5], *rows[6:]], key=repr)
+    reported = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs_of(rows), items).collect()}
+    assert {(5, 2), (5, 3), (4, 1), (None, 1), (6, 4)} == reported
+
+
+def test_groups_and_single_texts_have_the_same_windows():
+    rng = random.Random(11)
+    words = ["Anna", "12", "kg", "went", "home", "Bonn", "and", "3.5", "saw", "red", "plums", "Otto", "km.", "end!", "x"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 40))).encode() for _ in range(200)] + [b"", b"...", b"kg", b"a 7 b"]
+    every, memo = np.full(1 << 24, 255, np.uint8), decontam.new_memo()
+    widths = [1, 2, 3, 5, 8]
+    whole = list(decontam.group_windows(texts, widths, every, memo))
+    alone = [(i, *row[1:]) for i, text in enumerate(texts) for row in decontam.group_windows([text], widths, every, memo)]
+    assert sorted(whole, key=repr) == sorted(alone, key=repr) and len(whole) > 5000
+    for i, text in enumerate(texts):
+        kinds = decontam.canonical(decontam.codes(text, memo))[1]
+        for width in widths:
+            places = sorted(r[4] for r in whole if r[0] == i and r[2] == width)
+            literal = decontam.literals(kinds, width) if len(kinds) >= width else []
+            # one window per template with literal words enough, one more where there are placeholders
+            good = [p for p, n in enumerate(literal) if decontam.enough(n, width)] + [p for p, n in enumerate(literal) if n < width]
+            assert places == sorted(good)

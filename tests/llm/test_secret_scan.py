@@ -64,3 +64,15 @@ def test_main_path_is_native(spark):
     paths, ledger, findings = secret_scan.scan_versions(versions_of(spark, [("a", "token=abcdef1")]))
     plan = secret_scan.by_path(paths, findings)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_clean_leaves_other_columns_alone(spark):
+    shape = "doc_id long, text string, blob string, spans string, _blob string, _spans int, _old string, old string, n_chars long"
+    rows = [(1, "token=abcdef99 x", "b", "s", "B", 7, "O", "o", 16), (2, "fine", "b", "s", "B", 7, "O", "o", 4)]
+    docs = spark.createDataFrame(rows, shape)
+    got = sorted(map(tuple, secret_scan.clean(docs).collect()))
+    assert got == [(1, "<secret> x", *rows[0][2:]), rows[1]]
+    import corpus_pipeline
+
+    got = sorted(map(tuple, corpus_pipeline.remove_secrets(spark, docs, "").collect()))
+    assert got == [(1, "<secret> x", *rows[0][2:-1], 10), rows[1]]
