@@ -14,13 +14,19 @@ BLOCK_BYTES = 1 << 16
 
 
 def trained(samples: list[bytes], size: int) -> bytes:
-    """Dictionary content from samples; their plain text where there are too few to train on."""
+    """Dictionary content from samples; where there are too few to train on, the last whole ones that fit."""
     if not samples:
         return b""
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
-        return b"\n".join(samples)[-size:]
+        kept, left = [], size
+        for sample in reversed(samples):
+            if len(sample) >= left:
+                break
+            kept.append(sample)
+            left -= len(sample) + 1
+        return b"\n".join(reversed(kept)) or samples[-1][-size:]
 
 
 def sizer(content: bytes, raw: bool = False, level: int = LEVEL):

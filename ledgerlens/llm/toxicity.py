@@ -1,14 +1,16 @@
 """Toxicity by compression distance.
 
-One zstandard dictionary is trained on ordinary text; the toxic one holds the same
-text and the segments that toxic text has and ordinary text lacks, so common prose
-costs the same under both. A window's compression distance is what the toxic
-dictionary saves. The windows beyond a calibrated threshold make the score.
+Two zstandard dictionaries are trained, one on ordinary text and one on the parts
+of toxic windows that a likelihood ratio singles out, since toxic documents are
+mostly ordinary prose. The toxic one is laid before the ordinary one, so common
+prose costs the same with and without it. A window's compression distance is what
+the toxic dictionary saves. The windows beyond a calibrated threshold make the score.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from dataclasses import dataclass
 
@@ -23,7 +25,9 @@ from ledgerlens.llm.quality import calibrated
 WINDOW = 160
 GRAM = 6
 LEVEL = 6
-ORDINARY_BYTES, TOXIC_BYTES = 1 << 15, 1 << 13
+ORDINARY_BYTES, TOXIC_BYTES = 1 << 15, 1 << 14
+#: Samples of fewer bytes are of no use to the trainer, so shorter ones are repeated.
+LEAST_SAMPLE = 16
 NAMES = ["highest", "best_three", "mean", "beyond_two", "share", "count", "excess", "windows"]
 
 
@@ -105,11 +109,20 @@ def segments(toxic: list[bytes], ordinary: list[bytes], ratio: float = 8.0) -> l
     return kept[::-1]
 
 
+def toxic_parts(toxic: list[bytes], chosen: list[bytes]) -> list[bytes]:
+    """Training samples: of every window with a chosen segment, its segments, the longest first where they overlap."""
+    if not chosen:
+        return []
+    pattern = re.compile(b"|".join(re.escape(s) for s in sorted(chosen, key=lambda s: (-len(s), s))))
+    found = (b"\n".join(pattern.findall(w)) + b"\n" for c in toxic for w in windows(c) if pattern.search(w))
+    return [part * -(-LEAST_SAMPLE // len(part)) for part in found]
+
+
 def _distances(ordinary: bytes, toxic: bytes):
     """Bytes that the toxic dictionary saves, window by window.
 
-    Its own segments come before the ordinary text, which so lies at the same
-    distance from a window under either dictionary.
+    It comes before the ordinary one, which so lies at the same distance from a
+    window either way.
     """
     sizes: list = []
 
@@ -137,18 +150,20 @@ def _compute(ordinary: bytes, toxic: bytes, threshold: int):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, chunk_chars: int = 1500, chunks: int = 3000, documents: int = 2000, calibration_rows: int = 10_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train: Column, chunk_chars: int = 1500, chunks: int = 3000, documents: int = 2000, calibration_rows: int = 10_000,
+        ordinary_bytes: int = ORDINARY_BYTES, toxic_bytes: int = TOXIC_BYTES) -> Model:
     """Dictionaries from one half of the labelled training rows; threshold and weights from the other.
 
     The threshold is the distance that one in 200 ordinary windows reaches, 3
     bytes at least. Bounds: ``documents`` documents and ``chunks`` chunks of them per
-    label, ``calibration_rows`` rows.
+    label, ``calibration_rows`` rows, ``ordinary_bytes`` and ``toxic_bytes`` of
+    dictionary, which the trainer fills with what its samples repeat most.
     """
     rows = C.labelled(docs, labels, "toxic", train, documents, calibration_rows)
     found = C.chunk_sample(rows.where("half = 0"), chunk_chars, chunks)
     toxic, plain = ([x.lower().encode() for x in found[v]] for v in (1, 0))
-    ordinary = C.trained([w for c in plain for w in windows(c)], ORDINARY_BYTES)
-    special = b"\n".join(segments(toxic, plain))[-TOXIC_BYTES:]
+    ordinary = C.trained([w for c in plain for w in windows(c)], ordinary_bytes)
+    special = C.trained(toxic_parts(toxic, segments(toxic, plain)), toxic_bytes)
     other = C.chunk_sample(rows.where("half = 1 and label = 0"), chunk_chars, max(1, chunks // 6))[0]
     distances = _distances(ordinary, special)
     usual = [distances(x.lower().encode()) for x in other]

@@ -33,7 +33,7 @@ def test_quality_held_out(spark):
 
 def test_toxicity_held_out_with_few_labels(spark):
     area, right = held_out(spark, ROOT, queries.op5_toxicity, "toxic")
-    assert area >= 0.75 and right[0] >= 0.97
+    assert area >= 0.85 and right[0] >= 0.97 and right[1] >= 0.4
 
 
 @pytest.mark.skipif(not os.path.isdir(LARGE), reason="needs the larger labelled tables")
@@ -72,3 +72,51 @@ def test_block_sizes_add_up():
     size = compression.sizer(b"")
     data = bytes(np.random.default_rng(1).integers(97, 123, 200_000, np.uint8))
     assert compression.whole_size(size, data) == sum(size(data[at:at + compression.BLOCK_BYTES]) for at in range(0, len(data), compression.BLOCK_BYTES))
+
+
+def test_distances_are_what_the_toxic_dictionary_saves():
+    import zstandard
+
+    rng = np.random.default_rng(3)
+    words = ["".join(map(chr, rng.integers(97, 123, 6))) for _ in range(80)]
+    plain = [" ".join(rng.choice(words, 40)).encode() for _ in range(200)]
+    toxic = [" ".join([*rng.choice(words, 20), "dreadful scoundrel", *rng.choice(words, 20)]).encode() for _ in range(200)]
+    ordinary = compression.trained([w for c in plain for w in toxicity.windows(c)], 1 << 12)
+    special = compression.trained(toxicity.toxic_parts(toxic, toxicity.segments(toxic, plain)), 1 << 12)
+    assert b"scoundrel" in special and not any(w.encode() in special for w in words)
+
+    def size(content, data):
+        given = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=given, write_content_size=False, write_checksum=False, write_dict_id=False).compress(data))
+
+    for data in (toxic[0] + plain[0], plain[1], b"", b"x"):
+        want = [size(ordinary, w) - size(special + b"\n" + ordinary, w) for w in toxicity.windows(data)] or [0]
+        got = toxicity._distances(ordinary, special)(data)
+        assert got.tolist() == want and (got.max() > 3) == (b"scoundrel" in data)
+        d = sorted(want, reverse=True)
+        row = toxicity._compute(ordinary, special, 3)([data.decode()])[0]
+        assert row[:3] == (d[0], sum(d[:3]) / len(d[:3]), sum(d) / len(d)) and row[4] == sum(x >= 3 for x in d) / len(d)
+
+
+def test_quality_features_are_sizes():
+    import math
+
+    import zstandard
+
+    rng = np.random.default_rng(4)
+    text = lambda n: " ".join("".join(map(chr, rng.integers(97, 110, 5))) for _ in range(n))
+    good, bad = (compression.trained([text(60).encode() for _ in range(300)], 1 << 13) for _ in range(2))
+
+    def size(content, data):
+        given = {"dict_data": zstandard.ZstdCompressionDict(content)} if content else {}
+        return len(zstandard.ZstdCompressor(level=compression.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, **given).compress(data))
+
+    for data in (text(100), "", "ü" * 30):
+        raw = data.encode()
+        plain, a, b, n = size(b"", raw), size(good, raw), size(bad, raw), max(1, len(raw))
+        assert quality._compute(good, bad)([data])[0] == pytest.approx(((a - b) / plain, min(2, plain / n), min(2, a / n), min(2, b / n), math.log1p(n)))
+
+
+def test_too_few_samples_are_kept_whole():
+    assert compression.trained([b"abc", b"defg", b"hi"], 8) == b"defg\nhi" and compression.trained([], 8) == b""
+    assert compression.trained([b"x" * 20], 8) == b"x" * 8
