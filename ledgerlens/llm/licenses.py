@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from itertools import chain
+from itertools import chain, groupby
 from pathlib import Path
 
 import numpy as np
@@ -179,6 +179,33 @@ class Index:
         return found
 
 
+def outermost(found: list[tuple[int, int, int, int]], strength) -> list[tuple[int, int, int, int]]:
+    """Places that no place of greater strength contains, in their order; n log n in their number.
+
+    Places are taken by first word, the widest first. A Fenwick tree over the last
+    words knows the greatest strength seen that reaches at least as far.
+    """
+    ranks = {s: i + 1 for i, s in enumerate(sorted({strength(f) for f in found}))}
+    ends = {e: i + 1 for i, e in enumerate(sorted({f[3] for f in found}, reverse=True))}
+    most, kept = [0] * (len(ends) + 1), set()
+    order = sorted(range(len(found)), key=lambda i: (found[i][2], -found[i][3]))
+    for _, same in groupby(order, key=lambda i: found[i][2:]):
+        same = list(same)
+        for i in same:
+            at, rank = ends[found[i][3]], ranks[strength(found[i])]
+            while at < len(most):
+                most[at] = max(most[at], rank)
+                at += at & -at
+        for i in same:
+            at, best = ends[found[i][3]], 0
+            while at:
+                best = max(best, most[at])
+                at -= at & -at
+            if best <= ranks[strength(found[i])]:
+                kept.add(i)
+    return [f for i, f in enumerate(found) if i in kept]
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None, least: float = LEAST) -> DataFrame:
     """One row per place of a document where ``least`` of a template's words stand in order.
 
@@ -210,9 +237,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | DataFrame | None
                 for data in group:
                     parts = [np.fromiter(chain.from_iterable(memo.values_of(w)), np.int64) for w in word_lists(data)]
                     found = index.scan(np.concatenate(parts), least)
-                    found = [
-                        f for f in found if not any(
-                            g[2] <= f[2] and f[3] <= g[3] and strength(g) > strength(f) for g in found)]
+                    found = outermost(found, strength)
                     spans = [m.span() for m in WORD.finditer(data.decode())] if found else []
                     for t, matched, first, last in found:
                         total = len(index.words[t])

@@ -73,3 +73,23 @@ def test_whole_texts_relatives_and_a_callers_table(spark, docs_of):
     table = spark.createDataFrame([("own", "use it as you like on Sundays"), ("own", "free for any use by anyone"), ("x", None)], "license string, text string")
     out = licenses.scan_licenses(docs_of([(1, "so use it as you like on sundays"), (2, "it is free for any use by anyone"), (3, "foo")]), table).collect()
     assert sorted((r["doc_id"], r["license"]) for r in out) == [(1, "own"), (2, "own")]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(1, 6), st.integers(0, 12), st.integers(0, 6)), max_size=25))
+def test_outermost_places(rows):
+    found = [(t, n, first, first + more) for t, n, first, more in rows]
+    strength = lambda f: (f[1], -f[0])
+    want = [f for f in found if not any(g[2] <= f[2] and f[3] <= g[3] and strength(g) > strength(f) for g in found)]
+    assert licenses.outermost(found, strength) == want
+
+
+def test_many_notices_in_one_text(docs_of):
+    import time
+
+    notice = licenses.TEMPLATES["mit"] if "mit" in licenses.TEMPLATES else next(iter(licenses.TEMPLATES.values()))
+    began = time.time()
+    found = [(i % 3, 5 + i % 2, 10 * i, 10 * i + 9) for i in range(40_000)]
+    assert len(licenses.outermost(found, lambda f: (f[1], -f[0]))) == 40_000 and time.time() - began < 10
+    got = licenses.scan_licenses(docs_of([(1, (notice + " and so on. ") * 300)])).collect()
+    assert len(got) >= 300
