@@ -359,12 +359,13 @@ def roll_periods(subs: DataFrame, now: Column) -> DataFrame:
     ).withColumn("current_period_start", F.col("_start")).drop("_start")
 
 
-def rebuild_counters(subs: DataFrame, tokens: DataFrame, resources: DataFrame) -> DataFrame:
-    """Period counters as sums of the records inside each period (end excluded).
+#: Amounts of a day and the period counters they add up to.
+DAY_COUNTERS = {"_t": "tokens_used_this_period", "_p": "llamaparse_pages_used",
+                "_q": "file_search_queries_used", "_s": "storage_used_bytes"}
 
-    Periods start and end at midnight, so records are first summed per
-    organisation and day; the join then carries days, not events.
-    """
+
+def daily_amounts(tokens: DataFrame, resources: DataFrame) -> DataFrame:
+    """(org_id, day, _t, _p, _q, _s): tokens, pages, searches and bytes of each organisation and day."""
     kind = F.col("resource_type")
 
     def amount(name: str) -> Column:
@@ -380,20 +381,31 @@ def rebuild_counters(subs: DataFrame, tokens: DataFrame, resources: DataFrame) -
         amount("file_search_queries").cast("long").alias("_q"),
         amount("storage_bytes").cast("long").alias("_s"),
     ))
-    daily = stacked.groupBy("org_id", "day").agg(*[F.sum(c).alias(c) for c in ("_t", "_p", "_q", "_s")])
+    return stacked.groupBy("org_id", "day").agg(*[F.sum(c).alias(c) for c in DAY_COUNTERS])
+
+
+def counters_from_days(subs: DataFrame, daily: DataFrame) -> DataFrame:
+    """Period counters as sums of the days inside each period (end excluded); periods start and end at midnight."""
     periods = subs.select("org_id", F.to_date("current_period_start").alias("_from"),
                           F.to_date("current_period_end").alias("_to"))
     sums = daily.join(periods, "org_id").filter(
         (F.col("day") >= F.col("_from")) & (F.col("day") < F.col("_to"))
-    ).groupBy("org_id").agg(*[F.sum(c).alias(c) for c in ("_t", "_p", "_q", "_s")])
-    names = {"_t": "tokens_used_this_period", "_p": "llamaparse_pages_used",
-             "_q": "file_search_queries_used", "_s": "storage_used_bytes"}
-    out = subs.drop(*names.values()).join(sums, "org_id", "left")
-    for short, name in names.items():
+    ).groupBy("org_id").agg(*[F.sum(c).alias(c) for c in DAY_COUNTERS])
+    out = subs.drop(*DAY_COUNTERS.values()).join(sums, "org_id", "left")
+    for short, name in DAY_COUNTERS.items():
         out = out.withColumn(name, F.coalesce(short, F.lit(0).cast("long"))).drop(short)
     return out.select(*subs.columns)
 
 
+def rebuild_counters(subs: DataFrame, tokens: DataFrame, resources: DataFrame) -> DataFrame:
+    """Period counters as sums of the records inside each period (end excluded).
+
+    Records are first summed per organisation and day; the join then carries days,
+    not events.
+    """
+    return counters_from_days(subs, daily_amounts(tokens, resources))
+
+
 def apply_deltas(state: DataFrame, deltas: DataFrame, key: str, value: str, delta: str,
                  order: Sequence[Column], bucket: Column) -> DataFrame:
     """State after deltas applied in order, each step clamped at zero."""

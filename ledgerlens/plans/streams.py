@@ -80,6 +80,29 @@ def live_counters(t):
         "period_start", F.col("period_start").cast("timestamp_ntz"))
 
 
+@query("e3_period_counters", """
+WITH u AS (SELECT org_id, created_at, total_tokens AS t, 0 AS p, 0 AS q FROM $token_usage
+ UNION ALL SELECT org_id, created_at, 0, CASE WHEN resource_type = 'llamaparse_pages' THEN amount ELSE 0 END,
+  CASE WHEN resource_type = 'file_search_queries' THEN amount ELSE 0 END FROM $resource_usage),
+n AS (SELECT max(created_at) AS newest FROM u),
+s AS (SELECT org_id, CASE WHEN current_period_end < newest THEN date_trunc('month', newest) ELSE current_period_start END AS a,
+  CASE WHEN current_period_end < newest THEN date_trunc('month', newest) + INTERVAL 1 MONTH ELSE current_period_end END AS b FROM $subscriptions, n)
+SELECT s.org_id, CAST(s.a AS TIMESTAMP) AS current_period_start, CAST(COALESCE(SUM(u.t), 0) AS BIGINT) AS tokens_used_this_period,
+ CAST(COALESCE(SUM(u.p), 0) AS BIGINT) AS llamaparse_pages_used, CAST(COALESCE(SUM(u.q), 0) AS BIGINT) AS file_search_queries_used
+FROM s LEFT JOIN u ON u.org_id = s.org_id AND u.created_at >= s.a AND u.created_at < s.b GROUP BY 1, 2""")
+def period_counters(t):
+    """Usage in several micro-batches; periods that end on the way start anew."""
+    usage = t.token_usage.select("org_id", "created_at", "total_tokens", F.lit(None).cast("string").alias("resource_type"), F.lit(0).cast("long").alias("amount"))
+    usage = usage.unionByName(t.resource_usage.select("org_id", "created_at", F.lit(0).cast("long").alias("total_tokens"), "resource_type", F.col("amount").cast("long")))
+    root = shared_dir(t.spark, "periods")
+    usage.repartitionByRange(3, "created_at").write.parquet(f"{root}/in")
+    stream = t.spark.readStream.schema(usage.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    I.count_periods(stream, t.subscriptions, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return I.read_periods(t.spark, f"{root}/out").select(
+        "org_id", F.col("current_period_start").cast("timestamp_ntz").alias("current_period_start"), "tokens_used_this_period",
+        "llamaparse_pages_used", "file_search_queries_used")
+
+
 def notices(t):
     """Storage notices: valid uploads with hidden, foreign and unsupported ones mixed in."""
     case = F.col("event_id") % 13
@@ -102,6 +125,35 @@ def ingest_uploads(t):
     return I.read_batches(t.spark, f"{out}/actions").select("event_id", "action")
 
 
+@query("e4_ingest_uploads_ended", """
+WITH e AS (SELECT *, ts >= (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events) AS second_half FROM $uploads WHERE event_id % 13 NOT IN (1, 2, 3, 4)),
+u AS (SELECT *, CASE WHEN CAST(folder AS INT) % 2 = 0 AND second_half THEN 1 ELSE 0 END AS job FROM e),
+f AS (SELECT folder, job, file, min((ts, event_id)) AS first FROM u GROUP BY ALL),
+a AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY folder, job ORDER BY first) <= 10)
+SELECT u.event_id, CASE WHEN a.first IS NULL THEN 'limit_exceeded' WHEN a.first = (u.ts, u.event_id) THEN 'added' ELSE 'exists' END AS action
+FROM u LEFT JOIN a ON u.folder = a.folder AND u.job = a.job AND u.file = a.file""")
+def ingest_uploads_ended(t):
+    """Two micro-batches; the jobs of even folders end in between."""
+    rows = notices(t)
+    middle = rows.agg((F.unix_micros(F.min("ts").cast("timestamp")) + (
+        F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 2).alias("m")).first()["m"]
+    late = F.unix_micros(F.col("ts").cast("timestamp")) >= F.lit(middle)
+    root = shared_dir(t.spark, "uploads")
+    out = f"{root}/out"
+
+    def ended(spark):
+        documents = I.read_batches(spark, f"{out}/documents")
+        if documents is None:
+            return spark.createDataFrame([], "bulk_job_id string")
+        return documents.filter(F.col("folder").cast("int") % 2 == 0).select("bulk_job_id")
+
+    for part in (rows.filter(~late), rows.filter(late)):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = t.spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+        I.ingest_uploads(stream, out, f"{root}/checkpoint", ended=ended).awaitTermination()
+    return I.read_batches(t.spark, f"{out}/actions").select("event_id", "action")
+
+
 QUIET = 600
 
 
@@ -180,6 +232,20 @@ def sessions_stream(t):
                         "query_count", F.col("total_tokens_used").cast("long").alias("total_tokens_used"), "documents")
 
 
+@query("e7_sessions_job", f"""
+WITH {SESSIONS_SQL}
+SELECT user_id, min(ts) AS session_start, COUNT(*) AS query_count, CAST(SUM(CAST(floor(value) AS BIGINT)) AS BIGINT) AS total_tokens_used,
+ CAST(SUM(CAST(floor(value * 2) AS BIGINT)) AS BIGINT) AS total_processing_time_ms, COUNT(DISTINCT props) AS documents FROM g GROUP BY user_id, sid
+HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events)""")
+def sessions_job(t):
+    """Late rows set aside, then sessions, with the elapsed time."""
+    stream, out, checkpoint = replay(t, t.events.select("user_id", "ts", "value", "props"), "sessions")
+    Z.sessions_job(stream, "user_id", "ts", out, checkpoint, tokens=F.floor("value"), elapsed=F.floor(F.col("value") * 2), document=F.col("props"))
+    return I.read_batches(t.spark, f"{out}/sessions").select(
+        "user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "query_count",
+        *[F.col(c).cast("long").alias(c) for c in ("total_tokens_used", "total_processing_time_ms", "documents")])
+
+
 @query("e8_live_progress", """
 WITH d AS (SELECT user_id % 30 AS bulk_job_id, user_id * 100 + CAST(json_extract_string(props, '$' || '.k') AS BIGINT) AS id,
   arg_max(CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'parsing' WHEN 'click' THEN 'completed' WHEN 'purchase' THEN 'completed' ELSE 'failed' END, (ts, event_id)) AS status FROM events GROUP BY 1, 2)

@@ -16,9 +16,10 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgerlens.functions import constants as K
 from ledgerlens.operators.filters import extension, file_name
 from ledgerlens.operators.joins import attach_cost, exact_prices
-from ledgerlens.operators.maintenance import dedupe_requests
+from ledgerlens.operators.maintenance import DAY_COUNTERS, counters_from_days, daily_amounts, dedupe_requests, roll_periods
 from ledgerlens.operators.ordering import first_n, latest_per_key
 from ledgerlens.operators.textjobs import derive_audit_fields
+from ledgerlens.streaming.known_ids import KnownIds
 
 WATERMARK = "1 hour"
 
@@ -66,12 +67,10 @@ def ingest_usage(stream: DataFrame, out: str, checkpoint: str, delay: str = WATE
                  trigger: dict | None = None) -> StreamingQuery:
     """Usage events into ``token_usage``, ``resource_usage`` and ``late``.
 
-    The first write of a request id wins. A batch compares its ids only with
-    stored days that the watermark still covers, so the look-back stays bounded;
-    rows older than the watermark go to ``late``, none is dropped. The watermark
-    is the newest event time of earlier batches minus ``delay``. An id that comes
-    again with a fresh time after its first row's day has left the watermark is
-    stored again: uniqueness holds within the look-back.
+    The first write of a request id wins, however long ago it was: stored ids are
+    kept per table in :class:`KnownIds`, which a batch asks without reading history.
+    Rows older than the watermark go to ``late``, none is dropped. The watermark is
+    the newest event time of earlier batches minus ``delay``.
     """
     names = ("token_usage", "resource_usage")
 
@@ -80,18 +79,20 @@ def ingest_usage(stream: DataFrame, out: str, checkpoint: str, delay: str = WATE
         newest = None if number == 0 else spark.read.parquet(f"{out}/progress/batch={number - 1}").first()[0]
         mark = None if newest is None else F.lit(newest) - F.expr(f"INTERVAL {delay}")
         late = F.lit(False) if mark is None else F.coalesce(F.col("created_at") < mark, F.lit(False))
+        kind = batch.schema["request_id"].dataType.simpleString()
         rows = batch.persist()
         try:
             timely = rows.filter(~late)
             for name, shaped in zip(names, (shape_tokens(timely), shape_resources(timely))):
-                stored = read_batches(spark, f"{out}/{name}", number)
-                known = None
-                if stored is not None and mark is not None:
-                    known = stored.filter((F.col("day") >= F.to_date(mark)) & F.col("request_id").isNotNull())
-                fresh = dedupe_requests(shaped, known, "request_id", ["created_at"])
+                known = KnownIds(spark, f"{out}/known/{name}", kind)
+                known.fold(number)
+                seen = known.before(number).withColumnRenamed("id", "request_id")
+                fresh = dedupe_requests(shaped, seen, "request_id", ["created_at"])
                 # a day is written by as many tasks as its size asks for
                 dated = fresh.withColumn("day", F.to_date("created_at")).hint("rebalance", "day")
                 write_batch(dated, f"{out}/{name}", number, ["day"])
+                written = spark.read.schema(dated.schema).parquet(f"{out}/{name}/batch={number}")
+                known.add(written.select(F.col("request_id").alias("id")), number)
             write_batch(rows.filter(late), f"{out}/late", number)
             latest = F.max("created_at") if newest is None else F.greatest(F.max("created_at"), F.lit(newest))
             write_batch(rows.agg(latest.alias("newest")), f"{out}/progress", number)
@@ -188,6 +189,73 @@ def read_counters(spark: SparkSession, out: str) -> DataFrame:
         F.sum("total_tokens").alias("total_tokens"), F.sum("total_requests").alias("total_requests"))
 
 
+def _slot(out: str, name: str, batch: int) -> str:
+    return f"{out}/{name}/slot={batch % 2}"
+
+
+def count_periods(stream: DataFrame, subs: DataFrame, out: str, checkpoint: str,
+                  changes: Callable[[SparkSession], DataFrame] | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Counters of every organisation's current billing period, kept up to date by a stream of usage.
+
+    ``stream`` has org_id, created_at, total_tokens, resource_type and amount; a row
+    without a resource type is a token record. Each micro-batch joins the days of
+    usage with the periods they fall into. A period that the newest usage time has
+    passed restarts as :func:`maintenance.roll_periods` says; days before the current
+    period leave the state for ``closed``, so the state is the days of open periods.
+    ``changes`` gives new or altered subscriptions; what it gave is stored per batch,
+    so a repeated batch sees the same. State and subscriptions take two slots in
+    turn. Late rows count in the period they fall into, if it is the current one,
+    and go to ``closed`` otherwise; organisations without a subscription keep their
+    days until they get one.
+    """
+    def handle(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        days = daily_amounts(batch.filter(F.col("resource_type").isNull()), batch.filter(F.col("resource_type").isNotNull()))
+        latest = batch.agg(F.max("created_at").alias("newest"))
+        prior = subs
+        if number:
+            prior = spark.read.parquet(_slot(out, "subscriptions", number - 1)).drop("batch", "newest")
+            days = days.unionByName(spark.read.parquet(_slot(out, "days", number - 1)).drop("batch"))
+            before = spark.read.parquet(_slot(out, "progress", number - 1)).select("newest")
+            latest = latest.union(before).agg(F.max("newest").alias("newest"))
+        write(latest, "progress", number)
+        newest = spark.read.parquet(_slot(out, "progress", number)).first()["newest"]
+        if changes is not None:
+            write_once(changes(spark).select(*prior.columns), f"{out}/changes/batch={number}")
+            prior = upsert_rows(prior, spark.read.parquet(f"{out}/changes/batch={number}"), "org_id")
+        rolled = prior if newest is None else roll_periods(prior, F.lit(newest))
+        summed = days.groupBy("org_id", "day").agg(*[F.sum(c).alias(c) for c in DAY_COUNTERS])
+        starts = rolled.select("org_id", F.to_date("current_period_start").alias("_from"))
+        placed = summed.join(starts, "org_id", "left").withColumn("_over", F.coalesce(F.col("day") < F.col("_from"), F.lit(False)))
+        write_batch(placed.filter("_over").drop("_over", "_from"), f"{out}/closed", number)
+        write(placed.filter("not _over").drop("_over", "_from"), "days", number)
+        write(counters_from_days(rolled, spark.read.parquet(_slot(out, "days", number)).drop("batch")), "subscriptions", number)
+
+    def write(df: DataFrame, name: str, number: int) -> None:
+        df.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(_slot(out, name, number))
+
+    return start(stream, handle, checkpoint, trigger=trigger)
+
+
+def write_once(df: DataFrame, path: str) -> None:
+    """Write a folder unless a finished one is there; a repeated micro-batch finds what the first one saw."""
+    try:
+        df.write.mode("ignore").parquet(path)
+        df.sparkSession.read.parquet(path)
+    except AnalysisException:  # what an interrupted write left has no schema
+        df.write.mode("overwrite").parquet(path)
+
+
+def upsert_rows(table: DataFrame, changed: DataFrame, key: str) -> DataFrame:
+    return table.join(changed.select(key), key, "left_anti").unionByName(changed)
+
+
+def read_periods(spark: SparkSession, out: str) -> DataFrame:
+    """Subscriptions with current periods and counters, as of the last finished micro-batch."""
+    slots = spark.read.parquet(f"{out}/subscriptions/slot=*")
+    return slots.filter(F.col("batch") == slots.agg(F.max("batch").alias("b")).scalar()).drop("batch", "slot")
+
+
 def last_status(stream: DataFrame, key: str = "id", job: str = "bulk_job_id") -> DataFrame:
     """Latest status, tokens and pages per document, kept as streaming state."""
     newest = F.max_by(F.struct("status", "token_usage", "llamaparse_pages"), F.struct("updated_at", "seq"))
@@ -231,7 +299,8 @@ def ingest_uploads(stream: DataFrame, out: str, checkpoint: str, cap: int = K.MA
 
     A folder has one active job; an upload joins it, or opens a new one if there
     is none. ``ended`` gives the (bulk_job_id) of jobs that are no longer pending
-    or processing, read anew for each micro-batch. A job takes ``cap`` files; a
+    or processing, asked once for each micro-batch and kept, so that a repeated batch
+    sees the same. A job takes ``cap`` files; a
     path counts once per job. What is remembered is the files of active jobs, as
     a table that two slots take in turn, so a repeated batch finds the state
     before it, and neither history nor ended jobs are read again. Each micro-batch
@@ -249,7 +318,9 @@ def ingest_uploads(stream: DataFrame, out: str, checkpoint: str, cap: int = K.MA
             else:
                 active = spark.read.parquet(f"{out}/state/slot={(number - 1) % 2}")
             if ended is not None:
-                active = active.join(ended(spark).select("bulk_job_id").distinct(), "bulk_job_id", "left_anti")
+                write_once(ended(spark).select("bulk_job_id").distinct(), f"{out}/ended/batch={number}")
+                over = spark.read.schema("bulk_job_id string").parquet(f"{out}/ended/batch={number}")
+                active = active.join(over, "bulk_job_id", "left_anti")
             jobs = active.groupBy(*keys).agg(F.max("bulk_job_id").alias("open_job"), F.count(F.lit(1)).alias("used"))
             order = F.struct("ts", "event_id")
             firsts = uploads.groupBy(*keys, "path", "file_name").agg(F.min(order).alias("first"))

@@ -11,7 +11,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ledgerlens.functions import constants as K
 from ledgerlens.functions.skew import gap_bucket, islands
-from ledgerlens.streaming.ingest import event_time
+from ledgerlens.streaming.ingest import WATERMARK, event_time, set_late_aside, start, write_batch
 
 
 class Gate:
@@ -72,12 +72,13 @@ def admission(df: DataFrame, session: str, ts: str, key: str, most: int = K.ADMI
 
 
 class AdmissionProcessor(StatefulProcessor):
-    """Streaming twin of :func:`admission`; the state is the admitted times."""
+    """Streaming twin of :func:`admission`; the state is the admitted times, gone once none counts any more."""
 
-    def __init__(self, session: str, key: str, most: int, window: int):
-        self.session, self.key, self.most, self.window = session, key, most, window * 1_000_000
+    def __init__(self, session: str, key: str, most: int, window: int, expires: bool):
+        self.session, self.key, self.most, self.window, self.expires = session, key, most, window * 1_000_000, expires
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.times = handle.getValueState("times", "times array<bigint>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -87,16 +88,30 @@ class AdmissionProcessor(StatefulProcessor):
         gate = Gate(self.most, self.window, known[0] if known else ())
         found = _verdicts(gate, calls)
         self.times.update((list(gate.recent),))
+        if self.expires:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+            self.handle.registerTimer(-(-(gate.recent[-1] + self.window) // 1000))
         yield pd.concat([calls[[self.session, self.key]], found], axis=1)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The newest admitted call has left the window: whatever comes now finds an empty history."""
+        self.times.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
 def admission_stream(stream: DataFrame, session: str, ts: str, key: str, most: int = K.ADMIT_MAX,
-                     window: int = K.ADMIT_WINDOW_SECONDS) -> DataFrame:
-    """Admission over a stream; the state is at most ``most`` times per session and stays, since a timer
-    would keep a run over available data from ending."""
+                     window: int = K.ADMIT_WINDOW_SECONDS, delay: str | None = None) -> DataFrame:
+    """Admission over a stream; the state is at most ``most`` times per session.
+
+    With ``delay``, a session's state goes when the watermark has passed its newest
+    admitted call by the window, which changes no verdict; calls that come later
+    than ``delay`` are taken off first, by :func:`ingest.set_late_aside`. Without
+    it the state stays. ``maxFilesPerTrigger`` bounds a micro-batch.
+    """
     stream.sparkSession.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -105,9 +120,10 @@ def admission_stream(stream: DataFrame, session: str, ts: str, key: str, most: i
         T.StructField("admitted", T.BooleanType()), T.StructField("retry_after", T.IntegerType()),
         T.StructField("remaining", T.IntegerType()),
     ])
-    rows = stream.select(session, key, F.unix_micros(F.col(ts).cast("timestamp")).alias("at_us"))
+    rows = stream if delay is None else event_time(stream, ts).withWatermark(ts, delay)
+    rows = rows.select(session, key, *([ts] if delay is not None else []), F.unix_micros(F.col(ts).cast("timestamp")).alias("at_us"))
     return rows.groupBy(session).transformWithStateInPandas(
-        AdmissionProcessor(session, key, most, window), schema, "append", "none")
+        AdmissionProcessor(session, key, most, window, delay is not None), schema, "append", "none" if delay is None else "eventTime")
 
 
 def sessionise(df: DataFrame, user: str, ts: str, gap: int = K.SESSION_GAP_SECONDS,
@@ -155,3 +171,16 @@ def sessions_stream(stream: DataFrame, user: str, ts: str, gap: int = K.SESSION_
         user, F.col("w.start").alias("session_start"), "last_activity", F.col("w.end").alias("expires_at"), "query_count",
         "total_tokens_used", "total_processing_time_ms", "documents")
     return out if document is not None else out.drop("documents")
+
+
+def sessions_job(stream: DataFrame, user: str, ts: str, out: str, checkpoint: str, gap: int = K.SESSION_GAP_SECONDS,
+                 delay: str = WATERMARK, trigger: dict | None = None, **measures: Column) -> None:
+    """Sessions of a stream under ``sessions``, its late rows under ``late``; runs over what is available.
+
+    Rows later than ``delay`` are set aside first, so the watermark drops none.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+    set_late_aside(stream, ts, out, f"{checkpoint}/aside", delay, trigger).awaitTermination()
+    timely = spark.readStream.schema(schema).parquet(f"{out}/timely/batch=*")
+    closed = sessions_stream(timely, user, ts, gap, "0 seconds", **measures)
+    start(closed, lambda df, n: write_batch(df, f"{out}/sessions", n), f"{checkpoint}/sessions", trigger=trigger).awaitTermination()

@@ -125,3 +125,57 @@ def test_a_folder_opens_a_new_job_after_the_old_one_ended(spark, tmp_path):
     assert got == ["added", "added", "limit_exceeded", "added", "added", "limit_exceeded", "exists"]
     jobs = I.read_batches(spark, f"{out}/documents").groupBy("bulk_job_id").count().collect()
     assert sorted(r["count"] for r in jobs) == [2, 2]
+
+
+def test_an_id_repeated_a_year_later_is_stored_once(spark, tmp_path, monkeypatch):
+    from ledgerlens.streaming import known_ids
+
+    monkeypatch.setattr(known_ids.KnownIds.__init__, "__defaults__", ("string", 4, 2))  # four buckets, folded every second batch
+    minutes = [0, 1, 60 * 24 * 40, 60 * 24 * 366, 60 * 24 * 366 + 1, 60 * 24 * 367]
+    rows = [usage("a", minutes[0], tokens=1), usage("b", minutes[1]), usage("c", minutes[2]), usage("a", minutes[3], tokens=9), usage("d", minutes[4]),
+            usage("b", minutes[5], tokens=9)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    I.ingest_usage(feed(df, str(tmp_path / "in"), 6, "created_at"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    tokens = I.read_batches(spark, str(tmp_path / "out/token_usage"))
+    assert sorted((r.request_id, r.total_tokens) for r in tokens.collect()) == [("a", 1), ("b", 10), ("c", 10), ("d", 10)]
+    ids = known_ids.KnownIds(spark, str(tmp_path / "out/known/token_usage"))
+    assert sorted(r.id for r in ids.before(100 * 2).collect()) == [] and sorted(r.id for r in ids.before(5).collect()) == ["a", "b", "c", "d"]
+
+
+def test_known_ids_join_without_moving_history(spark, tmp_path):
+    from ledgerlens.streaming.known_ids import KnownIds
+
+    known = KnownIds(spark, str(tmp_path / "ids"), "long", buckets=8, fold_every=3)
+    for n in range(7):
+        known.fold(n)
+        assert known.before(n).distinct().count() == 1000 * n
+        known.add(spark.range(1000 * n, 1000 * n + 1000), n)
+        known.add(spark.range(1000 * n, 1000 * n + 1000), n)  # a repeated batch
+    assert known.before(6).distinct().count() == 6000  # what batch 6 stored is not there for batch 6
+    fresh = spark.range(5500, 8000).join(known.before(7), "id", "left_anti")
+    assert sorted(r.id for r in fresh.collect()) == list(range(7000, 8000))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = spark.range(10).join(known.before(7), "id", "left_anti")._jdf.queryExecution().sparkPlan().toString()
+        executed = spark.range(10).join(known.before(7), "id", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "Bucketed: true" in executed and executed.count("Exchange hashpartitioning") == 1, plan
+
+
+def test_admission_state_ends(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1)
+    rows = [(s, i, at + dt.timedelta(minutes=m)) for i, (s, m) in enumerate([("a", 0), ("a", 1), ("b", 2), ("a", 3), ("b", 600), ("a", 601), ("b", 1300), ("b", 2600)])]
+    df = spark.createDataFrame(rows, "session_id string, event_id int, at timestamp_ntz")
+    stream = feed(df, str(tmp_path / "in"), 8, "at")
+    verdicts = Z.admission_stream(stream, "session_id", "at", "event_id", 2, 3600, delay="10 minutes")
+    job = I.start(verdicts, lambda d, n: I.write_batch(d, str(tmp_path / "out"), n), str(tmp_path / "ck"))
+    job.awaitTermination()
+    cols = ["session_id", "event_id", "admitted", "retry_after", "remaining"]
+    got = I.read_batches(spark, str(tmp_path / "out")).select(cols)
+    want = Z.admission(df, "session_id", "at", "event_id", 2, 3600).select(cols)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    states = [p["stateOperators"][0]["customMetrics"] | {"rows": p["stateOperators"][0]["numRowsTotal"]} for p in job.recentProgress if p["stateOperators"]]
+    left = spark.read.format("statestore").option("stateVarName", "times").load(str(tmp_path / "ck")).count()
+    assert left <= 1, states  # of two sessions, only the last call can still count
