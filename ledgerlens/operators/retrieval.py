@@ -19,6 +19,7 @@ from ledgerlens.functions import constants as K
 from ledgerlens.functions import text as X
 from ledgerlens.functions.vectors import best_pairs, trim_pairs, unit_rows
 from ledgerlens.operators.ordering import first_n
+from ledgerlens.session import stored
 
 BLOCK_ROWS = 8_192
 BROADCAST_TERMS = 500_000
@@ -73,26 +74,38 @@ def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int, *, query_id: str
     """
     asked = queries.select(query_id, F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term"))
     few = asked.count() <= BROADCAST_TERMS  # of the same join, only the side that is copied depends on it
-    wanted = asked.select("term").distinct()
-    bags = chunks.select(chunk_id, terms(F.col(chunk_text)).alias("_terms")).withColumn("_len", F.size("_terms"))
+    # every chunk also has one empty term, whose rows give the number and mean length of all chunks
+    every = queries.sparkSession.range(1).select(F.lit("").alias("term"))
+    wanted = asked.select("term").union(every).distinct()
+    bags = chunks.select(chunk_id, terms(F.col(chunk_text)).alias("_terms"))
     postings = (
-        bags.select(chunk_id, "_len", F.explode("_terms").alias("term"))
+        bags.select(chunk_id, F.size("_terms").alias("_len"), F.explode(F.concat("_terms", F.array(F.lit("")))).alias("term"))
         .join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
-        .repartition(chunk_id)  # a chunk's words stay together, so its sums need no other shuffle
         .groupBy(chunk_id, "_len", "term").agg(F.count(F.lit(1)).alias("tf"))
     )
-    whole = bags.agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("mean"))
+    postings = stored(postings, "postings")  # texts are cut into words once
+    whole = postings.filter("term = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("mean"))
+    postings = postings.filter("term <> ''")
     total, mean = whole.select("n").scalar(), whole.select("mean").scalar()
-    idf = F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = inverse_frequency(total, F.col("df"))
     weighted = asked.join(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").select(
         query_id, "term", idf.alias("idf"))
-    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("_len") / mean))
-    found = postings.join(F.broadcast(weighted) if few else weighted, "term").groupBy(query_id, chunk_id).agg(F.sum(F.col("idf") * gain).alias("score"))
+    found = postings.join(F.broadcast(weighted) if few else weighted, "term").groupBy(query_id, chunk_id).agg(
+        F.sum(F.col("idf") * term_gain(F.col("tf"), F.col("_len"), mean, k1, b)).alias("score"))
     # sums of doubles depend on their order; rounding makes ranks repeatable
     found = found.withColumn("score", F.round("score", 9))
     return first_n(found, [query_id], [F.desc("score"), F.col(chunk_id)], k, "rank")
 
 
+def inverse_frequency(total: Column, df: Column) -> Column:
+    return F.log(1 + (total - df + 0.5) / (df + 0.5))
+
+
+def term_gain(tf: Column, length: Column, mean: Column, k1: float, b: float) -> Column:
+    """What ``tf`` occurrences in a chunk add per unit of inverse frequency; more with tf, less with length."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
+
+
 # --- vector retrieval -------------------------------------------------------
 
 TABLE_CELLS = 4_000_000
@@ -164,9 +177,9 @@ def hybrid_topk(keyword: DataFrame, semantic: DataFrame, k: int, *, query_id: st
     return first_n(fused, [query_id], [F.desc("score"), F.col(item)], k, "rank")
 
 
-def ivf_build(vectors: DataFrame, lists: int = 100, *, vector_id: str = "vec_id", embedding: str = "embedding",
+def ivf_build(vectors: DataFrame, lists: int | None = None, *, vector_id: str = "vec_id", embedding: str = "embedding",
               seed: int = 7) -> tuple[DataFrame, np.ndarray]:
-    """Vectors with their cell, and the cell centres (``lists`` rows, bounded).
+    """Vectors with their cell, and the cell centres (``lists`` rows, the root of the row count unless given).
 
     Centres are learnt from all vectors; every vector is then assigned in one
     map-only pass.
@@ -175,7 +188,7 @@ def ivf_build(vectors: DataFrame, lists: int = 100, *, vector_id: str = "vec_id"
     from pyspark.ml.functions import array_to_vector
 
     total = vectors.count()
-    lists = max(1, min(lists, total))
+    lists = max(1, min(lists or math.ceil(math.sqrt(total)), total))
     norm = F.sqrt(F.aggregate(F.transform(embedding, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x))
     unit = F.transform(embedding, lambda x: x.cast("double") / F.when(F.col("_norm") > 0, F.col("_norm")).otherwise(1.0))
     train = vectors.withColumn("_norm", norm).select(array_to_vector(unit).alias("features"))
@@ -215,6 +228,83 @@ def ivf_topk(queries: DataFrame, index: DataFrame, centres: np.ndarray, k: int,
     return first_n(found, [query_id], [F.desc("similarity"), F.col(vector_id)], k, "rank")
 
 
+def cell_bounds(index: DataFrame, centres: np.ndarray, *, embedding: str = "embedding") -> tuple[np.ndarray, np.ndarray]:
+    """Per cell, the widest angle between its centre and a vector of it (-1: empty), and the number of its vectors."""
+    shared = index.sparkSession.sparkContext.broadcast(_directions(centres))
+
+    @F.pandas_udf("double")
+    def angle(column: pd.Series, cell: pd.Series) -> pd.Series:
+        rows = unit_rows(column)
+        turned = np.arccos(np.clip((rows * shared.value[cell.to_numpy()]).sum(axis=1), -1, 1))
+        # a zero vector is as near to everything as a right angle
+        return pd.Series(np.where(np.abs(rows).sum(axis=1) > 0, turned, np.pi))
+
+    widest, sizes = np.full(len(centres), -1.0), np.zeros(len(centres), np.int64)
+    found = index.groupBy("cell").agg(F.max(angle(embedding, "cell")).alias("w"), F.count(F.lit(1)).alias("n"))
+    for row in found.collect():  # one per cell
+        widest[row["cell"]], sizes[row["cell"]] = row["w"], row["n"]
+    return widest, sizes
+
+
+def _directions(centres: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(centres, axis=1, keepdims=True)
+    return centres / np.where(norms == 0, 1.0, norms)
+
+
+def ivf_bounded_topk(queries: DataFrame, index: DataFrame, centres: np.ndarray, k: int, *, query_id: str = "query_id",
+                     vector_id: str = "vec_id", embedding: str = "embedding", block_rows: int = BLOCK_ROWS,
+                     width: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Nearest vectors by cosine with cells left out by bounds, and how many vectors each query was compared with.
+
+    A query first searches its nearest cells until they hold ``k`` vectors; the
+    k-th score found is its floor. By the triangle inequality of angles a cell
+    reaches at most the cosine of (angle to its centre - its widest angle), and is
+    opened only if that is no less than the floor. With ``width`` 1 the result is
+    exact; below it, cells count as so much narrower, and fewer are opened.
+    """
+    directions = _directions(centres)
+    widest, sizes = cell_bounds(index, centres, embedding=embedding)
+    shared = queries.sparkSession.sparkContext.broadcast((directions, widest, sizes))
+    asked = stored(queries.filter(F.col(embedding).isNotNull()).select(query_id, embedding), "asked")
+
+    @F.pandas_udf("array<int>")
+    def first(column: pd.Series) -> pd.Series:
+        grid, _, held = shared.value
+        order = np.argsort(-(unit_rows(column) @ grid.T) + 9.0 * (held == 0), axis=1, kind="stable")
+        enough = (np.cumsum(held[order], axis=1) >= k).argmax(axis=1)
+        some = np.where(np.cumsum(held[order], axis=1)[:, -1] >= k, enough, (held > 0).sum() - 1)
+        return pd.Series([row[:n + 1].astype("int32") for row, n in zip(order, some, strict=True)])
+
+    @F.pandas_udf("array<int>")
+    def rest(column: pd.Series, floor: pd.Series, seen: pd.Series) -> pd.Series:
+        grid, wide, held = shared.value
+        rows = unit_rows(column)
+        angles = np.arccos(np.clip(rows @ grid.T, -1, 1))
+        reach = np.cos(np.maximum(0.0, angles - wide * width))
+        reach[:, wide >= np.pi] = 1.0
+        floors = floor.fillna(-2.0).to_numpy()[:, None]
+        open_ = (reach >= floors - 1e-9) & (held > 0)
+        for i, cells in enumerate(seen):
+            open_[i, cells] = False
+        return pd.Series([np.flatnonzero(row).astype("int32") for row in open_])
+
+    def search(probing: DataFrame) -> DataFrame:
+        left, right = _blocked(probing, index.select(vector_id, embedding, "cell"), ["cell"], query_id, vector_id, block_rows)
+        return stored(_block_best(left, right, ["cell", "_qb", "_vb"], query_id, vector_id, embedding, k), "found")
+
+    begun = stored(asked.withColumn("_seen", first(embedding)), "first")
+    near = search(begun.select(query_id, embedding, F.explode("_seen").alias("cell")))
+    floor = first_n(near, [query_id], [F.desc("similarity"), F.col(vector_id)], k, "rank").filter(F.col("rank") == k).select(
+        query_id, F.col("similarity").alias("_floor"))
+    opened = stored(begun.join(floor, query_id, "left").withColumn("_more", rest(embedding, "_floor", "_seen")), "opened")
+    far = search(opened.select(query_id, embedding, F.explode("_more").alias("cell")))
+    best = first_n(near.unionByName(far), [query_id], [F.desc("similarity"), F.col(vector_id)], k, "rank")
+    held = queries.sparkSession.createDataFrame([(i, int(n)) for i, n in enumerate(sizes)], "cell int, n long")
+    compared = opened.select(query_id, F.explode(F.concat("_seen", "_more")).alias("cell")).join(held, "cell").groupBy(query_id).agg(
+        F.sum("n").alias("compared"))
+    return best, compared
+
+
 def ivf_probes(queries: DataFrame, index: DataFrame, centres: np.ndarray, k: int, recall: float, *, sample: int = 128,
                query_id: str = "query_id", vector_id: str = "vec_id", embedding: str = "embedding") -> int:
     """Fewest cells with which ``sample`` queries find ``recall`` of their exact ``k`` nearest vectors."""
@@ -252,91 +342,32 @@ def _blocked(left: DataFrame, right: DataFrame, keys: Sequence[str], query_id: s
 SCOPE = ("org_id", "folder_filter", "file_filter")
 
 
-def _scope_key() -> Column:
+def scope_key() -> Column:
     """One text per scope; a null filter is left out and so only meets a null."""
     return F.to_json(F.struct(*SCOPE))
 
 
 def cache_lookup(queries: DataFrame, cache: DataFrame, threshold: float | None = None, *,
                  query_id: str = "query_id", cache_id: str = "id", embedding: str = "embedding",
-                 ttl_hours: int | None = None, now: Column | None = None, pivots: int | None = None,
-                 block_rows: int = BLOCK_ROWS) -> DataFrame:
+                 ttl_hours: int | None = None, now: Column | None = None, tree=None,
+                 pivots: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Each query with the most similar cached entry of its scope above the threshold.
 
-    Exact. Entries are grouped by their nearest pivot vector; a group is visited
-    only by queries that the triangle inequality cannot rule out (distance to
-    the pivot minus the group's radius within the distance the threshold
-    allows). Remaining groups are compared block by block.
+    Exact. The metric tree of :mod:`cache_tree` names the cells a query has to see;
+    ``tree`` is one kept beside the cache and holds just its live entries, else one
+    is built. A query or an entry without an embedding matches nothing.
     """
+    from ledgerlens.operators import cache_tree
+
     threshold = threshold or K.SIMILARITY_THRESHOLD
-    if ttl_hours is not None:
-        cache = cache.filter(F.col("created_at") >= now - F.make_interval(hours=F.lit(ttl_hours)))
-    asked = queries.select(query_id, embedding, _scope_key().alias("_scope"))
-    stored = cache.select(cache_id, embedding, _scope_key().alias("_scope"))
-    if pivots is None:
-        pivots = math.ceil(math.sqrt(stored.count())) or 1
-    grid = _pivots(cache, cache_id, embedding, pivots)
-    if grid is None:
-        found = queries.sparkSession.createDataFrame([], _pair_schema(queries, cache, query_id, cache_id))
-    else:
-        placed = _nearest_pivot(stored, grid, embedding)
-        cells = placed.groupBy("_scope", "_pivot").agg(F.max("_distance").alias("_radius"), F.count(F.lit(1)).alias("_nr"))
-        reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
-        # distances are narrow rows; the embedding follows only to surviving cells
-        widest = dict(cells.groupBy("_pivot").agg(F.max("_radius")).collect())  # one per pivot
-        limits = np.array([widest.get(i, -np.inf) for i in range(len(grid))]) + reach
-        near = _near_pivots(asked, grid, limits, embedding).select(
-            query_id, "_scope", F.explode("_near").alias("n")).select(
-            query_id, "_scope", F.col("n.pivot").alias("_pivot"), F.col("n.distance").alias("_distance"))
-        visits = near.join(cells, ["_scope", "_pivot"]).filter(
-            F.col("_distance") - F.col("_radius") <= F.lit(reach)).select(query_id, "_scope", "_pivot")
-        left = visits.join(asked.drop("_scope"), query_id)
-        left, right = _blocked(
-            left, placed.drop("_distance"), ["_scope", "_pivot"], query_id, cache_id, block_rows,
-            visits.groupBy("_scope", "_pivot").agg(F.count(F.lit(1)).alias("_nl")), cells.drop("_radius"))
-        found = _block_best(left, right, ["_scope", "_pivot", "_qb", "_vb"], query_id, cache_id, embedding, 1, threshold)
-    best = found.groupBy(query_id).agg(
-        F.min_by(cache_id, F.struct(-F.col("similarity"), F.col(cache_id))).alias("cache_id"), F.max("similarity").alias("similarity"))
+    if tree is None:
+        if ttl_hours is not None:
+            cache = cache.filter(F.col("created_at") >= now - F.make_interval(hours=F.lit(ttl_hours)))
+        tree = cache_tree.build(cache, cache_id=cache_id, embedding=embedding, block_rows=block_rows, pivots=pivots)
+    best = cache_tree.lookup(queries, tree, threshold, query_id=query_id, embedding=embedding, block_rows=block_rows)
     return queries.join(best, query_id, "left").withColumn("hit", F.col("cache_id").isNotNull())
 
 
-def _pivots(vectors: DataFrame, key: str, embedding: str, count: int) -> np.ndarray | None:
-    """A fixed small set of stored vectors, picked by hash so that reruns agree."""
-    rows = vectors.select(embedding, key).orderBy(F.xxhash64(key), key).limit(count).select(embedding).toPandas()
-    return unit_rows(rows[embedding]) if len(rows) else None
-
-
-def _from_pivots(column: pd.Series, grid: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0.0, 2 - 2 * unit_rows(column) @ grid.T))
-
-
-def _nearest_pivot(df: DataFrame, grid: np.ndarray, embedding: str) -> DataFrame:
-    """Number of the nearest pivot and the distance to it."""
-    shared = df.sparkSession.sparkContext.broadcast(grid)
-
-    @F.pandas_udf("struct<_pivot:int,_distance:double>")
-    def nearest(column: pd.Series) -> pd.DataFrame:
-        distance = _from_pivots(column, shared.value)
-        place = distance.argmin(axis=1)
-        return pd.DataFrame({"_pivot": place.astype("int32"), "_distance": distance[np.arange(len(place)), place]})
-
-    return df.withColumn("_n", nearest(embedding)).select(*df.columns, "_n.*")
-
-
-def _near_pivots(df: DataFrame, grid: np.ndarray, limits: np.ndarray, embedding: str) -> DataFrame:
-    """Pivots no farther than their limit, with the distance."""
-    shared = df.sparkSession.sparkContext.broadcast((grid, limits))
-
-    @F.pandas_udf("array<struct<pivot:int,distance:double>>")
-    def near(column: pd.Series) -> pd.Series:
-        pivots, most = shared.value
-        return pd.Series([
-            [{"pivot": int(i), "distance": float(row[i])} for i in np.flatnonzero(row <= most)]
-            for row in _from_pivots(column, pivots)])
-
-    return df.withColumn("_near", near(embedding))
-
-
 def count_hits(cache: DataFrame, looked_up: DataFrame, cache_id: str = "id") -> DataFrame:
     """Cache with the hits of a lookup added."""
     hits = looked_up.filter("hit").groupBy(F.col("cache_id").alias(cache_id)).agg(F.count(F.lit(1)).alias("_hits"))

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerlens.operators import retrieval as R
+from ledgerlens.operators.keyword_index import KeywordIndex
 from ledgerlens.plans import suite
 from ledgerlens.plans.catalog import query
 from ledgerlens.plans.metering import now
 from ledgerlens.plans.roles import half_up
 from ledgerlens.plans.texts import WS
+from ledgerlens.session import shared_dir
 from ledgerlens.sources.files import sql_over_files
 
 SIZE, STEP = 64, 52
@@ -61,6 +63,17 @@ def keyword_topk(t):
     return keyword(t).withColumn("score", F.round("score", 6)).select("query_id", "chunk_id", "rank", "score")
 
 
+@query("r3_keyword_index", f"WITH {BM25_SQL} SELECT query_id, chunk_id, rank, {half_up('score', 6)} AS score FROM kw")
+def keyword_index(t):
+    """Chunks indexed in two batches, then asked; the same answers as without an index."""
+    index = KeywordIndex(t.spark, shared_dir(t.spark, "keywords"), parts=8, blocks=32)
+    made = chunks(t)
+    for odd in (0, 1):
+        index.add(made.filter(F.col("doc_id") % 2 == odd), f"b{odd}")
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    return index.topk(asked, 10).withColumn("score", F.round("score", 6)).select("query_id", "chunk_id", "rank", "score")
+
+
 COSINE = "list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[])"
 SEMANTIC_SQL = f"""(SELECT q.vec_id AS query_id, v.vec_id, {COSINE} AS s,
   CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, v.vec_id) AS INT) AS rank
@@ -117,6 +130,48 @@ def ivf_topk(t):
     return found.withColumn("rank", F.row_number().over(order)).filter("rank <= 10").withColumn("similarity", F.round("similarity", 6))
 
 
+WHOLE_SQL = f"""(SELECT q.vec_id AS query_id, v.vec_id, {COSINE} AS s,
+  CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, v.vec_id) AS INT) AS rank
+ FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id QUALIFY rank <= 10)"""
+
+
+def every_fiftieth(t):
+    return t.embeddings.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def without_own(found, k=10):
+    """The best ``k`` of k + 1 without a query's own row."""
+    order = Window.partitionBy("query_id").orderBy("rank")
+    return found.filter("vec_id <> query_id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+@query("r4_semantic_topk_whole", f"SELECT query_id, vec_id, rank, {half_up('s', 6)} AS similarity FROM {WHOLE_SQL}")
+def semantic_topk_whole(t):
+    """All vectors but the query's own row."""
+    return without_own(R.semantic_topk(every_fiftieth(t), t.embeddings, 11)).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("r5_hybrid_topk_whole", f"""
+WITH {BM25_SQL},
+sem AS (SELECT query_id // 50 AS query_id, vec_id * 4294967296 AS chunk_id, rank FROM {WHOLE_SQL}),
+f AS (SELECT COALESCE(k.query_id, s.query_id) AS query_id, COALESCE(k.chunk_id, s.chunk_id) AS chunk_id,
+  {half_up("COALESCE(1.0::DOUBLE / (60 + k.rank), 0.0::DOUBLE) + COALESCE(1.0::DOUBLE / (60 + s.rank), 0.0::DOUBLE)", 12)} AS score
+ FROM kw k FULL JOIN sem s ON k.query_id = s.query_id AND k.chunk_id = s.chunk_id)
+SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM f QUALIFY rank <= 10""")
+def hybrid_topk_whole(t):
+    semantic = without_own(R.semantic_topk(every_fiftieth(t), t.embeddings, 11)).select(
+        F.floor(F.col("query_id") / 50).alias("query_id"), (F.col("vec_id") * CHUNK_SPAN).alias("chunk_id"), "rank")
+    return R.hybrid_topk(keyword(t), semantic, 10)
+
+
+@query("r6_ivf_topk_bounded", f"SELECT query_id, vec_id, rank, {half_up('s', 6)} AS similarity FROM {WHOLE_SQL}")
+def ivf_topk_bounded(t):
+    """Cells left out by bounds only: the same rows as without an index."""
+    index, centres = R.ivf_build(t.embeddings)
+    found, _ = R.ivf_bounded_topk(every_fiftieth(t), index, centres, 11)
+    return without_own(found).withColumn("similarity", F.round("similarity", 6))
+
+
 LOOKUP_SQL = f"""(SELECT q.query_id, q.org_id, q.folder_filter, b.id AS cache_id, b.s AS similarity FROM $answer_queries q LEFT JOIN (
   SELECT q.query_id, arg_max(v.id, ({COSINE}, -v.id)) AS id, max({COSINE}) AS s FROM $answer_queries q JOIN $answer_cache v
    ON q.org_id = v.org_id AND q.folder_filter IS NOT DISTINCT FROM v.folder_filter AND q.file_filter IS NOT DISTINCT FROM v.file_filter
