@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # fixed values: the characters Python's str.split and str.strip treat as space
 WHITE_SPACE = (
     " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-# the same set as a pattern: Unicode white space and the four separators
-SPACE = r"(?U)[\s\x1c-\x1f]+"
+# the same set as a pattern; spelt out, since a Unicode class is looked up character by character
+_SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE, NO_SPACE = f"[{_SPACES}]+", f"[^{_SPACES}]+"
 
 
 def words(text: Column) -> Column:
@@ -21,9 +22,8 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """Number of white-space separated words."""
-    body = strip(F.coalesce(text, F.lit("")))
-    return F.when(body == "", 0).otherwise(F.size(F.split(body, SPACE)))
+    """Number of white-space separated words; counted where they are, without a list of them."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(NO_SPACE))
 
 
 def token_estimate(text: Column) -> Column:
@@ -36,6 +36,37 @@ def ignore_case(pattern: str) -> str:
     return f"(?iU){pattern}"
 
 
+WORD = r"[\p{L}\p{N}_]"
+_WORDLY = r"(?:\\d|\\w|\[[0-9A-Za-z-]+\]|(?<!\\)[0-9A-Za-z])"
+_STARTS = re.compile(_WORDLY + r"(?!\?|\*|\{0)")
+_ENDS = re.compile(_WORDLY + r"(?:\+|\{[1-9]\d*(?:,\d*)?\})?$")
+
+
+def _starts_with_word(rest: str) -> bool:
+    """Whether any match of a pattern's rest begins with a word character, as far as its first atom tells."""
+    if not rest.startswith("(?:"):
+        return bool(_STARTS.match(rest))
+    depth, parts, at = 1, [""], 3
+    while at < len(rest) and depth:
+        two = rest[at:at + 2] if rest[at] == "\\" else rest[at]
+        depth += (two == "(") - (two == ")")
+        if two == "|" and depth == 1:
+            parts.append("")
+        elif depth:
+            parts[-1] += two
+        at += len(two)
+    return not re.match(r"\?|\*|\{0", rest[at:]) and all(_starts_with_word(p) for p in parts)
+
+
+def _boundary(pattern: str, at: int) -> str:
+    """A word boundary at a place of a pattern; one look suffices where a word character stands on one side anyway."""
+    if _starts_with_word(pattern[at + 2:]):
+        return f"(?<!{WORD})"
+    if _ENDS.search(pattern[:at]):
+        return f"(?!{WORD})"
+    return f"(?:(?<!{WORD})(?={WORD})|(?<={WORD})(?!{WORD}))"
+
+
 def unicode_pattern(pattern: str, bounded: bool = True) -> str:
     r"""A pattern that ignores case and whose \b, \w, \d and \s go by Unicode letters, numbers and white space.
 
@@ -44,21 +75,35 @@ def unicode_pattern(pattern: str, bounded: bool = True) -> str:
     Without ``bounded`` word boundaries are left out: a cheaper pattern that is
     found wherever the whole one is.
     """
-    word = r"[\p{L}\p{N}_]"
-    classes = {
-        "b": "" if not bounded else f"(?:(?<!{word})(?={word})|(?<={word})(?!{word}))", "w": word, "d": r"\p{Nd}",
-        "s": "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITE_SPACE) + "]",
-    }
-    return "(?iu)" + re.sub(r"\\(.)", lambda m: classes.get(m[1], m[0]), pattern)
+    classes = {"w": WORD, "d": r"\p{Nd}", "s": "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITE_SPACE) + "]"}
+
+    def written(m: re.Match) -> str:
+        if m[1] == "b":
+            return _boundary(pattern, m.start()) if bounded else ""
+        return classes.get(m[1], m[0])
+
+    return "(?iu)" + re.sub(r"\\(.)", written, pattern)
 
 
 def may_match(text: Column, pattern: str) -> Column:
-    """False only for texts without a match; boundaries are not looked at, and a sign every match holds is looked for first."""
+    """False only for texts without a match; boundaries are not looked at, and signs every match holds are looked for first."""
     found = F.rlike(text, F.lit(unicode_pattern(pattern, bounded=False)))
-    outside = re.sub(r"\[[^\]]*\]", "", pattern)  # without character classes
-    if "|" in outside or not re.search(r"@(?![?*{])", outside):
+    outside, before = re.sub(r"\[[^\]]*\]", "", pattern), None  # without character classes and groups
+    while outside != before:
+        outside, before = re.sub(r"\((?:[^()\\]|\\.)*\)(?:[?*+]|\{[^}]*\})?", "", outside), outside
+    if "|" in outside:
         return found
-    return F.contains(text, F.lit("@")) & found
+    if re.search(r"@(?![?*{])", outside):
+        return F.contains(text, F.lit("@")) & found
+    if re.search(r"\\d(?![?*]|\{0)", outside):
+        return F.rlike(text, F.lit(r"\p{Nd}")) & found
+    return found
+
+
+def sure_word(pattern: str) -> str:
+    """The longest run of letters that every match of a pattern of plain words holds; empty if there is none."""
+    plain = re.sub(r"\\.\+?|\([^()]*\)[?*]?|.[?*]", " ", pattern)
+    return max(re.findall("[a-z]+", plain), key=len, default="") if "|" not in plain else ""
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -135,3 +180,25 @@ def is_json_object(text: Column) -> Column:
     one = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
     alone = F.size(F.json_object_keys(F.concat(F.lit('{"v":'), text, F.lit("}")))) == 1
     return F.coalesce(text.startswith("{") & one & alone, F.lit(False))
+
+
+def with_json_object(df: DataFrame, body: str, shape: T.StructType, out: str, valid: str) -> DataFrame:
+    """``out``: the fields of a complete JSON object in ``body`` without anything after it, and whether it is ``valid``.
+
+    One parse tells both. The text is read as the first of two elements of an
+    array, the second being a mark made from the text itself: what follows the
+    object ends the array early, adds an element or is no JSON, and in each case
+    the mark does not come second. A key may repeat; the last one counts.
+    """
+    mark, both = "_mark", "_both"
+    while mark in shape.names:
+        mark = "_" + mark
+    while both in df.columns:
+        both = "_" + both
+    own = F.xxhash64(body).cast("string")
+    wrapped = F.concat(F.lit("["), F.col(body), F.lit(f',{{"{mark}":"'), own, F.lit('"}]'))
+    element = T.StructType([*shape.fields, T.StructField(mark, T.StringType())])
+    rows = df.withColumn(both, F.when(F.startswith(F.col(body), F.lit("{")), F.from_json(wrapped, T.ArrayType(element))))
+    marked = (F.size(both) == 2) & (F.get(both, F.lit(1))[mark] == own)
+    rows = rows.withColumn(valid, F.coalesce(marked, F.lit(False)))
+    return rows.withColumn(out, F.when(F.col(valid), F.get(both, F.lit(0)))).drop(both)

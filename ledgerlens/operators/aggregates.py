@@ -11,6 +11,7 @@ from ledgerlens.functions import constants as K
 from ledgerlens.functions.text import pattern_count
 from ledgerlens.operators.filters import filter_events
 from ledgerlens.operators.ordering import first_n
+from ledgerlens.session import stored
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -351,9 +352,10 @@ BRACKET_SLOTS = 4096
 def describe_numeric(df: DataFrame, accuracy: int = 10_000) -> DataFrame:
     """Count, mean, sample deviation and exact interpolated quartiles per numeric column.
 
-    Two passes instead of one value table per column: a mergeable rank sketch
-    first brackets each quartile (its rank error is at most 1/accuracy), then
-    only values inside the brackets are counted and ranked exactly.
+    Instead of one value table per column, a mergeable rank sketch first brackets
+    each quartile (its rank error is at most 1/accuracy); then values below the
+    brackets are counted and only those inside are ranked exactly. The driver sees
+    one row per column.
     """
     numbers = numeric_columns(df)
     quartiles = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
@@ -369,34 +371,35 @@ def describe_numeric(df: DataFrame, accuracy: int = 10_000) -> DataFrame:
             F.percentile_approx(value, F.array(*ends), accuracy).alias(f"_ends{i}"),
         ]
     basic = ["count", "mean", "std", "min", "max", "ends"]
-    entries = [
-        F.struct(F.lit(c).alias("column_name"), *[F.col(f"_{s}{i}").alias(s) for s in basic])
-        for i, c in enumerate(numbers)
-    ]
-    sketch = df.agg(*aggs).select(F.explode(F.array(*entries)).alias("d")).select("d.*")
-    brackets = sketch.select("column_name", "count", F.explode(F.array(*[
-        F.struct(F.lit(p).alias("name"), (F.lit(q) * (F.col("count") - 1)).alias("at"),
-                 F.col("ends")[2 * k].alias("lo"), F.col("ends")[2 * k + 1].alias("hi"))
-        for k, (p, q) in enumerate(quartiles.items())
-    ])).alias("b")).select("column_name", "b.*")
-    melted = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("double").alias("v"))
-        for c in numbers
-    ])).alias("m")).select("m.*").filter(F.col("v").isNotNull())
-    # three rows per column on the broadcast side; everything below a bracket
-    # collapses into one counted row before the shuffle
-    inside = F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")
-    share = F.when(F.col("hi") > F.col("lo"), (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
-    slot = F.when(F.col("v") >= F.col("lo"), F.floor(share * BRACKET_SLOTS)).otherwise(-1).alias("slot")
-    counted = (
-        melted.join(F.broadcast(brackets), "column_name").filter(F.col("v") <= F.col("hi"))
-        .groupBy("column_name", "name", "at", slot, inside).agg(F.count(F.lit(1)).alias("c"))
-    )
+    summary = df.agg(*aggs).first()  # one row, as wide as the schema
+    schema = "column_name string, count long, mean double, std double, min double, max double"
+    sketch = df.sparkSession.createDataFrame(
+        [(c, *(summary[f"_{s}{i}"] for s in basic[:-1])) for i, c in enumerate(numbers)], schema)
+    brackets = [
+        (c, name, q * (summary[f"_count{i}"] - 1), *summary[f"_ends{i}"][2 * k:2 * k + 2])
+        for i, c in enumerate(numbers) if summary[f"_count{i}"] for k, (name, q) in enumerate(quartiles.items())]
+    if not brackets:
+        return sketch.select("column_name", "count", "mean", "std", "min", *[F.lit(None).cast("double").alias(p) for p in quartiles], "max")
+    # what lies below each bracket is counted where it is; only values inside brackets become rows
+    below = df.agg(*[
+        F.count(F.when(F.col(f"`{c}`").cast("double") < lo, 1)).alias(f"_b{n}") for n, (c, _, _, lo, _) in enumerate(brackets)]).first()
+    inside, before_all = [], []
+    for n, (c, name, at, lo, hi) in enumerate(brackets):
+        value = F.col(f"`{c}`").cast("double")
+        share = (value - lo) / (hi - lo) if hi > lo else F.lit(0.0)
+        inside.append(F.when((value >= lo) & (value <= hi), F.struct(
+            F.lit(c).alias("column_name"), F.lit(name).alias("name"), F.floor(share * BRACKET_SLOTS).alias("slot"), value.alias("v"))))
+        before_all.append((c, name, at, below[f"_b{n}"]))
+    counted = df.select(F.explode(F.array_compact(F.array(*inside))).alias("m")).select("m.*").groupBy(
+        "column_name", "name", "slot", "v").agg(F.count(F.lit(1)).alias("c"))
+    ranks = df.sparkSession.createDataFrame(before_all, "column_name string, name string, at double, below long")
+    # three rows per column
+    counted = stored(counted.join(F.broadcast(ranks), ["column_name", "name"]), "brackets")
     # a bracket is cut into slots; only those that hold a wanted rank are ranked value by value
-    slots = counted.groupBy("column_name", "name", "at", "slot").agg(F.sum("c").alias("n"))
+    slots = counted.groupBy("column_name", "name", "at", "below", "slot").agg(F.sum("c").alias("n"))
     along = Window.partitionBy("column_name", "name").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("start")
-    held = slots.withColumn("start", F.coalesce(F.sum("n").over(along), F.lit(0))).filter(
+    held = slots.withColumn("start", F.col("below") + F.coalesce(F.sum("n").over(along), F.lit(0))).filter(
         (F.ceil("at") >= start) & (F.floor("at") < start + F.col("n"))).select("column_name", "name", "slot", "start")
     order = Window.partitionBy("column_name", "name", "slot").orderBy(F.col("v").asc_nulls_first())
     before = start + F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -412,7 +415,7 @@ def describe_numeric(df: DataFrame, accuracy: int = 10_000) -> DataFrame:
     wide = found.groupBy("column_name").agg(
         *[F.max(F.when(F.col("name") == p, F.col("value"))).alias(p) for p in quartiles]
     )
-    return sketch.drop("ends").join(wide, "column_name", "left").select(
+    return sketch.join(wide, "column_name", "left").select(
         "column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max"
     )
 

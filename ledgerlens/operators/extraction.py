@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ledgerlens.functions import constants as K
-from ledgerlens.functions.text import fenced_body, identifier_text, is_json_object
+from ledgerlens.functions.text import fenced_body, identifier_text, with_json_object
 from ledgerlens.operators.aggregates import count_fields
 from ledgerlens.operators.ordering import number_items
 
@@ -145,8 +145,7 @@ def extract_records(raw: DataFrame, schema: Mapping[str, Any], text: str = "resp
     # one parse reads the plain and the enveloped form
     either = T.StructType([*shape.fields, T.StructField("parameters", shape)]) if "parameters" not in shape.names else shape
     rows = raw.withColumn("_body", fenced_body(F.col(text)))
-    rows = rows.withColumn("valid", is_json_object(F.col("_body"))).withColumn(
-        "_e", F.when(F.col("valid"), F.from_json("_body", either)))
+    rows = with_json_object(rows, "_body", either, "_e", "valid")
     plain = F.struct(*[F.col(f"_e.`{n}`").alias(n) for n in shape.names])
     if either is not shape:
         plain = F.coalesce("_e.parameters", plain)
