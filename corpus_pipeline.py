@@ -1,7 +1,8 @@
 """Training corpus from ``documents``: language, duplicates, benchmark leaks, secrets, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a frame; all but the last keep
-the columns of ``documents``. ``run`` writes each stage to the shared folder and
+the columns of ``documents``. Rows are kept or dropped by their own texts, so rows
+that share a doc_id, or have none, are judged apart. ``run`` writes each stage to the shared folder and
 reads it back as the next one's input.
 """
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import decontam, langid, neardup, packing, secret_scan
-from ledgerlens.llm.common import stored
+from ledgerlens.llm.common import free_name, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,19 +21,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group at five words and a similarity of 0.8."""
+    """The first row of each group at five words and a similarity of 0.8."""
     return neardup.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of ``benchmark``."""
+    """Documents that hold no item of ``benchmark`` of five words or more."""
     return decontam.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their secrets replaced and n_chars counted anew where they were."""
-    found = secret_scan.clean(docs.withColumn("_old", F.col("text")).select("*"))
-    changed = ~F.col("text").eqNullSafe(F.col("_old"))
+    old = free_name(docs, "old")
+    found = secret_scan.clean(docs.withColumn(old, F.col("text")))
+    changed = ~F.col("text").eqNullSafe(F.col(old))
     return found.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
