@@ -27,7 +27,7 @@ LONGEST, SUPPORT, SHARDS = 4, 30, 8
 TOP, SCALE, ABSORB = 2000, 2_000_000, 80
 UNKNOWN = "und"
 #: A task counts about so many words at once, then hands over the counts; results do not depend on it.
-CHUNK, EMIT = 1 << 22, 1 << 16
+CHUNK, EMIT = 1 << 20, 1 << 16
 SALTS = 16
 
 END = b"."
