@@ -74,11 +74,12 @@ def _together(left: DataFrame, right: DataFrame, keys: list[str], buckets: int,
 def _meet(rows: DataFrame, nodes: DataFrame, keys: list[str], block_rows: int, work, schema: T.StructType) -> DataFrame:
     """``work`` on every block of rows with all nodes of its keys, which are few: roots of the number of rows."""
     cut, blocks = _blocks(rows, keys, "id", block_rows)
-    return _together(cut, nodes.join(blocks, keys), [*keys, "block"], _buckets(rows, block_rows), work, schema)
+    return _together(cut, nodes.join(blocks, keys), [*keys, "block"], _buckets(rows), work, schema)
 
 
-def _buckets(rows: DataFrame, block_rows: int) -> int:
-    return max(1, math.ceil(rows.count() / block_rows))
+def _buckets(df: DataFrame) -> int:
+    """As many as there are shuffle partitions, which are chosen for the data."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _place(rows: DataFrame, nodes: DataFrame, keys: list[str], block_rows: int, pivot: str, distance: str) -> DataFrame:
@@ -190,7 +191,6 @@ def lookup(queries: DataFrame, tree: CacheTree, threshold: float, *, query_id: s
     cells = ["scope", "p1", "p2"]
     opened = stored(visits(tree, queries, threshold, query_id=query_id, embedding=embedding, block_rows=block_rows), "visits")
     right = tree.entries.withColumnRenamed("id", cache_id)
-    buckets = max(_buckets(opened, block_rows), _buckets(right, block_rows))
     left, right = _blocked(opened, right, cells, query_id, cache_id, block_rows)
     schema = T.StructType([opened.schema[query_id], right.schema[cache_id], T.StructField("similarity", T.DoubleType())])
 
@@ -211,6 +211,6 @@ def lookup(queries: DataFrame, tree: CacheTree, threshold: float, *, query_id: s
         return pd.DataFrame({
             query_id: some[query_id].to_numpy()[np.concatenate(rows)], cache_id: np.concatenate(found), "similarity": np.concatenate(scores)})
 
-    found = _together(left, right, [*cells, "_qb", "_vb"], buckets, best, schema)
+    found = _together(left, right, [*cells, "_qb", "_vb"], _buckets(opened), best, schema)
     return found.groupBy(query_id).agg(
         F.min_by(cache_id, F.struct(-F.col("similarity"), F.col(cache_id))).alias(cache_id), F.max("similarity").alias("similarity"))
