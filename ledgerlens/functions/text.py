@@ -13,7 +13,7 @@ WHITE_SPACE = (
 )
 # the same set as a pattern; spelt out, since a Unicode class is looked up character by character
 _SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-SPACE, NO_SPACE = f"[{_SPACES}]+", f"[^{_SPACES}]+"
+SPACE = f"[{_SPACES}]+"
 
 
 def words(text: Column) -> Column:
@@ -22,8 +22,9 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """Number of white-space separated words; counted where they are, without a list of them."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(NO_SPACE))
+    """Number of white-space separated words."""
+    body = strip(F.coalesce(text, F.lit("")))
+    return F.when(body == "", 0).otherwise(F.size(F.split(body, SPACE)))
 
 
 def token_estimate(text: Column) -> Column:
