@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from ledgerlens.functions.vectors import unit_rows
-from ledgerlens.operators.retrieval import BLOCK_ROWS, TABLE_CELLS, _blocked, _slot, scope_key
+from ledgerlens.operators.retrieval import BLOCK_ROWS, TABLE_CELLS, _slot, scope_key
 from ledgerlens.session import stored
 
 #: Distances are recomputed from doubles in two ways that differ by less.
@@ -187,30 +187,61 @@ def visits(tree: CacheTree, queries: DataFrame, threshold: float, *, query_id: s
 
 def lookup(queries: DataFrame, tree: CacheTree, threshold: float, *, query_id: str = "query_id", cache_id: str = "cache_id",
            embedding: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(query_id, cache_id, similarity): the most similar entry above the threshold, ties to the lowest id. Exact."""
-    cells = ["scope", "p1", "p2"]
-    opened = stored(visits(tree, queries, threshold, query_id=query_id, embedding=embedding, block_rows=block_rows), "visits")
-    right = tree.entries.withColumnRenamed("id", cache_id)
-    left, right = _blocked(opened, right, cells, query_id, cache_id, block_rows)
-    schema = T.StructType([opened.schema[query_id], right.schema[cache_id], T.StructField("similarity", T.DoubleType())])
-
-    def best(some, entries, matrix, grid, met):
-        ids, rows, found, scores = entries[cache_id].to_numpy(), [], [], []
+    """(query_id, cache_id, similarity): the most similar entry above the threshold, ties to the lowest id. Exact.
+
+    Queries and cells meet by blocks of their scope, where a query is compared with
+    the cells that may hold an entry for it; so a vector travels once per block of
+    the other side, not once per cell.
+    """
+    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
+    asked = queries.filter(F.col(embedding).isNotNull()).select(
+        F.col(query_id), scope_key().alias("scope"), F.col(embedding).alias("embedding"))
+    cells, rows = ["scope", "p1", "p2"], F.lit(block_rows)
+    nodes = tree.nodes[1].filter("n > 0").withColumnRenamed("pivot", "p2")
+    cut = asked.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_nq")).join(
+        nodes.groupBy("scope").agg(F.ceil(F.sum("n") / rows).cast("int").alias("_nv")), "scope")
+
+    def every(count: str):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    # a cell lies in one block of its scope; one of more entries than a block is cut, and its pivot goes with every part
+    parts = F.ceil(F.col("n") / rows).cast("int")
+    block = F.pmod(F.xxhash64("p1", "p2", "part"), F.col("_nv")).cast("int")
+    entries = tree.entries.join(nodes.select(*cells, parts.alias("parts")), cells).withColumn("part", _slot("id", F.col("parts"))).select(
+        *cells, "part", F.col("id").alias(cache_id), "embedding", F.lit(None).cast("double").alias("radius"))
+    pivots = nodes.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select(
+        *cells, "part", F.lit(None).cast(entries.schema[cache_id].dataType).alias(cache_id), "embedding", "radius")
+    right = entries.unionByName(pivots).join(cut, "scope").withColumn("_vb", block).withColumn("_qb", every("_nq")).drop("_nq", "_nv")
+    left = asked.join(cut, "scope").withColumn("_qb", _slot(query_id, F.col("_nq"))).withColumn("_vb", every("_nv")).drop("_nq", "_nv")
+    schema = T.StructType([queries.schema[query_id], right.schema[cache_id], T.StructField("similarity", T.DoubleType())])
+
+    def best(some, held, matrix, grid, met):
+        radius, ids, rows, found, scores = held["radius"].to_numpy(), held[cache_id].to_numpy(), [], [], []
+        leaf = held.groupby(["scope", "p1", "p2", "part", "_vb", "_qb"], sort=False).ngroup().to_numpy()
         for mine, other in met:
-            other = other[np.argsort(ids[other], kind="stable")]  # the first of equal scores has the lowest id
-            for part in _pieces(mine, len(other)):
-                table = matrix[mine[part]] @ grid[other].T
-                top = table.argmax(axis=1)
-                score = table[np.arange(len(top)), top]
-                keep = score > threshold
-                rows.append(mine[part][keep])
-                found.append(ids[other[top[keep]]])
-                scores.append(score[keep])
+            pivot = other[~np.isnan(radius[other])]
+            entry = other[np.isnan(radius[other])]
+            entry = entry[np.lexsort([ids[entry], leaf[entry]])]  # the first of equal scores has the lowest id
+            pivot = pivot[np.argsort(leaf[pivot])]
+            low, high = (np.searchsorted(leaf[entry], leaf[pivot], side=s) for s in ("left", "right"))
+            for part in _pieces(mine, len(pivot)):
+                near = _distances(matrix[mine[part]], grid[pivot]) <= radius[pivot] + reach
+                for cell in np.flatnonzero(near.any(axis=0)):
+                    into, asks = entry[low[cell]:high[cell]], mine[part][near[:, cell]]
+                    for piece in _pieces(asks, len(into)) if len(into) else ():
+                        table = matrix[asks[piece]] @ grid[into].T
+                        top = table.argmax(axis=1)
+                        score = table[np.arange(len(top)), top]
+                        keep = score > threshold
+                        rows.append(asks[piece][keep])
+                        found.append(ids[into[top[keep]]])
+                        scores.append(score[keep])
         if not rows:
             return pd.DataFrame(columns=schema.names)
-        return pd.DataFrame({
-            query_id: some[query_id].to_numpy()[np.concatenate(rows)], cache_id: np.concatenate(found), "similarity": np.concatenate(scores)})
+        pairs = pd.DataFrame({"row": np.concatenate(rows), cache_id: np.concatenate(found), "similarity": np.concatenate(scores)})
+        pairs = pairs.sort_values(["row", "similarity", cache_id], ascending=[True, False, True]).drop_duplicates("row")
+        return pd.DataFrame({query_id: some[query_id].to_numpy()[pairs["row"]], cache_id: pairs[cache_id], "similarity": pairs["similarity"]})
 
-    found = _together(left, right, [*cells, "_qb", "_vb"], _buckets(opened), best, schema)
+    found = _together(left, right, ["scope", "_qb", "_vb"], _buckets(queries), best, schema)
     return found.groupBy(query_id).agg(
         F.min_by(cache_id, F.struct(-F.col("similarity"), F.col(cache_id))).alias(cache_id), F.max("similarity").alias("similarity"))

@@ -52,3 +52,24 @@ def test_rows_without_an_embedding(spark):
     asked = spark.createDataFrame([(1, "o", None, None, None), (2, "o", None, None, [1.0, 0.1]), (3, "p", None, None, [1.0, 0.0])], shape).withColumnRenamed("id", "query_id")
     got = {r.query_id: (r.hit, r.cache_id) for r in R.cache_lookup(asked, cache).collect()}
     assert got == {1: (False, None), 2: (True, 2), 3: (False, None)}
+
+
+def test_vectors_travel_once_per_block(spark, monkeypatch):
+    stored, cache = clustered(spark, 400, 8, 4, False)
+    asked, queries = clustered(spark, 60, 8, 4, False)
+    queries = queries.withColumnRenamed("id", "query_id")
+    tree, real, sent = C.build(cache), C._together, []
+
+    def seen(left, right, *args):
+        sent.append((left.count(), right.count()))
+        return real(left, right, *args)
+
+    monkeypatch.setattr(C, "_together", seen)
+    # nothing is ruled out at so low a threshold
+    got = {r.query_id: r.cache_id for r in R.cache_lookup(queries, cache, 0.01, tree=tree).collect()}
+    assert got == brute(stored, asked, 0.01)
+    pivots = tree.nodes[1].filter("n > 0").count()
+    assert all(left <= 60 and right <= 400 + pivots for left, right in sent)
+    for rows in (1, 7):  # cells larger than a block are cut
+        got = {r.query_id: r.cache_id for r in R.cache_lookup(queries, cache, 0.8, tree=tree, block_rows=rows).collect()}
+        assert got == brute(stored, asked, 0.8)
