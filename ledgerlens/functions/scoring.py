@@ -44,6 +44,10 @@ class TermWeights:
         starts = np.searchsorted(term[order], np.arange(len(idf) + 1))
         return TermWeights(coded.dictionary, starts, coded.indices.to_numpy()[order].astype(np.int64), (times * idf[term])[order])
 
+    def only(self, which: np.ndarray) -> TermWeights:
+        """Without the pairs that ``which`` leaves out."""
+        return TermWeights(self.queries, np.concatenate([[0], np.cumsum(which)])[self.starts], self.query[which], self.weight[which])
+
     def pairs(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Every posting with each query that asks its term: posting, place in ``query`` and ``weight``."""
         n = self.starts[term + 1] - self.starts[term]
@@ -66,7 +70,7 @@ class TermWeights:
             posting, place = self.pairs(term[mine])
             cell = (row[mine][posting] - first) * width + self.query[place]
             table = np.bincount(cell, weights=gain[mine][posting] * self.weight[place], minlength=(last - first) * width)
-            yield first, table.reshape(last - first, width)
+            yield first, table.astype(np.float64, copy=False).reshape(last - first, width)  # counts of nothing are whole numbers
             first = last
 
 

@@ -67,3 +67,20 @@ def test_bounds_leave_work_out(spark, tmp_path):
     assert rows(found) == rows(R.keyword_topk(asked, chunks, 5))
     plan = index.last_plan.collect()
     assert {r["term"]: r["essential"] for r in plan} == {"common": False, "rare": True}
+
+
+def test_pairs_stay_in_their_block(spark, tmp_path, monkeypatch):
+    from ledgerlens.operators import keyword_index
+
+    monkeypatch.setattr(keyword_index, "BLOCK_CHUNKS", 20)
+    chunks = spark.createDataFrame([(i, f"all w{i % 7} w{i % 3}") for i in range(300)], "chunk_id long, chunk_text string")
+    asked = spark.createDataFrame([(i, f"all w{i}") for i in range(5)], "query_id long, query_text string")
+    index = KeywordIndex(spark, str(tmp_path / "i"), parts=2, blocks=3)
+    index.add(chunks, "a")
+    # a large batch has more blocks, so that a task's block stays small
+    assert index.postings().agg(F.max("block")).first()[0] >= 10
+    found = index.topk(asked, 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and not any("query_id" in line and "chunk_id" in line for line in moved)
+    assert rows(found) == rows(R.keyword_topk(asked, chunks, 4))
