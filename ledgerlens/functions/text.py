@@ -200,6 +200,13 @@ def with_json_object(df: DataFrame, body: str, shape: T.StructType, out: str, va
     wrapped = F.concat(F.lit("["), F.col(body), F.lit(f',{{"{mark}":"'), own, F.lit('"}]'))
     element = T.StructType([*shape.fields, T.StructField(mark, T.StringType())])
     rows = df.withColumn(both, F.when(F.startswith(F.col(body), F.lit("{")), F.from_json(wrapped, T.ArrayType(element))))
-    marked = (F.size(both) == 2) & (F.get(both, F.lit(1))[mark] == own)
-    rows = rows.withColumn(valid, F.coalesce(marked, F.lit(False)))
-    return rows.withColumn(out, F.when(F.col(valid), F.get(both, F.lit(0)))).drop(both)
+    marked = F.coalesce((F.size(both) == 2) & (F.get(both, F.lit(1))[mark] == own), F.lit(False))
+    # a generator of one row: a filter on either column stays above it, so the text is built and parsed only once
+    names = []
+    for name in ("_ok", "_value"):
+        while name.lower() in {c.lower() for c in df.columns}:
+            name = "_" + name
+        names.append(name)
+    one = F.struct(marked.alias(names[0]), F.when(marked, F.get(both, F.lit(0))).alias(names[1]))
+    rows = rows.select("*", F.inline(F.array(one)))
+    return rows.withColumn(valid, F.col(names[0])).withColumn(out, F.col(names[1])).drop(both, *names)

@@ -29,7 +29,7 @@ def replies(t):
     """Model replies holding an order with its items, in four wrappings."""
     item = F.struct(F.col("l_partkey").alias("part"), F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag"))
     lists = t.lineitem.groupBy("l_orderkey").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_extendedprice", item.alias("i")))), lambda x: x["i"]).alias("line_items"))
+        F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_extendedprice", item.alias("i")))), lambda x: x["i"]).alias("line_items"))
     record = F.to_json(F.struct(
         F.concat(F.lit("INV-"), "o_orderkey").alias("invoice_number"), F.col("o_orderstatus").alias("status"),
         F.col("o_totalprice").alias("total"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("issued"),

@@ -48,3 +48,12 @@ def test_one_parse_tells_validity(spark, body, valid):
     row = out.first()
     assert row.v is valid and (row.o is not None) == valid
     assert df.select(F.coalesce(X.is_json_object(F.col("b")), F.lit(False))).first()[0] == valid
+
+
+def test_a_filter_stays_above_the_parse(spark):
+    df = spark.createDataFrame([('{"a": "1"}', 1), ("x", 2), (None, 3)], "t string, _ok int")
+    shape = T.StructType([T.StructField("a", T.StringType())])
+    out = X.with_json_object(df.withColumn("b", X.fenced_body(F.reverse(F.reverse("t")))), "b", shape, "o", "v").filter("v").select("o.a", "_ok")
+    plan = str(out._jdf.queryExecution().optimizedPlan())
+    assert plan.count("from_json") == 1 and plan.count("reverse(reverse(") <= 8
+    assert [tuple(r) for r in out.collect()] == [("1", 1)]
