@@ -89,17 +89,22 @@ def byte_groups(column: pa.Array) -> Iterator[list[bytes]]:
         yield group
 
 
-def word_lists(data: bytes) -> Iterator[list[bytes]]:
-    """Words between ASCII white space, in lists from at most GROUP_BYTES of text, unless a word is longer."""
+def word_parts(data: bytes) -> Iterator[bytes]:
+    """The text cut at ASCII white space into parts of at most GROUP_BYTES, unless a word is longer."""
     at = 0
     while len(data) - at > GROUP_BYTES:
         cut = max(data.rfind(b, at, at + GROUP_BYTES) for b in (b" ", b"\n", b"\t", b"\r"))
         if cut <= at:
             found = [x for x in (data.find(b, at + GROUP_BYTES) for b in (b" ", b"\n", b"\t", b"\r")) if x >= 0]
             cut = min(found, default=len(data))
-        yield data[at:cut].split()
+        yield data[at:cut]
         at = cut
-    yield data[at:].split()
+    yield data[at:]
+
+
+def word_lists(data: bytes) -> Iterator[list[bytes]]:
+    """Words between ASCII white space, in a list per part of the text."""
+    return (part.split() for part in word_parts(data))
 
 
 class Memo(dict):

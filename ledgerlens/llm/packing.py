@@ -9,19 +9,19 @@ only. Pieces then take the places of their length by rank, in parallel.
 from __future__ import annotations
 
 import os
-import re
 import struct
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ledgerlens.llm.common import Memo, byte_groups, stored, word_lists
+from ledgerlens.llm.common import GROUP_BYTES, Memo, byte_groups, stored, word_parts
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
@@ -34,7 +34,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 #: A word of Latin letters, then ASCII marks (no apostrophe): the tokenizer splits it just there.
-PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@[-`{-~]*)")
+PLAIN = "\\A(?P<letters>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)(?P<marks>[!-&(-/:-@\\[-`{-~]*)\\z"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -52,39 +52,71 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def new_memo(path: str) -> Memo:
-    """Token ids of a word, as little-endian unsigned 32-bit bytes.
+class WordIds:
+    """Token ids of words, as little-endian unsigned 32-bit bytes.
 
     The tokenizer never joins text across white space, so words are encoded
-    apart. Plain words go straight to its vocabulary; all others through the
-    whole tokenizer.
+    apart. Plain words go straight to its vocabulary, letters and marks each by
+    themselves; all others through the whole tokenizer.
     """
-    whole, shown = _tokenizer(path), _byte_letters()
-    split, tokenize = PLAIN.fullmatch, whole.model.tokenize
 
-    def packed(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def __init__(self, path: str):
+        whole, shown = _tokenizer(path), _byte_letters()
+        tokenize = whole.model.tokenize
 
-    def run(part: str) -> bytes:
-        if not part.isascii():
-            part = part.encode().decode("latin-1").translate(shown)
-        return packed([t.id for t in tokenize(part)]) if part else b""
+        def packed(ids: list[int]) -> bytes:
+            return struct.pack(f"<{len(ids)}I", *ids)
 
-    known = Memo(run)
+        def run(part: str) -> bytes:
+            if not part.isascii():
+                part = part.encode().decode("latin-1").translate(shown)
+            return packed([t.id for t in tokenize(part)]) if part else b""
 
-    def compute(word: bytes) -> bytes:
-        text = word.decode()
-        match = split(text)
-        if match and "<|" not in text:
-            return known[match[1].lower()] + known[match[2]]
-        return packed(whole.encode(text, add_special_tokens=False).ids)
+        self.parts = Memo(run)
+        self.others = Memo(lambda word: packed(whole.encode(word, add_special_tokens=False).ids))
 
-    return Memo(compute)
+    def of(self, words: pa.Array) -> pa.Array:
+        found = pc.extract_regex(words, PLAIN)
+        plain = pc.and_(found.is_valid(), pc.invert(pc.match_substring(words, "<|")))
+        letters, marks = (pc.if_else(plain, pc.struct_field(found, name), "") for name in ("letters", "marks"))
+        ids = pc.binary_join_element_wise(self._known(pc.utf8_lower(letters)), self._known(marks), b"")
+        rest = pc.invert(plain)
+        others = self.others.values_of(words.filter(rest).to_pylist())
+        return pc.replace_with_mask(ids, rest, pa.array(others, pa.binary()))
 
+    def _known(self, parts: pa.Array) -> pa.Array:
+        coded = parts.dictionary_encode()
+        return pa.array(self.parts.values_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.binary()).take(coded.indices)
 
-def encode_text(data: bytes, memo: Memo) -> bytes:
-    """Ids of a text and a closing id 0, four bytes each."""
-    return b"".join(x for words in word_lists(data) for x in memo.values_of(words)) + bytes(4)
+
+def new_memo(path: str) -> WordIds:
+    return WordIds(path)
+
+
+def _encode_parts(parts: list[bytes], memo: WordIds) -> list[bytes]:
+    """Ids of each text; a word that several of them hold is looked up once."""
+    lists = pc.ascii_split_whitespace(pa.array(parts, pa.string()))
+    words = lists.flatten().dictionary_encode()
+    if not len(words):
+        return [b""] * len(parts)
+    _, offsets, ids = memo.of(words.dictionary).take(words.indices).buffers()
+    ends = np.frombuffer(offsets, np.int32)[lists.offsets.to_numpy()]
+    data = ids.to_pybytes() if ids else b""
+    return [data[low:high] for low, high in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def encode_texts(texts: list[bytes], memo: WordIds) -> list[bytes]:
+    """Ids of each text and a closing id 0, four bytes each."""
+    short = [x if len(x) <= GROUP_BYTES else b"" for x in texts]
+    out = [ids + bytes(4) for ids in _encode_parts(short, memo)]
+    for i, data in enumerate(texts):
+        if len(data) > GROUP_BYTES:
+            out[i] = b"".join(_encode_parts([part], memo)[0] for part in word_parts(data)) + bytes(4)
+    return out
+
+
+def encode_text(data: bytes, memo: WordIds) -> bytes:
+    return encode_texts([data], memo)[0]
 
 
 def encode_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -102,8 +134,7 @@ def encode_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPA
             keys, at = batch.column("doc_id").to_pylist(), 0
             for group in byte_groups(batch.column("text")):
                 out = ([], [], [], [], [])
-                for data in group:
-                    ids = encode_text(data, memo)
+                for ids in encode_texts(group, memo):
                     for n, start in enumerate(range(0, len(ids) // 4, capacity)):
                         part = ids[4 * start:4 * (start + capacity)]
                         for column, value in zip(out, (keys[at], n, start, len(part) // 4, part), strict=True):

@@ -113,3 +113,13 @@ def test_query_packs_all_documents_tightly(spark, tables, whole):
             expected.add((doc["doc_id"], n, at, len(part), zlib.crc32(part.tobytes())))
     assert {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out} == expected
     assert bins <= -(-sum(r["length"] for r in out) // 2048) + 1
+
+
+def test_a_word_of_many_texts_is_looked_up_once():
+    memo, asked = packing.new_memo(PATH), []
+    looked_up = memo.parts.values_of
+    memo.parts.values_of = lambda words: asked.extend(words) or looked_up(words)
+    texts = [b"One two, one two!"] * 50 + [b"", b" \x0b", b"\x1cx <|endoftext|>"]
+    got = packing.encode_texts(texts, memo)
+    assert got == [packing.encode_text(x, packing.new_memo(PATH)) for x in texts] and got[50:52] == [bytes(4)] * 2
+    assert len(asked) <= 10
