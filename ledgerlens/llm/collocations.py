@@ -28,6 +28,8 @@ TOP, SCALE, ABSORB = 2000, 2_000_000, 80
 UNKNOWN = "und"
 #: A task counts about so many words at once, then hands over the counts; results do not depend on it.
 CHUNK, EMIT = 1 << 20, 1 << 16
+#: Phrases that meet in one group while hashes are added up, about; rows of blocks made at once.
+PART, SLICE = 1 << 20, 1 << 6
 SALTS = 16
 
 END = b"."
@@ -140,53 +142,83 @@ def lang_key(lang: str) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-LOCAL, WHOLE = "shard int, lang_key long, hash long, n long", "shard int, lang string, phrase string, n long"
+WHOLE = "shard int, lang string, phrase string, n long"
 
 
-def shard_counts(docs: DataFrame, level: int, wanted, shards: int, hashed: bool) -> DataFrame:
-    """What every task counts, not added up between tasks: phrases as WHOLE rows or, if ``hashed``, as LOCAL ones."""
-    schema = LOCAL if hashed else WHOLE
-    names = [c.split()[0] for c in schema.split(", ")]
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(
+        F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("string").alias("text"))
+
+
+def _chunks(batches, shards: int):
+    """(chunk, shard) of a task's rows, one chunk per language at a time."""
+    shard, open_chunks = TaskContext.get().partitionId() % shards, {}
+    for batch in batches:
+        langs, at = batch.column("lang").to_pylist(), 0
+        for group in byte_groups(batch.column("text")):
+            by_lang: dict[str, list[bytes]] = {}
+            for lang, text in zip(langs[at:at + len(group)], group, strict=True):
+                by_lang.setdefault(lang, []).append(text)
+            at += len(group)
+            for lang, texts in by_lang.items():
+                open_chunks.setdefault(lang, Chunk(lang)).add(texts)
+            if sum(c.size for c in open_chunks.values()) >= CHUNK:
+                for chunk in open_chunks.values():
+                    yield chunk, shard
+                open_chunks = {}
+    for chunk in open_chunks.values():
+        yield chunk, shard
+
+
+def shard_counts(docs: DataFrame, level: int, wanted, shards: int) -> DataFrame:
+    """What every task counts as WHOLE rows, not added up between tasks."""
+    names = [c.split()[0] for c in WHOLE.split(", ")]
 
-    def close(chunk: Chunk, shard: int):
-        bits = wanted.value if wanted else None
-        table = None if hashed else pa.array(list(chunk.words), pa.binary()).cast(pa.string())
-        hashes = chunk.hashes() if hashed else None
-        for columns, counts in chunk.counts(level, bits):
-            for low in range(0, len(counts), EMIT):
-                part, n = [c[low:low + EMIT] for c in columns], counts[low:low + EMIT]
-                if hashed:
-                    value = hashes[part[0]]
-                    for words in part[1:]:
-                        value = joined_hash(value, hashes[words])
-                    key, what = pa.array(np.full(len(n), lang_key(chunk.lang))), pa.array(value.view(np.int64))
-                else:
+    def run(batches):
+        for chunk, shard in _chunks(batches, shards):
+            table = pa.array(list(chunk.words), pa.binary()).cast(pa.string())
+            for columns, counts in chunk.counts(level, wanted.value if wanted else None):
+                for low in range(0, len(counts), EMIT):
+                    part, n = [c[low:low + EMIT] for c in columns], counts[low:low + EMIT]
                     texts = [table.take(pa.array(c)) for c in part]
                     what = texts[0] if len(texts) == 1 else pc.binary_join_element_wise(*texts, " ")
                     key = pa.array([chunk.lang] * len(n), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard, np.int32)), key, what, pa.array(n, pa.int64())], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard, np.int32)), key, what, pa.array(n, pa.int64())], names)
 
-    def run(batches):
-        shard, open_chunks = TaskContext.get().partitionId() % shards, {}
-        for batch in batches:
-            langs, at = batch.column("lang").to_pylist(), 0
-            for group in byte_groups(batch.column("text")):
-                by_lang: dict[str, list[bytes]] = {}
-                for lang, text in zip(langs[at:at + len(group)], group, strict=True):
-                    by_lang.setdefault(lang, []).append(text)
-                at += len(group)
-                for lang, texts in by_lang.items():
-                    open_chunks.setdefault(lang, Chunk(lang)).add(texts)
-                if sum(c.size for c in open_chunks.values()) >= CHUNK:
-                    for chunk in open_chunks.values():
-                        yield from close(chunk, shard)
-                    open_chunks = {}
-        for chunk in open_chunks.values():
-            yield from close(chunk, shard)
+    return _texts(docs).mapInArrow(run, WHOLE)
 
-    return docs.select(
-        F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("string").alias("text")
-    ).mapInArrow(run, schema)
+
+BLOCKS = "shard int, lang_key long, part int, hashes binary, counts binary"
+
+
+def hash_blocks(docs: DataFrame, level: int, wanted, shards: int, ranges: int) -> DataFrame:
+    """The hashed counts of ``shard_counts``, those of a task's chunk and of one part of the hashes in a row."""
+    def run(batches):
+        for shard, lang, hashes, counts in _chunk_hashes(batches, level, wanted.value, shards):
+            part = ((hashes.view(np.uint64) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            held, at = np.unique(part[order], return_index=True)
+            hashes, counts = hashes[order], counts[order].astype(np.int32)
+            ends = [*at[1:], len(order)]
+            for low in range(0, len(held), SLICE):
+                cut = range(low, min(low + SLICE, len(held)))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(cut), shard, np.int32)), pa.array(np.full(len(cut), lang_key(lang))), pa.array(held[cut.start:cut.stop]),
+                    pa.array([hashes[at[i]:ends[i]].tobytes() for i in cut], pa.binary()),
+                    pa.array([counts[at[i]:ends[i]].tobytes() for i in cut], pa.binary())], [c.split()[0] for c in BLOCKS.split(", ")])
+
+    return _texts(docs).mapInArrow(run, BLOCKS)
+
+
+def _chunk_hashes(batches, level: int, bits: np.ndarray, shards: int):
+    """(shard, lang, hashes of phrases, counts) for every chunk and length of phrases."""
+    for chunk, shard in _chunks(batches, shards):
+        hashes = chunk.hashes()
+        for columns, counts in chunk.counts(level, bits):
+            value = hashes[columns[0]]
+            for words in columns[1:]:
+                value = joined_hash(value, hashes[words])
+            yield shard, chunk.lang, value.view(np.int64), counts
 
 
 def _hashes(phrases: DataFrame) -> DataFrame:
@@ -200,14 +232,28 @@ def _hashes(phrases: DataFrame) -> DataFrame:
     return phrases.select("lang", "phrase").mapInArrow(run, "hash long")
 
 
-def mine(docs: DataFrame, level: int, wanted, bars: DataFrame, shards: int) -> DataFrame:
+def mine(docs: DataFrame, level: int, wanted, bars: DataFrame, shards: int, ranges: int) -> DataFrame:
     """``hash`` of what is frequent inside some shard; ``bars`` has every shard's own support.
 
     Phrases stand as 64-bit hashes here: two of one hash could only make each other
-    seem more frequent, and the last pass counts the phrases themselves.
+    seem more frequent, and the last pass counts the phrases themselves. They
+    travel as blocks of a shard and one of ``ranges`` parts of the hashes, which are
+    added up where a shard's blocks of a part meet.
     """
-    local = shard_counts(docs, level, wanted, shards, True).groupBy("shard", "lang_key", "hash").agg(F.sum("n").alias("n"))
-    return local.join(bars, ["shard", "lang_key"], "left").where(F.col("n") >= F.coalesce("least", F.lit(1))).select("hash").distinct()
+    blocks = hash_blocks(docs, level, wanted, shards, ranges)
+    least = F.coalesce("least", F.lit(1)).cast("long").alias("least")
+    judged = blocks.join(bars, ["shard", "lang_key"], "left").select("shard", "lang_key", "part", "hashes", "counts", least)
+
+    def add_up(table: pa.Table) -> pa.Table:
+        hashes = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.int64)
+        n = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.int32)
+        order = np.argsort(hashes)
+        hashes, n = hashes[order], n[order].astype(np.int64)
+        first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+        found = hashes[first[np.add.reduceat(n, first) >= table.column("least")[0].as_py()]]
+        return pa.table({"hash": found})
+
+    return judged.groupBy("shard", "lang_key", "part").applyInArrow(add_up, "hash long").distinct()
 
 
 def phrase_counts(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
@@ -219,16 +265,19 @@ def phrase_counts(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS)
     """
     spark = docs.sparkSession
     # the sum of all shards' (least - 1) stays under the support, however rows fall into shards in a later pass
-    words = stored(shard_counts(docs, 1, None, shards, False).groupBy("shard", "lang", "phrase").agg(F.sum("n").alias("n")), "words")
+    words = stored(shard_counts(docs, 1, None, shards).groupBy("shard", "lang", "phrase").agg(F.sum("n").alias("n")), "words")
     share = words.groupBy("shard", "lang").agg(F.sum("n").alias("w"))
     totals = stored(share.groupBy("lang").agg(F.sum("w").alias("n")), "totals")
     bars = stored(share.join(totals, "lang").select(
         "shard", F.xxhash64("lang").alias("lang_key"), F.expr(f"({support} * cast(w as decimal(20,0)) + n - 1) div n").alias("least")), "supports")
     frequent = stored(words.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= support), "frequent")
-    pairs = stored(mine(docs, 2, spark.sparkContext.broadcast(bit_filter(_hashes(frequent))), bars, shards), "pairs")
-    longer = stored(mine(docs, 3, spark.sparkContext.broadcast(bit_filter(pairs)), bars, shards), "longer")
+    # so many parts of the hashes that a part of a shard has about PART phrases at most, and every task some
+    size = totals.agg(F.sum("n")).first()[0] or 0
+    ranges = 1 + max(2 * size // (PART * shards), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // shards)
+    pairs = stored(mine(docs, 2, spark.sparkContext.broadcast(bit_filter(_hashes(frequent))), bars, shards, ranges), "pairs")
+    longer = stored(mine(docs, 3, spark.sparkContext.broadcast(bit_filter(pairs)), bars, shards, ranges), "longer")
     wanted = spark.sparkContext.broadcast(bit_filter(pairs.unionByName(longer)))
-    counted = shard_counts(docs, 0, wanted, shards, False).groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
+    counted = shard_counts(docs, 0, wanted, shards).groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
     return totals, stored(frequent.unionByName(counted.where(F.col("a") >= support)), "phrases")
 
 

@@ -75,3 +75,20 @@ def test_odd_documents(spark, docs_of, odd_rows):
     assert [(r["lang"], r["phrase"], r["a"], r["l"], r["r"], r["score"]) for r in got] == [
         ("und", "word word word word", 59997, 60000, 59998, 2_000_000 * 59997 // (60000 + 59998))]
     assert collocations.collocations(docs_of([])).collect() == []
+
+
+def test_mined_hashes_travel_in_blocks(spark, docs_of):
+    rows = some_rows(6)
+    docs = docs_of(rows).repartition(3)
+    every = spark.sparkContext.broadcast(np.full(1 << 24, 255, np.uint8))
+    blocks = collocations.hash_blocks(docs, 2, every, 2, 4).collect()
+    assert 0 < len(blocks) <= 3 * 3 * 4  # tasks, languages, parts of the hashes
+    counts = Counter()
+    for b in blocks:
+        hashes, n = np.frombuffer(b["hashes"], np.int64), np.frombuffer(b["counts"], np.int32)
+        assert set((hashes.view(np.uint64) >> np.uint64(62)).tolist()) == {b["part"]}
+        for h, k in zip(hashes.tolist(), n.tolist()):
+            counts[b["shard"], h] += k
+    bars = spark.createDataFrame([(s, collocations.lang_key(x), 5) for s in (0, 1) for x in ("en", "de", "und")], "shard int, lang_key long, least int")
+    got = [r["hash"] for r in collocations.mine(docs, 2, every, bars, 2, 4).collect()]
+    assert len(got) == len(set(got)) and set(got) == {h for (_, h), k in counts.items() if k >= 5}
