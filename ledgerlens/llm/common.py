@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ MEMO_BYTES = 200
 #: Texts are worked on in groups of about so many bytes.
 GROUP_BYTES = 1 << 20
 SLICE_ROWS = 64
+#: Rows of a slice of a batch, however short their texts are.
+TEXT_ROWS = 1 << 10
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -89,6 +92,21 @@ def byte_groups(column: pa.Array) -> Iterator[list[bytes]]:
         yield group
 
 
+def text_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch cut, in order, into slices of at most TEXT_ROWS rows and GROUP_BYTES of ``text``, or one longer text.
+
+    A worker that turns slice after slice into Python strings holds few at a time; what
+    a whole batch needs would stay with the worker for all later stages.
+    """
+    sizes = pc.fill_null(pc.binary_length(batch.column("text").cast(pa.large_string())), 0)
+    ends, at = np.cumsum(sizes.to_numpy(zero_copy_only=False)), 0
+    while at < batch.num_rows:
+        fit = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + GROUP_BYTES, side="right"))
+        end = min(max(fit, at + 1), at + TEXT_ROWS)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def word_parts(data: bytes) -> Iterator[bytes]:
     """The text cut at ASCII white space into parts of at most GROUP_BYTES, unless a word is longer."""
     at = 0
@@ -145,13 +163,15 @@ def bit_filter(hashes: DataFrame) -> np.ndarray:
     tops = hashes.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS).alias("top")).distinct()
 
     def pack(batches):
-        bits = np.zeros(1 << FILTER_BITS, bool)
+        blocks: dict[int, np.ndarray] = {}  # 4 KB for each one that the task has
         for batch in batches:
-            bits[batch.column("top").to_numpy()] = True
-        blocks = bits.reshape(-1, 1 << BLOCK_BITS)
-        held = np.flatnonzero(blocks.any(axis=1))
-        packed = [np.packbits(blocks[i], bitorder="little").tobytes() for i in held]
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(packed, pa.binary())], ["block", "bits"])
+            tops = np.sort(batch.column("top").to_numpy())
+            for some in np.split(tops, np.flatnonzero(np.diff(tops >> BLOCK_BITS)) + 1) if len(tops) else []:
+                bits = blocks.setdefault(int(some[0]) >> BLOCK_BITS, np.zeros(1 << (BLOCK_BITS - 3), np.uint8))
+                place = some & ((1 << BLOCK_BITS) - 1)
+                np.bitwise_or.at(bits, place >> 3, (1 << (place & 7)).astype(np.uint8))
+        packed = [bits.tobytes() for bits in blocks.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array(packed, pa.binary())], ["block", "bits"])
 
     dealt = tops.repartition(F.shiftright("top", BLOCK_BITS))  # a block is packed by one task
     blocks = dealt.mapInArrow(pack, "block long, bits binary")

@@ -8,12 +8,15 @@ cosine.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import mix
+from ledgerlens.llm.common import mix, text_slices
 
 DIMENSIONS, ORDER = 512, 3
 GROUP_CHARS = 1 << 18
@@ -76,7 +79,7 @@ def bundles(texts: list[str], dimensions: int = DIMENSIONS, order: int = ORDER)
     return out
 
 
-def _groups(texts: list[str | None]):
+def _groups(texts: Iterable[str | None]):
     """(row numbers, texts) of about GROUP_CHARS; a longer text comes in parts, whose vectors add up."""
     rows, parts, size = [], [], 0
     for i, text in enumerate(texts):
@@ -108,11 +111,11 @@ def learn(docs: DataFrame, train: Column, dimensions: int = DIMENSIONS) -> dict[
     def run(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs = batch.column("lang").to_pylist()
-            texts = batch.column("text").to_pylist()
-            for lang in sorted(set(langs)):
+            langs = batch.column("lang")
+            for lang in sorted(set(langs.to_pylist())):
                 # only the language's sum is wanted, so its texts' n-grams are counted together
-                mine = [t for t, x in zip(texts, langs, strict=True) if x == lang and t]
+                own = batch.filter(pc.equal(langs, lang))
+                mine = (t for part in text_slices(own) for t in part.column("text").to_pylist() if t)
                 total = sums.setdefault(lang, np.zeros(dimensions))
                 for _, parts in _groups(mine):
                     total += bundles(["\n".join(parts)], dimensions)[0]
@@ -140,10 +143,10 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
     name = _namer(profiles)
 
     def run(batches):
-        for batch in batches:
-            names, scores = name(batch.column("text").to_pylist())
+        for part in (part for batch in batches for part in text_slices(batch)):
+            names, scores = name(part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+                [part.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, "doc_id long, lang_pred string, score double")
@@ -185,11 +188,11 @@ def accept(docs: DataFrame, profiles: dict[str, np.ndarray], least: float = 0.1,
     name = _namer(profiles)
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column("text").cast(pa.string()).to_pylist()
+        for part in (part for batch in batches for part in text_slices(batch)):
+            texts = part.column("text").cast(pa.string()).to_pylist()
             keep = [
                 lang != UNKNOWN and (score >= least or sum(map(str.isalpha, text)) < letters)
                 for text, lang, score in zip(texts, *name(texts), strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
