@@ -53,11 +53,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round hooks each node to its smallest neighbour, follows parents twice
     and contracts the edges, so at least half of the remaining nodes go. Nothing
-    is collected; an edge list without rows gives no rows.
+    is collected; an edge list without rows gives no rows. ``edges`` is worked out once.
     """
     edges = stored(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    labels = ends.select("node", F.col("node").alias("label"))
+    labels = None
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         parent = both.groupBy("a").agg(F.min("b").alias("p")).select(
@@ -66,15 +65,18 @@ def components(edges: DataFrame) -> DataFrame:
             up = parent.select(F.col("node").alias("p"), F.col("p").alias("pp"))
             parent = parent.join(up, "p").select("node", F.col("pp").alias("p"))
         parent = stored(parent, "parents")
-        labels = stored(
-            labels.join(parent.withColumnRenamed("node", "label"), "label", "left")
-            .select("node", F.coalesce("p", "label").alias("label")), "labels")
+        if labels is None:  # the first parents are those of all nodes
+            labels = parent.withColumnRenamed("p", "label")
+        else:
+            labels = stored(
+                labels.join(parent.withColumnRenamed("node", "label"), "label", "left")
+                .select("node", F.coalesce("p", "label").alias("label")), "labels")
         edges = stored(
             edges.join(parent.select(F.col("node").alias("a"), F.col("p").alias("pa")), "a")
             .join(parent.select(F.col("node").alias("b"), F.col("p").alias("pb")), "b")
             .where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
             .distinct(), "edges")
-    return labels
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("label")) if labels is None else labels
 
 
 def byte_groups(column: pa.Array) -> Iterator[list[bytes]]:

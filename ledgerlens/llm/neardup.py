@@ -149,7 +149,7 @@ def block_links(side: np.ndarray, nodes: np.ndarray, labels: np.ndarray, sets: l
 
 
 def _residual(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links inside buckets of three or more that still span several components.
+    """Links (a, b) of labels, from buckets of three or more that still span several components.
 
     Buckets are put together by the component that most of their documents are in,
     so the bands of one group are worked on once. There the documents outside that
@@ -172,14 +172,21 @@ def _residual(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("node")
+        label = frame["label"].to_numpy()
         links = block_links(
-            frame["side"].to_numpy(), frame["node"].to_numpy(), frame["label"].to_numpy(),
+            frame["side"].to_numpy(), label, label,
             [np.frombuffer(h, np.uint64) for h in frame["hashes"]], percent)
         return pd.DataFrame(sorted(links), columns=["a", "b"], dtype="int64")
 
     return cells.join(sets, "node").groupBy("main", "i", "j").applyInPandas(run, "a long, b long")
 
 
+def _joined(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``classes`` with the smallest of the labels that (a, b) edges join."""
+    joined = components(edges).select(F.col("node").alias("label"), F.col("label").alias("into"))
+    return classes.join(joined, "label", "left").withColumn("label", F.coalesce("into", "label")).drop("into")
+
+
 def linked_classes(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS,
                    block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): a class is all rows with one set of shingles, a label all classes that links join.
@@ -202,12 +209,11 @@ def linked_classes(docs: DataFrame, width: int = 5, percent: int = 80, bands: in
     # a row that is there several times is read once
     texts = docs.select(row_key().alias("key"), "text").join(needed, "key").dropDuplicates(["key"])
     sets = stored(_sets(texts, width), "sets")
-    stars = stored(_confirmed(pairs, sets, percent), "stars")
-    labels = components(stars)
+    labels = components(_confirmed(pairs, sets, percent))
     more = stored(_residual(members.where("n > 2").select("key", "node", "size"), labels, sets, percent, block), "links")
-    if not more.isEmpty():
-        labels = components(stars.union(more))
     named = classes.join(labels, "node", "left").select("digest", "doc_id", "key", F.coalesce("label", "node").alias("label"))
+    if not more.isEmpty():
+        named = _joined(named, more)
     return signed.select("doc_id", "key", "n_shingles", "digest"), stored(named, "named")
 
 
@@ -228,8 +234,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     several = placed.groupBy("doc_id").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     edges = stored(placed.join(several, "doc_id").select(F.col("low").alias("a"), F.col("label").alias("b")), "documents")
     if not edges.isEmpty():
-        joined = components(edges).select(F.col("node").alias("label"), F.col("label").alias("into"))
-        classes = classes.join(joined, "label", "left").withColumn("label", F.coalesce("into", "label"))
+        classes = _joined(classes, edges)
     smallest = classes.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = classes.join(smallest, "label").select("digest", "component_id")
     alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("alone")
